@@ -1,0 +1 @@
+"""Structured Streaming forms of operators that work row by row or per window."""
