@@ -33,7 +33,9 @@ def repeated_words(words: list) -> int:
     number: dict = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     base = len(number)
-    _, pair = np.unique(ids[:-1] * base + ids[1:], return_inverse=True)
+    pair = ids[:-1] * base + ids[1:]
+    if base > 1 << 20:  # else three numbers fit into 63 bits
+        _, pair = np.unique(pair, return_inverse=True)
     _, which, count = np.unique(pair[:-1] * base + ids[2:], return_inverse=True, return_counts=True)
     hit = count[which] > 1
     covered = np.zeros(len(words), bool)
@@ -45,17 +47,17 @@ def repeated_words(words: list) -> int:
 def measure(text: str | None) -> tuple[int, ...]:
     """COUNTS and MORE of one text."""
     text = text or ""
-    words = text.encode().split()  # on bytes this splits on exactly the characters of SPACE
+    data = text.encode()
+    words = data.split()  # on bytes this splits on exactly the characters of SPACE
     lines = [x for x in text.split("\n") if x.strip(SPACE)]
-    low = text.lower()
-    upper = sum(map(str.isupper, text)) if low != text else 0
+    codes = np.frombuffer(data, np.uint8)
     return (
         len(words),
         len(text) - sum(map(text.count, SPACE)),
         sum(map(text.count, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(words),
-        upper,
+        int(((codes > 64) & (codes < 91)).sum()),
         sum(map(text.count, "0123456789")),
         sum(map(text.count, "!?")),
         len(set(words)),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaframe.llm import byte_bpe, chat_format, packing, quality_rules, sharding, token_counts, url_rules
+from sylvaframe.llm import byte_bpe, chat_format, ngram_join, packing, quality_rules, sharding, token_counts, url_rules
 from sylvaframe.llm._common import table
 
 #: Rules of the url query: host, path, verdict.
@@ -35,6 +35,36 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS copies FROM documents GROUP BY 1
+), w AS (
+  SELECT rep, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM c
+), g AS (
+  SELECT DISTINCT rep, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w
+), s AS (
+  SELECT rep, count(*) AS n FROM g GROUP BY rep
+), p AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS i FROM g a JOIN g b USING (gram) WHERE a.rep <> b.rep GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN s x ON x.rep = a JOIN s y ON y.rep = b WHERE i >= 0.8 * (x.n + y.n - i) - 1e-9
+), reach AS (
+  SELECT rep AS node, rep AS root FROM c UNION SELECT l.b, root FROM reach JOIN l ON l.a = node
+), k AS (
+  SELECT node, min(root) AS class_id FROM reach GROUP BY node
+), n AS (
+  SELECT l.a AS rep, sum(copies) AS links FROM l JOIN c ON c.rep = l.b GROUP BY l.a
+)
+SELECT doc_id, class_id, CAST(coalesce(links, 0) + copies - 1 AS BIGINT) AS n_links, c.rep AS representative
+FROM documents d JOIN c ON c.text = coalesce(d.text, '') JOIN k ON k.node = c.rep LEFT JOIN n ON n.rep = c.rep
+"""
+
+
 def op5_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
@@ -107,8 +137,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_minimax_shards, op5_tiered_packing, op6_chat_format, op7_url_rules, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_minimax_shards, op4_ngram_join, op5_tiered_packing, op6_chat_format, op7_url_rules, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL}
