@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaframe.llm import byte_bpe, chat_format, ngram_join, packing, quality_rules, sharding, token_counts, url_rules
+from sylvaframe.llm import byte_bpe, chat_format, ngram_join, packing, quality_rules, sharding, token_counts, topk, toxicity, url_rules
 from sylvaframe.llm._common import table
 
 #: Rules of the url query: host, path, verdict.
@@ -130,6 +130,31 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), toxicity.toxicity(network, docs, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(50)) == 0)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.train(docs, table(spark, sf_dir, "labels"))
@@ -137,8 +162,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_minimax_shards, op4_ngram_join, op5_tiered_packing, op6_chat_format, op7_url_rules, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_minimax_shards, op4_ngram_join, op5_tiered_packing, op6_chat_format, op7_url_rules, op8_toxicity, op9_exact_topk, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL, "op9_exact_topk": OP9_SQL}
