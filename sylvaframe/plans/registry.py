@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sylvaframe.plans.fixtures import Query
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+FAMILIES = ("raster_queries",)
+
+
+def books():
+    return [import_module(f"sylvaframe.plans.{name}").BOOK for name in FAMILIES]
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for book in books() for name, query in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in books() for name, sql in book.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Dates of appearance of all pixels."""
+    return queries()["appearance_date_map"](spark, sf_dir)
