@@ -38,7 +38,7 @@ _BIT = [1 << i for i in range(WIDTH)]
 class Codec:
     """Encoder and decoder of one rank file and split pattern."""
 
-    def __init__(self, path: str, pattern: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, pattern: str, cache_entries: int = 120_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
         self.token = {rank: token for token, rank in self.ranks.items()}
@@ -280,7 +280,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """`id_col` and ids (array<int>) of each row's whole text by the ranks in `path`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
