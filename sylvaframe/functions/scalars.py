@@ -19,7 +19,7 @@ def direction_angle(dx: Column, dy: Column) -> Column:
     """Angle of a vector in image axes, 0 to 2 pi; null for no length."""
     n = F.sqrt(dx * dx + dy * dy)
     turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dx / F.nullif(n, F.lit(0.0)))))
-    return F.when(dy <= 0, turn).otherwise(2 * F.pi() - turn)
+    return F.when(n > 0, F.when(dy <= 0, turn).otherwise(2 * F.pi() - turn))
 
 
 def similarity_cost(a: Column, b: Column) -> Column:

@@ -96,6 +96,42 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         GROUP BY box, a, b""",
         ("labelled",),
     ),
+    "edges": (
+        """SELECT f.*, s.day AS day_s, t.day AS day_t, s.n_px AS n_s, t.n_px AS n_t, s.cx AS sx, s.cy AS sy, t.cx AS tx, t.cy AS ty
+        FROM facets f JOIN comps s ON f.box = s.box AND f.src = s.cc_id JOIN comps t ON f.box = t.box AND f.dst = t.cc_id""",
+        ("facets", "comps"),
+    ),
+    "costed": (
+        """SELECT *, least(100, tc + 2 * coalesce(oc, 100) + sc) AS cost FROM (SELECT *, CASE WHEN day_t - day_s <= 1 THEN 0 ELSE 1 - 1 / (1.0 + (day_t - day_s - 1)) END AS tc,
+          pow((1 - (ty - fy) / nullif(sqrt((tx - fx) * (tx - fx) + (ty - fy) * (ty - fy)), 0)) / 2, 2) AS oc, abs(n_s - n_t) / CAST(n_s + n_t AS DOUBLE) AS sc FROM edges)""",
+        ("edges",),
+    ),
+    "forest": (
+        """SELECT r.model AS box, r.root AS cc_id, r.parent, n.n_px, n.x FROM roots r JOIN (SELECT root, count(*) AS n_px, min(x) FILTER (seq = 1) AS x FROM nodes GROUP BY root) n ON n.root = r.root""",
+        ("roots", "nodes"),
+    ),
+    "closure": (
+        """SELECT box, cc_id AS node, cc_id AS anc, 0 AS depth FROM forest UNION ALL SELECT c.box, c.node, f.parent, c.depth + 1 FROM closure c JOIN forest f ON f.box = c.box AND f.cc_id = c.anc WHERE f.parent IS NOT NULL""",
+        ("forest",),
+    ),
+    "totals": (
+        """SELECT c.box, c.anc AS cc_id, CAST(count(*) AS BIGINT) AS n_nodes, CAST(sum(f.n_px) AS BIGINT) AS px FROM closure c JOIN forest f ON f.box = c.box AND f.cc_id = c.node GROUP BY 1, 2""",
+        ("closure",),
+    ),
+    "heavy": (
+        """SELECT f.box, f.cc_id, f.parent, CASE WHEN f.parent IS NULL THEN 0 WHEN row_number() OVER (PARTITION BY f.box, f.parent ORDER BY t.px DESC, f.cc_id) = 1 THEN 0 ELSE 1 END AS light
+        FROM forest f JOIN totals t ON f.box = t.box AND f.cc_id = t.cc_id""",
+        ("totals",),
+    ),
+    "organs": (
+        """SELECT c.box, c.node AS cc_id, 1 + sum(h.light) AS ord, arg_min(c.anc, c.depth) FILTER (h.light = 1 OR h.parent IS NULL) AS organ_id,
+          CAST(min(c.depth) FILTER (h.light = 1 OR h.parent IS NULL) AS BIGINT) AS idx FROM closure c JOIN heavy h ON h.box = c.box AND h.cc_id = c.anc GROUP BY 1, 2""",
+        ("heavy",),
+    ),
+    "plants": (
+        """SELECT c.box, c.node AS cc_id, p.plant FROM closure c JOIN (SELECT box, cc_id, row_number() OVER (PARTITION BY box ORDER BY x, cc_id) AS plant FROM forest WHERE parent IS NULL) p ON p.box = c.box AND p.cc_id = c.anc""",
+        ("closure",),
+    ),
     "nodes": (
         """SELECT user_id % 10 AS model, user_id AS root, seq, 40 * (user_id // 10) + sum(event_id % 7 - 3) OVER w AS x, sum(1 + event_id % 5) OVER w AS y,
           1 + event_id % 3 AS diameter, CASE WHEN last_of_day THEN (day + 1) * 24.0 ELSE hours END AS th,
@@ -165,7 +201,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hours_since(ts: Column | str) -> Column:
     """Hours since 2024-01-01."""
-    return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts) / 3600e6 - 473352
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp")) / 3600e6 - 473352
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +245,24 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_built: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def remember(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A fixture that takes iterations to build: checkpointed once for each application and data directory."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _built:
+        checkpoints(spark)
+        _built[key] = build().checkpoint()
+    return _built[key]
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go where the session says; only where it doesn't, to a folder under the warehouse."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
