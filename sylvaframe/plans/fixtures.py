@@ -134,12 +134,12 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "nodes": (
         """SELECT user_id % 10 AS model, user_id AS root, seq, 40 * (user_id // 10) + sum(event_id % 7 - 3) OVER w AS x, sum(1 + event_id % 5) OVER w AS y,
-          1 + event_id % 3 AS diameter, CASE WHEN last_of_day THEN (day + 1) * 24.0 ELSE hours END AS th,
-          CASE WHEN last_of_day THEN day + 1.0 ELSE round(hours / 24, 4) END AS t
+          1 + event_id % 3 AS diameter, CASE WHEN last_of_day THEN (day + 1) * 24e0 ELSE h4 / 1e4 END AS th,
+          CASE WHEN last_of_day THEN day + 1e0 ELSE (h4 // 24) / 1e4 END AS t
         FROM (
           SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS seq,
-            round(epoch_us(ts) / 3600e6 - 473352, 4) AS hours, CAST(floor((epoch_us(ts) / 3600e6 - 473352) / 24) AS BIGINT) AS day,
-            row_number() OVER (PARTITION BY user_id, CAST(floor((epoch_us(ts) / 3600e6 - 473352) / 24) AS BIGINT) ORDER BY ts DESC, event_id DESC) = 1 AS last_of_day
+            (epoch_us(ts) - 1704067200000000) // 360000 AS h4, (epoch_us(ts) - 1704067200000000) // 86400000000 AS day,
+            row_number() OVER (PARTITION BY user_id, (epoch_us(ts) - 1704067200000000) // 86400000000 ORDER BY ts DESC, event_id DESC) = 1 AS last_of_day
           FROM events)
         WINDOW w AS (PARTITION BY user_id ORDER BY seq)""",
         (),
@@ -207,8 +207,9 @@ def hours_since(ts: Column | str) -> Column:
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, root, seq, x, y, diameter, th, t: a polyline for each user, with an exact date on the last node of a day."""
     own = Window.partitionBy("user_id")
-    events = table(spark, sf_dir, "events").withColumn("hours", hours_since("ts")).withColumn("ts", F.col("ts").cast("timestamp"))
-    events = events.withColumn("day", F.floor(F.col("hours") / 24)).withColumn("hours", F.round("hours", 4))
+    events = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000)
+    # Whole numbers of 1/10,000 hours, so that both engines cut at the same place.
+    events = events.withColumn("h4", F.expr("us div 360000")).withColumn("day", F.expr("us div 86400000000"))
     events = events.withColumn("seq", F.row_number().over(own.orderBy("ts", "event_id")))
     last = F.row_number().over(Window.partitionBy("user_id", "day").orderBy(F.desc("ts"), F.desc("event_id"))) == 1
     events = events.withColumn("last_of_day", last)
@@ -221,8 +222,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (40 * k + F.sum(F.col("event_id") % 7 - 3).over(run)).alias("x"),
         F.sum(1 + F.col("event_id") % 5).over(run).alias("y"),
         (1 + F.col("event_id") % 3).alias("diameter"),
-        F.when(F.col("last_of_day"), (F.col("day") + 1) * 24.0).otherwise(F.col("hours")).alias("th"),
-        F.when(F.col("last_of_day"), F.col("day") + F.lit(1.0)).otherwise(F.round(F.col("hours") / 24, 4)).alias("t"),
+        F.when(F.col("last_of_day"), (F.col("day") + 1) * 24.0).otherwise(F.col("h4") / 1e4).alias("th"),
+        F.when(F.col("last_of_day"), F.col("day") + F.lit(1.0)).otherwise(F.expr("h4 div 24") / 1e4).alias("t"),
     )
 
 
