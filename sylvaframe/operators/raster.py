@@ -96,7 +96,7 @@ def max_over_threshold_argmax(pixels: DataFrame, threshold: float) -> DataFrame:
 
 def rupture_best(pixels: DataFrame, threshold: float, down: bool) -> DataFrame:
     """The split (t > 0) with the largest fall (or rise) of the mean over a threshold, 0 without one; the first of equals."""
-    scored = rupture_score(pixels).where("t > 0").withColumn("gain", F.col("rupture") * (-1 if down else 1)).where(F.col("gain") > threshold)
+    scored = rupture_score(pixels).where("t > 0").withColumn("gain", F.round(F.col("rupture") * (-1 if down else 1), 9)).where(F.col("gain") > threshold)
     best = scored.groupBy(*PIXEL).agg(F.max(F.struct("gain", (-F.col("t")).alias("t"))).alias("best"))
     return pixels.select(*PIXEL).distinct().join(best, PIXEL, "left").select(*PIXEL, F.coalesce(-F.col("best.t"), F.lit(0)).alias("day"))
 
