@@ -48,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of n-gram hashes; hashes of words are remembered for a while."""
 
-    def __init__(self, n: int, entries: int = 500_000):
+    def __init__(self, n: int, entries: int = 120_000):
         self.n, self.entries, self.memory = n, entries, {}
         self.powers = mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 

@@ -31,7 +31,7 @@ _AFTER_LETTER = re.compile(rb"(?<=[a-z])([,.])(?=\s)")
 class Encoder:
     """Ids by a tokenizers file, as packed 32-bit integers. Words are remembered for a while."""
 
-    def __init__(self, path: str, cache_entries: int = 300_000):
+    def __init__(self, path: str, cache_entries: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,7 +48,11 @@ class Encoder:
         self.by_word = apart == self.tokenizer.encode(probe, add_special_tokens=False).ids
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Ids of texts by the library, a few at a time: what it returns holds far more than the ids."""
+        found: list[bytes] = []
+        for i in range(0, len(texts), 2048):
+            found += [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch(texts[i : i + 2048], add_special_tokens=False)]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -192,7 +196,7 @@ def pack(
     window: int = 4096,
     lowest_tier: int = 512,
     step_tokens: int = 1 << 17,
-    round_tokens: int = 1 << 21,
+    round_tokens: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -224,7 +228,7 @@ def pack(
         types = None
         for whole in batches:
             types = [whole.schema.field("id").type, *[pa.int64()] * 2, pa.binary(), *[pa.int64()] * 3, pa.int32(), pa.int64()]
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 for doc, ids in zip(batch.column("id").to_pylist(), own.encode([t or "" for t in batch.column("text").to_pylist()])):
                     ids += end
                     packer.add((doc, ids), len(ids) // 4)
