@@ -1,7 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word enters as its own embedding and the mean embedding of its hashed character n-grams. All overlapping windows of a
-whole text are run; attention pools each window's states into a logit, and the document's score is that of its highest
+A word enters as its own embedding and the mean embedding of its hashed character n-grams. A run of more than 24 letters (unspaced
+scripts, joined words) enters whole, as overlapping pieces that are inputs of their own. All overlapping windows of a whole text are run; attention pools each window's states into a logit, and the document's score is that of its highest
 window. Training takes a bounded sample of labelled rows on the driver and learns from each document's highest window.
 Inference runs on the executors, in batches of windows of many documents.
 
@@ -23,13 +23,25 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 
 
-#: Characters of a word that its n-grams are taken from.
-LONGEST = 24
+#: Characters of the longest word that is one input; longer ones become pieces that share OVERLAP characters, so no n-gram is lost.
+LONGEST, OVERLAP = 24, 4
+
+
+def units(text: str | None) -> list[str]:
+    """Words of a text, in lower case. Longer ones than LONGEST are pieces of the word with its ends marked."""
+    found = []
+    for w in WORD.findall((text or "").lower()):
+        if len(w) <= LONGEST:
+            found.append(w)
+        else:
+            marked = f"<{w}>"
+            found += [marked[i : i + LONGEST + 2] for i in range(0, len(marked) - OVERLAP, LONGEST + 2 - OVERLAP)]
+    return found
 
 
 def char_grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of 3 to 5 characters of words with their ends marked, a row for each word; which of them are there."""
-    marked = [f"<{w[:LONGEST]}>" for w in words]
+    """Buckets of the n-grams of 3 to 5 characters of units with their words' ends marked, a row for each unit; which of them are there."""
+    marked = [w if len(w) > LONGEST or w.endswith(">") else f"<{w}>" for w in words]
     codes = np.array(marked, f"U{LONGEST + 2}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
     sizes = np.array([len(m) for m in marked])[:, None]
     found, there = [], []
@@ -195,7 +207,7 @@ class Scorer:
         for i, text in enumerate(texts):
             if len(self.row) > self.limit and not found:
                 self.reset()
-            rows = self.rows(WORD.findall((text or "").lower()))
+            rows = self.rows(units(text))
             for start in window_starts(len(rows), size):
                 part = rows[start : start + size]
                 found.append(np.pad(part, (0, size - len(part)), constant_values=-1) if len(part) < size else part)
@@ -240,7 +252,7 @@ class Adam:
 
 def fit(texts: list[str | None], toxic: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, vocabulary: int = 20_000, seed: int = 5) -> Network:
     """A network trained on documents: each epoch finds the highest window of every document and learns from those."""
-    tokens = [WORD.findall((t or "").lower()) for t in texts]
+    tokens = [units(t) for t in texts]
     seen = Counter(w for words in tokens for w in set(words))
     words = sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w))[:vocabulary]
     network = Network({w: i + 1 for i, w in enumerate(words)}, seed=seed)
