@@ -27,12 +27,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of equal or similar texts: that of the least id. Rows without an id stay."""
-    classes = ngram_join.ngram_join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    place = fresh(docs, "place")
-    by_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = docs.join(classes, "doc_id", "left_semi").withColumn(place, F.row_number().over(by_id)).where(F.col(place) == 1)
-    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each class of equal or similar texts: that of the least id, of the least hash where texts share it; rows without an id come last.
+
+    An id and a text make a document, so different texts of one id, and rows without an id, are joined and reduced like others.
+    """
+    key, place = fresh(docs, "key"), fresh(docs, "place")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.isnull("doc_id"), F.coalesce("text", F.lit(""))))
+    classes = ngram_join.ngram_join(keyed, id_col=key).select(key, "class_id").distinct()
+    ids = keyed.select(key, "doc_id").distinct()
+    least = F.min(F.struct(F.isnull("doc_id").alias("without"), "doc_id", key)).alias("least")
+    kept = classes.join(ids, key).groupBy("class_id").agg(least).select(F.col("least")[key].alias(key))
+    by_key = Window.partitionBy(key).orderBy(F.xxhash64("text"))
+    return keyed.join(kept, key, "left_semi").withColumn(place, F.row_number().over(by_key)).where(F.col(place) == 1).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,17 @@ def test_toxicity_finds_what_lies_behind_the_24th_character():
     net = toxicity.fit(texts[:200], np.array(toxic[:200]), epochs=20)
     scores = toxicity.Scorer(net).document_logits(texts[200:])
     assert ((scores > 0) == np.array(toxic[200:], bool)).all()
+
+
+def test_near_copies_of_shared_and_missing_ids(spark):
+    import corpus_pipeline
+
+    say = lambda *seeds: " ".join(f"w{s}x{k}" for s in seeds for k in range(60))
+    rows = [(3, say(0)), (5, say(0) + " tail"), (5, say(1)), (5, say(2)), (None, say(1)), (None, say(3)), (None, say(3)), (None, say(3) + " end"), (None, None), (None, ""), (9, say(2)), (2, say(4)), (2, say(4))]
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, class_id string, key int").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"] or "") for r in out.collect()]
+    ends = [x for x in got if x[0] is None and x[1].startswith("w3")]
+    assert len(ends) == 1 and ends[0][1] in (say(3), say(3) + " end")
+    assert sorted((i or 0, t) for i, t in got if (i, t) not in ends) == sorted([(3, say(0)), (5, say(1)), (5, say(2)), (0, ""), (2, say(4))])
