@@ -13,8 +13,10 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,27 +27,49 @@ from pyspark.sql import DataFrame
 
 from sylvaframe.llm._common import field, slices
 
-_AFTER_LETTER = re.compile(rb"(?<=[a-z])([,.])(?=\s)")
+#: The steps of a tokenizers file for which words are encoded apart: white space parts words, and within one the split is that of PARTS.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: Letters beyond ASCII that stand for themselves under NFC, and whose lower case is one character.
+_LETTERS = "".join(c for c in map(chr, range(0xC0, 0x180)) if c.isalpha() and len(c.lower()) == 1)
+_PLAIN = re.compile(f"[!-&(-~{_LETTERS}]+")
+_PARTS = re.compile(f"[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+")
 
 
 class Encoder:
-    """Ids by a tokenizers file, as packed 32-bit integers. Words are remembered for a while."""
+    """Ids by a tokenizers file, as packed 32-bit integers. Words are remembered up to a number of bytes.
 
-    def __init__(self, path: str, cache_entries: int = 100_000):
+    Words of ASCII and Latin letters, digits and marks go to the file's model by their parts; words of other characters and those
+    with an apostrophe go through all steps of the library, and so does a whole text that holds a special string, or every text
+    if the file's steps are others than _STEPS.
+    """
+
+    def __init__(self, path: str, memory_bytes: int = 80 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.specials = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit = cache_entries
+        self.limit, self.held = memory_bytes // 2, 0
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        probe = "Aé, b's x1!? C"
-        apart = [i for w in probe.lower().replace(",", " ,").split(" ") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        #: Whether the file lowers case, drops white space and splits at punctuation, so that words can be encoded on their own.
-        self.by_word = apart == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        self.by_word = {k: steps[k] for k in _STEPS} == _STEPS and steps["model"]["type"] == "BPE"
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {ord(c): level.pre_tokenize_str(c)[0][0] for c in {x.lower() for x in _LETTERS}}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by the library, a few at a time: what it returns holds far more than the ids."""
@@ -54,32 +78,60 @@ class Encoder:
             found += [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch(texts[i : i + 2048], add_special_tokens=False)]
         return found
 
+    def learn(self, words: list[bytes]) -> None:
+        """Puts the ids of new words, and of the parts they have, into the memory."""
+        young, tokenize, table = self.young, self.model.tokenize, self.table
+        before, added, odd = len(young), 0, []
+
+        def ids_of(part: str) -> bytes:
+            return array("I", [t.id for t in tokenize(part if part.isascii() else part.translate(table))]).tobytes()
+
+        for w, text in zip(words, b"\n".join(words).decode().split("\n")):
+            if not _PLAIN.fullmatch(text):
+                odd.append(w)
+            elif text.isalpha():
+                young[w] = ids = ids_of(text.lower())
+                added += len(w) + len(ids)
+            else:
+                found = []
+                for part in _PARTS.findall(text.lower()):
+                    key = part.encode()
+                    ids = young.get(key)
+                    if ids is None:
+                        young[key] = ids = ids_of(part)
+                        added += len(key) + len(ids)
+                    found.append(ids)
+                young[w] = ids = b"".join(found)
+                added += len(w) + len(ids)
+        for w, ids in zip(odd, self.whole([w.decode() for w in odd])):
+            young[w] = ids
+            added += len(w) + len(ids)
+        self.held += added + 170 * (len(young) - before)  # two objects and an entry each
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.whole(texts)
         split: list[list[bytes] | None] = []
         missing: dict[bytes, None] = {}
         for text in texts:
-            low = text.encode().lower()  # ASCII letters only, as a file's own step would
-            if any(s in low for s in self.specials):
+            low = text.encode().lower()  # ASCII letters only, as the file's own step would
+            if b"|>" in low and any(s in low for s in self.specials):
                 split.append(None)
                 continue
-            words = _AFTER_LETTER.sub(rb" \1", low).split()
-            get = self.young.get
-            for w in words:
-                if get(w) is None:
-                    found = self.old.get(w)
-                    if found is None:
-                        missing[w] = None
-                    else:
-                        self.young[w] = found
+            words = low.split()
+            for w in set(words).difference(self.young):
+                found = self.old.get(w)
+                if found is None:
+                    missing[w] = None
+                else:
+                    self.young[w] = found
+                    self.held += len(w) + len(found) + 170
             split.append(words)
-        new = list(missing)
-        self.young.update(zip(new, self.whole([w.decode() for w in new])))
-        get = self.young.get
-        found = [self.whole([t])[0] if words is None else b"".join([get(w) for w in words]) for t, words in zip(texts, split)]
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        self.learn(list(missing))
+        get = self.young.__getitem__
+        found = [self.whole([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
         return found
 
 
