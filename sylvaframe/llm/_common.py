@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,22 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
             yield batch.slice(a, b - a)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, max_rows: int, max_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """`id_col`, `label` and `text_col` of at most max_rows labelled documents with at most max_chars characters in all, by a hash of the id.
+
+    Rows without a label (null) are no candidates; of contradicting labels the larger counts; of several texts of one id the one
+    of the least hash. The sample is checkpointed, so that what is computed of it is computed of it alone.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    known = labels.select(labels[id_col].alias(id_col), label.alias("label")).where("label is not null")
+    some = known.groupBy(id_col).agg(F.max("label").alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    texts = docs.select(docs[id_col].alias(id_col), docs[text_col].alias(text_col)).join(F.broadcast(some), id_col)
+    sample = texts.groupBy(id_col, "label").agg(F.min_by(text_col, F.xxhash64(text_col)).alias(text_col)).checkpoint()
+    so_far = F.sum(F.coalesce(F.length(text_col), F.lit(0))).over(Window.orderBy(F.xxhash64(id_col), id_col))  # of max_rows numbers at most
+    fits = sample.select(id_col, so_far.alias("so_far")).where(F.col("so_far") <= max_chars).select(id_col)
+    return sample.join(F.broadcast(fits), id_col, "left_semi")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Reads spark.checkpoint.dir from the session; only where none is named (tests) a folder under the warehouse is set."""
     context = spark.sparkContext

@@ -5,8 +5,9 @@ the learned list and its verdicts are Spark conditional expressions over them. S
 time: a conjunction of thresholds is extended while that raises its precision for the low class on a growing set, and
 pruned from its end on a held-back set; covered rows leave, and the list ends when no rule is precise enough.
 
-Nulls and texts without words have statistics of 0. Without labelled rows of both classes the list is empty and keeps
-all that the base rules keep. Repeated rows get equal verdicts; an empty table gives an empty result.
+Nulls and texts without words have statistics of 0. Long texts are measured whole, one at a time. Without labelled rows of
+both classes the list is empty and keeps all that the base rules keep. Repeated rows get equal verdicts, and a labelled id that
+repeats counts once; an empty table gives an empty result. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvaframe.llm._common import fresh, labelled_sample
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -179,21 +182,13 @@ def list_column(rules: list[Rule], of: dict[str, Column]) -> Column:
     return chain
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id") -> DataFrame:
-    """At most max_rows labelled documents, by a hash of the id; of contradicting labels the larger counts."""
-    labels = labels.where(labels[label_col].isNotNull()).groupBy(labels[id_col].alias(id_col)).agg(F.max(label_col).alias("label"))
-    some = labels.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    return docs.join(F.broadcast(some), id_col)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, text_col: str = "text") -> list[Rule]:
-    """A list learned from at most max_rows labelled documents (quality 0 is the low class)."""
-    sample = labelled_sample(docs, labels, "quality", max_rows).select("doc_id", "label", text_stats(F.col(text_col)).alias("stats"))
-    sample = sample.where(~base_failed(F.col("stats")))
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 200_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[Rule]:
+    """A list learned from at most max_rows labelled documents of at most max_chars characters (label 0 is the low class)."""
+    sample = labelled_sample(docs, labels, labels[label_col], max_rows, max_chars, id_col, text_col)
+    stats = sample.select(id_col, "label", text_stats(F.col(text_col)).alias("stats"))
     of = features(F.col("stats"))
-    rows = sample.select("doc_id", "label", *(c.alias(n) for n, c in of.items())).toPandas()
-    rows = rows.sort_values(["doc_id", "label"], kind="stable").drop_duplicates("doc_id")
-    rows = rows.sample(frac=1, random_state=7)
+    rows = stats.select(id_col, "label", base_failed(F.col("stats")).alias("base_failed"), *(c.alias(n) for n, c in of.items())).toPandas()
+    rows = rows[~rows["base_failed"].astype(bool)].sort_values([id_col], kind="stable").sample(frac=1, random_state=7)
     low = (rows["label"] == 0).to_numpy()
     if not low.any() or low.all():
         return []
@@ -201,7 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, text_col: st
 
 
 def judged(docs: DataFrame, rules: list[Rule], text_col: str = "text", stats_name: str = "stats") -> DataFrame:
-    """The input's columns and a struct: COUNTS, base_failed, rule (number of the rule that rejects, 0 if none) and kept."""
+    """The input's columns and a struct: COUNTS, base_failed, rule (number of the rule that rejects, 0 if none) and kept.
+
+    The struct is the last column: stats_name, with underscores before it where the input has a column of that name.
+    """
+    stats_name = fresh(docs, stats_name)
     with_stats = docs.withColumn(stats_name, text_stats(docs[text_col]))
     stats = F.col(stats_name)
     rule = list_column(rules, features(stats))
