@@ -1,19 +1,20 @@
 """Exact top-k search by inner product, with a three-phase uniform threshold.
 
 Components are rounded down to integers, so scores are exact. A vector is held as a few segments of its components, and a
-segment's partial scores of a query form one list. Blocks of queries meet blocks of candidates, in three passes:
+segment's partial scores of a query form one list. Blocks of queries meet blocks of candidates, in two passes with three phases:
 
-1. each list sends its best entries; their exact scores give each query a safe cutoff, which at least k candidates reach;
-2. with partial scores counted from each list's least one, a candidate that reaches the cutoff has a partial score of
-   at least the cutoff's even share in some list: all entries above that share are collected;
-3. entries whose upper bound, from what other lists may add, is below the best k lower bounds go; the rest are scored in full.
+1. each list of a block sends its best k entries; their exact scores give each query a safe cutoff, which at least k candidates reach;
+2. the cutoff goes back to the blocks. With partial scores counted from each list's least one, a candidate that reaches the
+   cutoff has a partial score of at least the cutoff's even share in some list: all entries above that share are collected;
+3. what other lists add is in the same block, so the collected entries are scored exactly there, and only the block's best k
+   that reach the cutoff leave it.
 
 No group holds more than a block of queries and one of candidates. Of equal vectors in a block only the k + 1 of the
-least ids can be among the best k, and only they are sent.
+least ids can be among the best k, and only they are scored.
 
 Null vectors and vectors with null, NaN or infinite components take no part, nor do null ids. Shorter vectors count as
-padded by zeros. Repeated rows with one id count once. Fewer candidates than k give fewer rows; an empty table gives an
-empty result. Components beyond 2**31 in size are outside the contract. Other columns are ignored.
+padded by zeros. Rows of one id count once, by their least vector. Fewer candidates than k give fewer rows; an empty table
+gives an empty result. Components beyond 2**31 in size are outside the contract. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
     finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & values.isNotNull() & finite)
-    return rows.select("id", F.transform(values, lambda x: F.floor(x * scale)).alias("v")).dropDuplicates(["id"])
+    return rows.select("id", F.transform(values, lambda x: F.floor(x * scale)).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -115,7 +116,6 @@ class Blocks:
         def fn(queries: pa.Table, candidates: pa.Table) -> pa.Table:
             q, c, qs, cs = layout.load(queries, candidates)
             parts = [products(a, b) for a, b in zip(qs, cs)]
-            total = sum(parts) if parts else None
             rows = []
             for i, query in enumerate(q.tolist()):
                 own = c != query
@@ -124,29 +124,38 @@ class Blocks:
                         continue
                     value = np.where(own, part[i], np.iinfo(np.int64).min)
                     top = np.argpartition(-value, k - 1)[:k] if len(value) > k else np.arange(len(value))
-                    entries = [{"id": int(c[j]), "score": int(total[i, j])} for j in top if own[j]]
+                    top = top[own[top]]
+                    score = sum(other[i, top] for other in parts)
+                    entries = [{"id": x, "score": y} for x, y in zip(c[top].tolist(), score.tolist())]
                     rows.append({"query_id": query, "segment": s, "least": int(part[i][own].min()), "entries": entries})
             return pa.Table.from_pylist(rows, schema=schema)
 
         return self.run(self.queries, fn, "query_id long, segment int, least long, entries array<struct<id:long,score:long>>")
 
-    def collected(self, queries: DataFrame) -> DataFrame:
-        """Phase 2: entries of at least the query's share in their list; `seen` has a bit for each such list."""
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("segment", pa.int32()), ("part", pa.int64())])
+    def resolved(self, queries: DataFrame) -> DataFrame:
+        """Phases 2 and 3: the entries of at least the query's share in some list, and of those the best k that reach the cutoff."""
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
         layout, segments = self.layout, self.segments
 
         def fn(queries: pa.Table, candidates: pa.Table) -> pa.Table:
             q, c, qs, cs = layout.load(queries, candidates)
-            share = matrix(queries.column("shares"), segments)
-            out = []
-            for s, (a, b) in enumerate(zip(qs, cs)):
-                part = products(a, b)
-                i, j = np.nonzero((part >= share[:, s : s + 1]) & (q[:, None] != c[None, :]))
-                out.append(pa.table([q[i], c[j], np.full(len(i), s, np.int32), part[i, j]], schema=schema))
-            return pa.concat_tables(out)
-
-        return self.run(queries, fn, "query_id long, vec_id long, segment int, part long")
+            share, cutoff = matrix(queries.column("shares"), segments), queries.column("cutoff").to_numpy()
+            parts = [products(a, b) for a, b in zip(qs, cs)]
+            collected = np.zeros((len(q), len(c)), bool)
+            for s, part in enumerate(parts):
+                collected |= part >= share[:, s : s + 1]
+            i, j = np.nonzero(collected & (q[:, None] != c[None, :]))
+            score = sum((part[i, j] for part in parts), np.zeros(len(i), np.int64))
+            reach = score >= cutoff[i]
+            i, j, score = i[reach], j[reach], score[reach]
+            order = np.lexsort((c[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            best = place < layout.k
+            return pa.table([q[i[best]], c[j[best]], score[best]], schema=schema)
+
+        return self.run(queries, fn, "query_id long, vec_id long, score long")
 
 
 def top_k(
@@ -158,7 +167,7 @@ def top_k(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     query_block: int = 2048,
-    candidate_block: int = 16384,
+    candidate_block: int = 8192,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's k best other vectors, equal scores by the lesser id.
 
@@ -183,20 +192,6 @@ def top_k(
     share = F.when(F.col("found") < k, F.lit(0).cast("long")).otherwise(F.floor((F.col("cutoff") - floor) / m))
     known = known.withColumn("shares", F.transform("least", lambda x: x + F.greatest(share, F.lit(0).cast("long")))).checkpoint()
 
-    queries = blocks.queries.join(known.select(F.col("query_id").alias("id"), "shares"), "id")
-    entries = blocks.collected(queries)
-    # What a candidate has in the lists that sent it; a list that did not holds between its least entry and its share.
-    sums = entries.groupBy("query_id", "vec_id").agg(F.sum("part").alias("part"), F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("segment"))).alias("seen"))
-    sums = sums.join(known.select("query_id", "least", "shares", "found"), "query_id")
-    unseen = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda s: F.col("seen").bitwiseAND(F.call_function("shiftleft", F.lit(1), s)) == 0)
-    total = lambda of: F.aggregate(unseen, F.lit(0).cast("long"), lambda a, s: a + F.get(F.col(of), s))
-    bounds = sums.select("query_id", "vec_id", "found", (F.col("part") + total("least")).alias("lower"), (F.col("part") + total("shares")).alias("upper")).checkpoint()
-    by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")
-    kth = bounds.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query_id").agg(F.min("lower").alias("kth"), F.count("*").alias("n"))
-    left = bounds.join(kth, "query_id").where((F.col("upper") >= F.col("kth")) | (F.col("n") < k)).select("query_id", "vec_id")
-
-    # Phase 3: the exact scores of the entries that are left.
-    pairs = left.join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("c")), "vec_id").join(rows.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    product = F.aggregate(F.zip_with("q", "c", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x)
-    scored = pairs.select("query_id", "vec_id", product.alias("score"))
+    queries = blocks.queries.join(known.select(F.col("query_id").alias("id"), "shares", "cutoff"), "id")
+    scored = blocks.resolved(queries)
     return scored.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
