@@ -40,8 +40,9 @@ def count_occurrences(text: Column, sub: Column) -> Column:
 
 
 def time_cost(day0: Column, day1: Column) -> Column:
+    """0 for one date apart, towards 1 for more and for none; 100 for a later source."""
     gap = day1 - day0
-    return F.when(gap < 0, 100.0).when(gap <= 1, 0.0).otherwise(1 - 1 / (1.0 + (gap - 1)))
+    return F.when(gap < 0, 100.0).otherwise(1 - 1 / (1.0 + F.abs(gap - 1)))
 
 
 def orientation_cost(vx: Column, vy: Column, ex: Column, ey: Column) -> Column:
@@ -51,14 +52,15 @@ def orientation_cost(vx: Column, vy: Column, ex: Column, ey: Column) -> Column:
 
 
 def connectivity_cost(path: Column) -> Column:
+    """By the number of components between the ends; 100 for a path without two ends."""
     between = F.size(path) - 2
-    return 1 - 1 / (1.0 + between)
+    return F.when(between < 0, 100.0).otherwise(1 - 1 / (1.0 + F.abs(between)))
 
 
 def mad_cost(value: Column, median: Column, low: Column, high: Column, alpha: float = 1.0, eps: float = 1e-6) -> Column:
     """1 - exp(-n alpha / 2) for the number n of scaled deviations on the value's side."""
     side = F.when(value < median, median - low).otherwise(high - median)
-    return 1 - F.exp(-F.abs(value - median) / (1.4826 * F.greatest(side, F.lit(eps))) * alpha / 2)
+    return 1 - F.exp(-F.abs(value - median) / (1.4826 * (side + eps)) * alpha / 2)
 
 
 def speed_colour(speed: Column, fastest: float) -> Column:

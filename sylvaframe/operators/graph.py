@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,7 +29,10 @@ def component_labels(nodes: DataFrame, edges: DataFrame, by: str = "box") -> Dat
 
 
 def closure(forest: DataFrame) -> DataFrame:
-    """box, node, anc and depth for each node and each of its ancestors, itself at depth 0, by doubling of pointers."""
+    """box, node, anc and depth for each node and each of its ancestors, itself at depth 0, by doubling of pointers.
+
+    Its size is the sum of all depths; what only needs a sum over ancestors or descendants uses along_paths and below instead.
+    """
     own = forest.select("box", F.col("cc_id").alias("node"), F.col("cc_id").alias("anc"), F.lit(0).alias("depth"))
     reach = forest.where("parent is not null").select("box", F.col("cc_id").alias("node"), F.col("parent").alias("anc"), F.lit(1).alias("depth"))
     step = 1
@@ -45,59 +48,197 @@ def closure(forest: DataFrame) -> DataFrame:
         step *= 2
 
 
-def subtree_totals(forest: DataFrame, above: DataFrame) -> DataFrame:
-    """box, cc_id, n_nodes and px of each node's subtree."""
-    sized = above.join(forest.select("box", F.col("cc_id").alias("node"), "n_px"), ["box", "node"])
-    return sized.groupBy("box", F.col("anc").alias("cc_id")).agg(F.count("*").alias("n_nodes"), F.sum("n_px").alias("px"))
-
+def along_paths(forest: DataFrame, light: Column | None = None) -> DataFrame:
+    """For each node what its path to the root holds: depth, root, lights (number of light nodes) and the nearest start
+    (the node itself or an ancestor that is light or a root) with the steps to it.
 
-def downstream_accumulation(forest: DataFrame, above: DataFrame) -> DataFrame:
-    """For each leaf the running size and count of its path are added to each ancestor, so shared nodes count once for each leaf below."""
-    leaf = leaves(forest).select("box", F.col("cc_id").alias("leaf"))
-    path = above.join(leaf.withColumnRenamed("leaf", "node"), ["box", "node"]).join(forest.select("box", F.col("cc_id").alias("anc"), "n_px"), ["box", "anc"])
-    run = Window.partitionBy("box", "node").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
-    steps = path.select("box", "anc", F.sum("n_px").over(run).alias("px"), F.count("*").over(run).alias("n"))
-    return steps.groupBy("box", F.col("anc").alias("cc_id")).agg(F.sum("px").alias("px"), F.sum("n").alias("n"))
+    A node's pointer skips twice as far each round and carries what lies before it, so a round holds one row a node.
+    """
+    marked = (F.coalesce(light, F.lit(0)) if light is not None else F.lit(0)).cast("long")
+    top = F.col("parent").isNull()
+    rows = forest.select(
+        "box", "cc_id", F.col("parent").alias("up"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), F.col("cc_id").alias("root"), marked.alias("lights"),
+        F.when(top | (marked == 1), F.struct(F.lit(0).cast("long").alias("steps"), F.col("cc_id").alias("id"))).alias("start"),
+    ).checkpoint()
+    while not rows.where("up is not null").isEmpty():
+        far = rows.select("box", F.col("cc_id").alias("up"), *(F.col(c).alias(f"far_{c}") for c in ("up", "depth", "root", "lights", "start")))
+        start = F.when(F.col("far_start").isNotNull(), F.struct((F.col("depth") + F.col("far_start.steps")).alias("steps"), F.col("far_start.id").alias("id")))
+        # A pointer to a node that is not there ends the path.
+        rows = rows.join(far, ["box", "up"], "left").select(
+            "box", "cc_id", F.col("far_up").alias("up"), (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"), F.coalesce("far_root", "root").alias("root"),
+            (F.col("lights") + F.coalesce("far_lights", F.lit(0))).alias("lights"), F.coalesce("start", start).alias("start"),
+        ).checkpoint()
+    return rows.drop("up")
+
+
+def below(forest: DataFrame, sums: list[str], greatest: list[str] = ()) -> DataFrame:
+    """Sums and maxima of columns over each node and all its descendants, by doubling of pointers: one row a node in each round."""
+    rows = forest.select("box", "cc_id", F.col("parent").alias("up"), *sums, *greatest).checkpoint()
+    while not rows.where("up is not null").isEmpty():
+        sent = rows.where("up is not null").groupBy("box", F.col("up").alias("cc_id")).agg(*(F.sum(c).alias(f"s_{c}") for c in sums), *(F.max(c).alias(f"g_{c}") for c in greatest))
+        skip = rows.select("box", F.col("cc_id").alias("up"), F.col("up").alias("next"))
+        grown = rows.join(sent, ["box", "cc_id"], "left").join(skip, ["box", "up"], "left")
+        rows = grown.select(
+            "box", "cc_id", F.col("next").alias("up"), *((F.col(c) + F.coalesce(f"s_{c}", F.lit(0))).alias(c) for c in sums), *(F.greatest(c, f"g_{c}").alias(c) for c in greatest)
+        ).checkpoint()
+    return rows.drop("up")
+
+
+def subtree_totals(forest: DataFrame) -> DataFrame:
+    """box, cc_id, n_nodes and px of each node's subtree."""
+    return below(forest.withColumn("n_nodes", F.lit(1).cast("long")).withColumn("px", F.col("n_px").cast("long")), ["n_nodes", "px"])
 
 
 def leaves(forest: DataFrame) -> DataFrame:
     return forest.join(forest.where("parent is not null").select("box", F.col("parent").alias("cc_id")).distinct(), ["box", "cc_id"], "left_anti")
 
 
+def downstream_accumulation(forest: DataFrame) -> DataFrame:
+    """For each leaf the running size and count of its path are added to each ancestor, so a node counts once for each leaf below it."""
+    leaf = leaves(forest).select("box", "cc_id", F.lit(1).cast("long").alias("own"))
+    n_leaves = below(forest.join(leaf, ["box", "cc_id"], "left").withColumn("n", F.coalesce("own", F.lit(0).cast("long"))), ["n"])
+    weighted = forest.join(n_leaves, ["box", "cc_id"]).withColumn("px", F.col("n_px") * F.col("n"))
+    return below(weighted, ["px", "n"])
+
+
 def forest_roots(forest: DataFrame) -> DataFrame:
     return forest.where("parent is null")
 
 
-def root_of(forest: DataFrame, above: DataFrame) -> DataFrame:
-    roots = forest_roots(forest).select("box", F.col("cc_id").alias("anc"))
-    return above.join(roots, ["box", "anc"]).select("box", F.col("node").alias("cc_id"), F.col("anc").alias("root"))
+def node_depth(forest: DataFrame) -> DataFrame:
+    return along_paths(forest).select("box", "cc_id", "depth")
+
+
+def node_height(forest: DataFrame) -> DataFrame:
+    """Steps to the farthest descendant."""
+    deep = forest.join(node_depth(forest), ["box", "cc_id"]).withColumn("deepest", F.col("depth"))
+    return below(deep, [], ["deepest"]).join(deep.select("box", "cc_id", "depth"), ["box", "cc_id"]).select("box", "cc_id", (F.col("deepest") - F.col("depth")).alias("height"))
+
+
+def descendants(forest: DataFrame) -> DataFrame:
+    """All pairs of a node and a node below it."""
+    return closure(forest).where("depth > 0").select("box", F.col("anc").alias("cc_id"), F.col("node").alias("descendant"))
 
 
-def prune_small_trees(forest: DataFrame, above: DataFrame, least_nodes: int, least_px: int) -> DataFrame:
+def leaves_below(forest: DataFrame) -> DataFrame:
+    """All pairs of a node and a leaf below it; a leaf is its own."""
+    ends = leaves(forest).select("box", F.col("cc_id").alias("node"))
+    return closure(forest).join(ends, ["box", "node"], "left_semi").select("box", F.col("anc").alias("cc_id"), F.col("node").alias("leaf"))
+
+
+def children(forest: DataFrame) -> DataFrame:
+    """Number of children, and whether there is none."""
+    n = forest.where("parent is not null").groupBy("box", F.col("parent").alias("cc_id")).agg(F.count("*").alias("n"))
+    return forest.select("box", "cc_id").join(n, ["box", "cc_id"], "left").fillna({"n": 0}).withColumn("is_leaf", F.col("n") == 0)
+
+
+def prune_small_trees(forest: DataFrame, least_nodes: int, least_px: int) -> DataFrame:
     """Nodes of trees with at least least_nodes nodes and more than least_px pixels."""
-    rooted = forest.join(root_of(forest, above), ["box", "cc_id"])
+    rooted = forest.join(along_paths(forest).select("box", "cc_id", "root"), ["box", "cc_id"])
     kept = rooted.groupBy("box", "root").agg(F.count("*").alias("n"), F.sum("n_px").alias("px")).where((F.col("n") >= least_nodes) & (F.col("px") > least_px))
     return rooted.join(kept, ["box", "root"], "left_semi").select("box", "cc_id", "root")
 
 
-def heavy_children(forest: DataFrame, totals: DataFrame) -> DataFrame:
-    """box, cc_id, parent and light: 0 for roots and for the child of most downstream pixels (the least id of equals), else 1."""
-    sized = forest.join(totals.select("box", "cc_id", "px"), ["box", "cc_id"])
+def heavy_children(forest: DataFrame) -> DataFrame:
+    """The forest with light: 0 for roots and for the child of most downstream pixels (the least id of equals), else 1."""
+    sized = forest.join(subtree_totals(forest).select("box", "cc_id", "px"), ["box", "cc_id"])
     first = F.row_number().over(Window.partitionBy("box", "parent").orderBy(F.desc("px"), "cc_id"))
-    return sized.select("box", "cc_id", "parent", F.when(F.col("parent").isNull() | (first == 1), 0).otherwise(1).alias("light"))
+    return sized.withColumn("light", F.when(F.col("parent").isNull() | (first == 1), 0).otherwise(1)).drop("px")
 
 
-def organs(above: DataFrame, heavy: DataFrame) -> DataFrame:
-    """box, cc_id, ord (1 and the light edges above), organ_id (its first node) and idx in the organ: all orders by one closure."""
-    marks = above.join(heavy.select("box", F.col("cc_id").alias("anc"), "light", F.col("parent").isNull().alias("top")), ["box", "anc"])
-    start = F.when((F.col("light") == 1) | F.col("top"), F.struct("depth", "anc"))
-    return marks.groupBy("box", F.col("node").alias("cc_id")).agg((1 + F.sum("light")).alias("ord"), F.min(start).alias("s")).select(
-        "box", "cc_id", "ord", F.col("s.anc").alias("organ_id"), F.col("s.depth").cast("long").alias("idx")
-    )
+def organs(forest: DataFrame) -> DataFrame:
+    """box, cc_id, ord (1 and the light nodes above), organ_id (its first node), idx in the organ, root and parent."""
+    rows = along_paths(heavy_children(forest), F.col("light"))
+    found = rows.select("box", "cc_id", (1 + F.col("lights")).alias("ord"), F.col("start.id").alias("organ_id"), F.col("start.steps").alias("idx"), "root")
+    return found.join(forest.select("box", "cc_id", "parent"), ["box", "cc_id"])
+
+
+def organ_path(organ_nodes: DataFrame) -> DataFrame:
+    """Each organ's nodes from its first on."""
+    steps = F.array_sort(F.collect_list(F.struct("idx", "cc_id")))
+    return organ_nodes.groupBy("box", "organ_id").agg(F.transform(steps, lambda p: p["cc_id"]).alias("path"))
+
+
+def main_path(organ_nodes: DataFrame) -> DataFrame:
+    return organ_nodes.where("ord = 1").select("box", "cc_id", "organ_id", "idx")
+
+
+def lateral_starts(organ_nodes: DataFrame) -> DataFrame:
+    """First nodes of laterals, with the node that they come from."""
+    return organ_nodes.where("ord > 1 and organ_id = cc_id").select("box", "cc_id", "parent", "ord")
 
 
-def plant_index(forest: DataFrame, above: DataFrame) -> DataFrame:
-    """Plants are numbered by the x of their roots."""
+def attachment_points(organ_nodes: DataFrame) -> DataFrame:
+    """For each lateral the node, the organ and the place in that organ that it comes from."""
+    at = organ_nodes.select("box", F.col("cc_id").alias("parent"), F.col("organ_id").alias("parent_organ"), F.col("idx").alias("at"))
+    return organ_nodes.where("organ_id = cc_id and parent is not null").select("box", "organ_id", "parent").join(at, ["box", "parent"])
+
+
+def direct_lateral_organs(organ_nodes: DataFrame) -> DataFrame:
+    return attachment_points(organ_nodes).select("box", F.col("parent_organ").alias("on_organ"), F.col("organ_id").alias("organ"))
+
+
+def all_lateral_organs(forest: DataFrame, organ_nodes: DataFrame) -> DataFrame:
+    """All pairs of a node and a lateral of a higher order whose first node is below it."""
+    start = organ_nodes.where("organ_id = cc_id").select("box", F.col("cc_id").alias("descendant"), F.col("ord").alias("start_ord"))
+    own = organ_nodes.select("box", "cc_id", "ord")
+    return descendants(forest).join(start, ["box", "descendant"]).join(own, ["box", "cc_id"]).where("start_ord > ord").select("box", "cc_id", F.col("descendant").alias("organ"))
+
+
+def plant_index(forest: DataFrame) -> DataFrame:
+    """Plants are numbered by the x of their roots within a box."""
     number = F.row_number().over(Window.partitionBy("box").orderBy("x", "cc_id"))
     plants = forest_roots(forest).select("box", F.col("cc_id").alias("root"), number.alias("plant"))
-    return root_of(forest, above).join(plants, ["box", "root"]).select("box", "cc_id", "plant")
+    return along_paths(forest).select("box", "cc_id", "root").join(plants, ["box", "root"]).select("box", "cc_id", "plant")
+
+
+def main_trunk_path(organ_nodes: DataFrame, plants: DataFrame) -> DataFrame:
+    """Nodes of each plant's first organ, in order."""
+    return main_path(organ_nodes).join(plants, ["box", "cc_id"]).select("box", "plant", "idx", "cc_id")
+
+
+def drop_lateral_chain(forest: DataFrame, edges: DataFrame, organ_nodes: DataFrame, chains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The forest and the edges (box, src, dst) without the nodes of some laterals' chains (box, organ_id); primaries stay."""
+    gone = organ_nodes.where("ord > 1").join(chains, ["box", "organ_id"], "left_semi").select("box", "cc_id")
+    left = edges.join(gone.withColumnRenamed("cc_id", "src"), ["box", "src"], "left_anti").join(gone.withColumnRenamed("cc_id", "dst"), ["box", "dst"], "left_anti")
+    return forest.join(gone, ["box", "cc_id"], "left_anti"), left
+
+
+def chain_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The last component on each component's chain of cheapest outgoing edges (box, src, dst, cost), and the number of steps to it.
+
+    Edges go to later components, so chains end.
+    """
+    nexts = edges.groupBy("box", F.col("src").alias("cc_id")).agg(F.min_by("dst", F.struct("cost", "dst")).alias("parent"))
+    pointers = nodes.select("box", "cc_id").join(nexts, ["box", "cc_id"], "left")
+    return along_paths(pointers).select("box", "cc_id", F.col("root").alias("last"), F.col("depth").alias("steps"))
+
+
+def forest_statistics(forest: DataFrame) -> DataFrame:
+    """Per plant: nodes, greatest depth, pixels, leaves and laterals."""
+    ends = leaves(forest).select("box", "cc_id", F.lit(1).alias("leaf"))
+    rows = forest.select("box", "cc_id", "n_px").join(plant_index(forest), ["box", "cc_id"]).join(organs(forest), ["box", "cc_id"]).join(node_depth(forest), ["box", "cc_id"]).join(ends, ["box", "cc_id"], "left")
+    return rows.groupBy("box", "plant").agg(
+        F.count("*").alias("n_nodes"), F.max("depth").alias("height"), F.sum("n_px").alias("px"), F.count("leaf").alias("n_leaves"), F.count_if(F.expr("organ_id = cc_id and ord > 1")).alias("n_laterals")
+    )
+
+
+def tree_consistency(organ_nodes: DataFrame, active: DataFrame) -> DataFrame:
+    """Components with an active successor (box, src, dst) but none of their own order."""
+    has = organ_nodes.join(active.select("box", F.col("src").alias("cc_id")).distinct(), ["box", "cc_id"], "left_semi")
+    own = organ_nodes.select("box", "cc_id", "ord")
+    same = active.join(own.select("box", F.col("cc_id").alias("src"), "ord"), ["box", "src"]).join(own.select("box", F.col("cc_id").alias("dst"), F.col("ord").alias("to")), ["box", "dst"]).where("ord = to")
+    return has.join(same.select("box", F.col("src").alias("cc_id")), ["box", "cc_id"], "left_anti").select("box", "cc_id", "ord")
+
+
+def drop_unselected_edges(edges: DataFrame, active: Column) -> DataFrame:
+    """Edges with is_out and the reason: those that are not active and not out yet go out."""
+    out = F.coalesce(F.col("reason").isNotNull(), F.lit(False)) if "reason" in edges.columns else F.lit(False)
+    known = F.col("reason") if "reason" in edges.columns else F.lit(None).cast("string")
+    return edges.withColumn("reason", F.when(out, known).when(~active, F.lit("NON_ACTIVATED_STEP5"))).withColumn("is_out", F.col("reason").isNotNull())
+
+
+def exclusion_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Number of excluded nodes and of excluded edges for each reason."""
+    both = nodes.select(F.lit("node").alias("kind"), "reason").unionByName(edges.select(F.lit("edge").alias("kind"), "reason"))
+    return both.where("reason is not null").groupBy("kind", "reason").agg(F.count("*").alias("n"))

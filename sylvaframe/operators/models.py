@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvaframe.operators.traits import ROOT, along, root_length, segments
-
-
-def _d2(x0: str, y0: str, x1: str, y1: str) -> Column:
-    return F.round((F.col(x0) - F.col(x1)) * (F.col(x0) - F.col(x1)) + (F.col(y0) - F.col(y1)) * (F.col(y0) - F.col(y1)), 6)
+from sylvaframe.operators.nearest import nearest
+from sylvaframe.operators.traits import ROOT, along, last_dates, root_length, segments
 
 
 def first_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(*ROOT).agg(F.min_by("x", "seq").alias("fx"), F.min_by("y", "seq").alias("fy"))
 
 
+def _starts(nodes: DataFrame) -> DataFrame:
+    return first_nodes(nodes).select(*ROOT, F.col("fx").alias("px"), F.col("fy").alias("py"))
+
+
 def nearest_root(nodes: DataFrame) -> DataFrame:
     """For each root the other root of its model with the node nearest to its first node, the least id of equals."""
-    other = nodes.select("model", F.col("root").alias("other"), "x", "y")
-    pairs = first_nodes(nodes).join(other, "model").where("root <> other")
-    return pairs.groupBy(*ROOT).agg(F.min(F.struct(_d2("x", "y", "fx", "fy").alias("d2"), "other")).alias("m")).select(*ROOT, F.col("m.other").alias("nearest"), F.col("m.d2").alias("d2"))
+    things = nodes.select("model", F.col("root").alias("nearest"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return nearest(_starts(nodes), things, ["model"], ["root"], ["nearest"], where=F.col("root") != F.col("nearest")).drop("n")
 
 
 def reattach_laterals(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Roots with laterals' parents set to the primary that has the node nearest to their first node."""
     primaries = roots.where("parent is null").select(*ROOT)
-    other = nodes.join(primaries, ROOT).select("model", F.col("root").alias("other"), "x", "y")
-    laterals = first_nodes(nodes).join(roots.where("parent is not null").select(*ROOT), ROOT)
-    best = laterals.join(other, "model").groupBy(*ROOT).agg(F.min(F.struct(_d2("x", "y", "fx", "fy").alias("d2"), "other")).alias("m"))
-    return roots.select(*ROOT).join(best, ROOT, "left").select(*ROOT, F.col("m.other").alias("parent"))
+    things = nodes.join(primaries, ROOT).select("model", F.col("root").alias("parent"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    laterals = _starts(nodes).join(roots.where("parent is not null").select(*ROOT), ROOT)
+    best = nearest(laterals, things, ["model"], ["root"], ["parent"])
+    return roots.select(*ROOT).join(best.select(*ROOT, "parent"), ROOT, "left")
 
 
 def append_node(nodes: DataFrame, new: DataFrame) -> DataFrame:
@@ -66,9 +66,9 @@ def children_summary(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return sized.groupBy("model", F.col("parent").alias("root")).agg(F.count("*").alias("n"), F.sum("length").alias("length"))
 
 
-def plant_time_series(nodes: DataFrame, roots: DataFrame, days: int) -> DataFrame:
-    """Per primary and date: its length, how many of its laterals have appeared, and their length."""
-    parts = segments(nodes).withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
+def plant_time_series(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Per primary and date, up to the model's last: its length, how many of its laterals have appeared, and their length."""
+    parts = segments(nodes).join(last_dates(nodes), "model").withColumn("day", F.explode(F.sequence(F.lit(1), F.col("last_date")))).drop("last_date")
     share = (F.col("day") - F.col("t")) / (F.col("t1") - F.col("t"))
     visible = F.when(F.col("t1") <= F.col("day"), F.col("len")).when(F.col("t") <= F.col("day"), F.col("len") * share).otherwise(0.0)
     by_root = parts.groupBy(*ROOT, "day").agg(F.coalesce(F.sum(visible), F.lit(0.0)).alias("length"), (F.min("t") <= F.col("day")).alias("there"))
@@ -94,10 +94,19 @@ def time_knots(nodes: DataFrame) -> DataFrame:
     return segments(nodes).groupBy(*ROOT, F.floor("t").alias("day")).agg(F.max("c").alias("distance"))
 
 
-def edit_log(edits: DataFrame, most: int) -> DataFrame:
-    """The first edits of each model, numbered."""
-    number = F.row_number().over(Window.partitionBy("model").orderBy("id"))
-    return edits.withColumn("seq", number).where(F.col("seq") <= most)
+def edit_log(lines: DataFrame) -> DataFrame:
+    """Points of edits from log lines (model, line, fields): model, seq, action, point (from 0), x, y and z.
+
+    A line has its action, the number n of its points, and n times a label, x, y and z. A model's log ends at its first empty action.
+    """
+    order = Window.partitionBy("model").orderBy("line")
+    action = F.get("fields", F.lit(0))
+    ended = F.sum(F.when(F.coalesce(F.trim(action), F.lit("")) == "", 1).otherwise(0)).over(order)
+    rows = lines.select("model", "line", "fields", action.alias("action"), F.row_number().over(order).cast("long").alias("seq"), ended.alias("ended")).where("ended = 0")
+    n = F.coalesce(F.get("fields", F.lit(1)).try_cast("int"), F.lit(0))
+    points = rows.withColumn("point", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    at = lambda k, name: F.get("fields", 4 * F.col("point") + 2 + k).try_cast("double").alias(name)
+    return points.select("model", "seq", "action", "point", at(1, "x"), at(2, "y"), at(3, "z"))
 
 
 def edit_undo(log: DataFrame) -> DataFrame:
@@ -112,6 +121,6 @@ def trimmed_matches(matches: DataFrame, by: list[str], score: str, least: float,
 
 
 def chain_displacements(steps: DataFrame, by: str) -> DataFrame:
-    """Displacements (t, dx) of neighbours summed up to the last image."""
+    """Displacements (t, dx, dy) of neighbours summed up to the last image."""
     later = Window.partitionBy(by).orderBy(F.desc("t"))
-    return steps.withColumn("total", F.sum("dx").over(later))
+    return steps.withColumn("total_dx", F.sum("dx").over(later)).withColumn("total_dy", F.sum("dy").over(later))

@@ -37,7 +37,7 @@ def crop_window(pixels: DataFrame, x0: int, y0: int, width: int, height: int) ->
     return pixels.where(inside).withColumn("x", F.col("x") - x0).withColumn("y", F.col("y") - y0)
 
 
-def spread(pixels: DataFrame, offsets: list[tuple[int, int]], extra: list[Column] = ()) -> DataFrame:
+def spread(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     """Each pixel's row once for each offset, at the moved place: what the target sees from its neighbours."""
     moves = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets))
     moved = pixels.withColumn("move", F.explode(moves))
@@ -174,8 +174,10 @@ def template_correlation(pixels: DataFrame, template: list[float]) -> DataFrame:
 
 
 def mass_centre(pixels: DataFrame, weight: Column) -> DataFrame:
+    """Weighted means of the places; null for a frame without weight."""
     w = pixels.withColumn("w", weight).groupBy("box", "t")
-    return w.agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("cx"), (F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("cy"))
+    total = F.nullif(F.sum("w"), F.lit(0))
+    return w.agg((F.sum(F.col("x") * F.col("w")) / total).alias("cx"), (F.sum(F.col("y") * F.col("w")) / total).alias("cy"))
 
 
 def median_reference_frame(pixels: DataFrame, radius: int) -> DataFrame:
@@ -200,10 +202,14 @@ def frame_mask_from_times(dates: DataFrame, frames: DataFrame) -> DataFrame:
     return dates.join(seen, "day").select(*PIXEL, "frame")
 
 
-def frame_blend(pixels: DataFrame, frames: DataFrame) -> DataFrame:
-    """Values of frames (frame, t, ratio) between two observations: foreground (in_fg) and background ramps."""
+def frame_blend(pixels: DataFrame, frames: DataFrame, leaves: DataFrame | None = None, background: float = 0.0) -> DataFrame:
+    """Values of frames (frame, t, ratio) between two observations: foreground (in_fg) and background ramps, and a constant background under a mask (leaves: box, x, y)."""
     now = pixels.select("box", "x", "y", "t", "v", "in_fg")
     nxt = pixels.select("box", "x", "y", (F.col("t") - 1).alias("t"), F.col("v").alias("v1"))
     ramp = lambda low, high: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("ratio") - low) / (high - low)))
     part = F.when(F.col("in_fg"), ramp(0.01, 0.02)).otherwise(ramp(0.2, 0.8))
-    return now.join(nxt, ["box", "x", "y", "t"]).join(frames, "t").select("frame", "box", "x", "y", (F.col("v") * (1 - part) + F.col("v1") * part).alias("v"))
+    mixed = now.join(nxt, ["box", "x", "y", "t"]).join(frames, "t").select("frame", "box", "x", "y", (F.col("v") * (1 - part) + F.col("v1") * part).alias("v"))
+    if leaves is None:
+        return mixed
+    under = mixed.join(leaves.select(*PIXEL, F.lit(True).alias("under")), PIXEL, "left")
+    return under.withColumn("v", F.when(F.col("under"), background).otherwise(F.col("v"))).drop("under")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sylvaframe.functions import scalars as C
 from sylvaframe.operators.graph import component_labels
+from sylvaframe.operators.nearest import nearest
+from sylvaframe.operators.timebase import mad_double_sided
 
 
 def side_pairs(pixels: DataFrame, extra: list[str]) -> DataFrame:
@@ -43,10 +45,16 @@ def component_size_filter(labelled: DataFrame, least: int) -> DataFrame:
 
 
 def component_central_pixel(labelled: DataFrame, attributes: DataFrame) -> DataFrame:
-    """The pixel of a component that is nearest to its centre, the first in (x, y) of equals."""
+    """The mean place of a component where the four pixels around it belong to it, else its pixel nearest to the centre by whole division, the first in (x, y) of equals."""
     d2 = F.pow(F.col("x") - F.col("cx"), F.lit(2)) + F.pow(F.col("y") - F.col("cy"), F.lit(2))
-    near = labelled.join(attributes.select("box", "cc_id", "cx", "cy"), ["box", "cc_id"]).groupBy("box", "cc_id").agg(F.min(F.struct(d2.alias("d2"), "x", "y")).alias("p"))
-    return near.select("box", "cc_id", "p.x", "p.y")
+    rows = labelled.join(attributes.select("box", "cc_id", "cx", "cy"), ["box", "cc_id"])
+    near = rows.groupBy("box", "cc_id").agg(F.min(F.struct(d2.alias("d2"), "x", "y")).alias("p"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    corners = F.array_distinct(F.array(*(F.struct(fx("mx").cast("int").alias("x"), fy("my").cast("int").alias("y")) for fx in (F.floor, F.ceil) for fy in (F.floor, F.ceil))))
+    probes = near.select("box", "cc_id", F.explode(corners).alias("c")).select("box", "cc_id", "c.x", "c.y")
+    missing = probes.join(labelled.select("box", "cc_id", "x", "y"), ["box", "cc_id", "x", "y"], "left_anti").select("box", "cc_id").distinct().withColumn("gap", F.lit(True))
+    found = near.join(missing, ["box", "cc_id"], "left")
+    pick = lambda pixel, mean: F.when(F.col("gap"), F.col(pixel).cast("double")).otherwise(F.col(mean))
+    return found.select("box", "cc_id", pick("p.x", "mx").alias("x"), pick("p.y", "my").alias("y"))
 
 
 def component_times(attributes: DataFrame, hours: DataFrame) -> DataFrame:
@@ -78,14 +86,29 @@ def fuse_components(attributes: DataFrame, group: Column) -> DataFrame:
     return own.agg(F.sum("n_px").alias("n_px"), F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"), F.count("*").alias("n"))
 
 
+EPS = 1e-6
+
+
 def surface_growth_rate(n_px: Column, start: Column, tip: Column, typical: float) -> Column:
-    return n_px / F.when(tip == start, typical).otherwise(tip - start)
+    """Pixels an hour, over `typical` hours where the start is the tip."""
+    return n_px / F.when(tip == start, typical).otherwise(tip - start + EPS)
+
+
+def rounded_rate(n_px: Column, start: Column, tip: Column) -> Column:
+    """Whole pixels an hour; without a duration it is about infinite."""
+    return F.floor(n_px / F.when(tip == start, EPS).otherwise(tip - start) + 0.5)
+
 
+def timed_edges(edges: DataFrame, times: DataFrame) -> DataFrame:
+    """Edges with the hours of both components: s_start, s_mid, s_tip, t_start, t_mid and t_tip (times: component_times)."""
+    side = lambda name, p: times.select("box", F.col("cc_id").alias(name), *(F.col(f"h_{h}").alias(f"{p}_{h}") for h in ("start", "mid", "tip")))
+    return edges.join(side("src", "s"), ["box", "src"]).join(side("dst", "t"), ["box", "dst"])
 
-def nearest(points: DataFrame, things: DataFrame, by: list[str], d2: Column, point_id: str, thing_id: str) -> DataFrame:
-    """For each point the nearest thing that shares its keys, the least id of equals. One minimum a point is kept on the way."""
-    best = points.join(things, by).groupBy(*by, point_id).agg(F.min(F.struct(d2.alias("d2"), F.col(thing_id).alias("thing"))).alias("m"))
-    return best.select(*by, point_id, F.col("m.thing").alias(thing_id), F.col("m.d2").alias("d2"))
+
+def nearest_component(points: DataFrame, attributes: DataFrame, point_id: str) -> DataFrame:
+    """For each point (box, point_id, px, py) the component of its box with the nearest centre, the least id of equals."""
+    things = attributes.select("box", "cc_id", F.col("cx").alias("tx"), F.col("cy").alias("ty"))
+    return nearest(points, things, ["box"], [point_id], ["cc_id"]).select("box", point_id, "cc_id", "d2")
 
 
 def max_label_per_date(attributes: DataFrame) -> DataFrame:
@@ -139,18 +162,24 @@ def drop_late_isolated_starts(attributes: DataFrame, edges: DataFrame) -> DataFr
     return alone.select("box", "cc_id", why.alias("reason")).where("reason is not null")
 
 
-def exclude_fuzzy_dead_ends(attributes: DataFrame, edges: DataFrame, ratio: float) -> DataFrame:
-    """Leaves with one parent that has more children and `ratio` times the leaf's size."""
+def _rounded(side: str) -> Column:
+    return rounded_rate(F.col(f"n_{side}"), F.col(f"{side}_start"), F.col(f"{side}_tip"))
+
+
+def exclude_fuzzy_dead_ends(attributes: DataFrame, edges: DataFrame, ratio: float = 10.0) -> DataFrame:
+    """Leaves with one parent that has more children and grows over `ratio` times as fast, by whole pixels an hour; edges: timed_edges."""
     n = degrees(attributes, edges)
     leaf = n.where("n_out = 0 and n_in = 1").select("box", F.col("cc_id").alias("dst"))
     forks = n.where("n_out > 1").select("box", F.col("cc_id").alias("src"))
-    return edges.join(leaf, ["box", "dst"]).join(forks, ["box", "src"]).where(F.col("n_s") > ratio * F.col("n_t")).select("box", F.col("dst").alias("cc_id"))
+    found = edges.join(leaf, ["box", "dst"]).join(forks, ["box", "src"]).where(_rounded("s") > ratio * _rounded("t"))
+    return found.select("box", F.col("dst").alias("cc_id"), F.lit("DEAD_END_FUZZY_SURFACE").alias("reason"))
 
 
-def exclude_tiny_starts(attributes: DataFrame, edges: DataFrame, ratio: float) -> DataFrame:
-    """Starts with a single successor that is `ratio` times larger."""
+def exclude_tiny_starts(attributes: DataFrame, edges: DataFrame, ratio: float = 10.0) -> DataFrame:
+    """Starts with a single successor that grows over `ratio` times as fast, by whole pixels an hour; edges: timed_edges."""
     start = degrees(attributes, edges).where("n_in = 0 and n_out = 1").select("box", F.col("cc_id").alias("src"))
-    return edges.join(start, ["box", "src"]).where(F.col("n_t") > ratio * F.col("n_s")).select("box", F.col("src").alias("cc_id"))
+    found = edges.join(start, ["box", "src"]).where(_rounded("t") > ratio * _rounded("s"))
+    return found.select("box", F.col("src").alias("cc_id"), F.lit("START_VERY_SMALL_RELATIVE_TO_SUCCESSOR").alias("reason"))
 
 
 def extremity_flag(attributes: DataFrame, active: DataFrame) -> DataFrame:
@@ -170,11 +199,11 @@ def activate_unique_links(edges: DataFrame) -> DataFrame:
     return edges.withColumn("n_out", n("src")).withColumn("n_in", n("dst")).where("n_out = 1 and n_in = 1").drop("n_out", "n_in")
 
 
-def activate_daily_unique_links(edges: DataFrame, ratio: float) -> DataFrame:
-    """Edges of one date, the only such ones at both ends, with sizes within a ratio."""
-    daily = edges.where("day_t = day_s + 1")
-    alike = F.greatest("n_s", "n_t") <= ratio * F.least("n_s", "n_t")
-    return activate_unique_links(daily).where(alike)
+def activate_daily_unique_links(edges: DataFrame, ratio: float = 3.0) -> DataFrame:
+    """Edges over one date, the only such ones at both ends, whose rates of growth differ by a ratio at most; edges: timed_edges."""
+    rate = lambda p: F.col(f"n_{p}") / (F.col(f"{p}_tip") - F.col(f"{p}_start") + EPS)
+    alike = (rate("t") <= ratio * rate("s")) & (rate("s") <= ratio * rate("t"))
+    return activate_unique_links(edges.where("day_t = day_s + 1")).where(alike)
 
 
 def hint_vectors(edges: DataFrame) -> DataFrame:
@@ -184,17 +213,148 @@ def hint_vectors(edges: DataFrame) -> DataFrame:
     return edges.select("box", "src", "dst", n.alias("length"), ((F.col("tx") - F.col("fx")) / safe).alias("ux"), ((F.col("ty") - F.col("fy")) / safe).alias("uy"))
 
 
+def surface_cost(n_s: Column, n_t: Column) -> Column:
+    """Relative difference of sizes."""
+    return C.similarity_cost(n_s, n_t)
+
+
+def _turn() -> Column:
+    """Orientation of an edge against downwards; a target whose centre is the connection costs most."""
+    return F.coalesce(C.orientation_cost(F.lit(0.0), F.lit(1.0), F.col("tx") - F.col("fx"), F.col("ty") - F.col("fy")), F.lit(100.0))
+
+
 def edge_cost_static(edges: DataFrame) -> DataFrame:
     """Time, twice the orientation against downwards, and the relative size difference; at most 100."""
-    turn = C.orientation_cost(F.lit(0.0), F.lit(1.0), F.col("tx") - F.col("fx"), F.col("ty") - F.col("fy"))
-    size = F.abs(F.col("n_s") - F.col("n_t")) / (F.col("n_s") + F.col("n_t"))
-    cost = C.time_cost(F.col("day_s"), F.col("day_t")) + 2 * F.coalesce(turn, F.lit(100.0)) + size
+    cost = C.time_cost(F.col("day_s"), F.col("day_t")) + 2 * _turn() + surface_cost(F.col("n_s"), F.col("n_t"))
     return edges.withColumn("cost", F.least(F.lit(100.0), cost))
 
 
-def edge_velocity(edges: DataFrame, step_hours: float) -> DataFrame:
-    """Distance from the connection to the target's centre over half an observation step."""
-    return edges.withColumn("speed", C.distance(F.col("fx"), F.col("fy"), F.col("tx"), F.col("ty")) / (step_hours / 2))
+def edge_velocity(edges: DataFrame, typical: float) -> DataFrame:
+    """Distance from the connection to the target's centre over the hours from its start to its centre, over half of `typical` where they are equal; edges: timed_edges."""
+    hours = F.when(F.col("t_mid") == F.col("t_start"), typical / 2).otherwise(F.col("t_mid") - F.col("t_start") + EPS)
+    return edges.withColumn("speed", C.distance(F.col("fx"), F.col("fy"), F.col("tx"), F.col("ty")) / hours)
+
+
+def _log_rates(typical: float) -> tuple[Column, Column]:
+    """Logarithms of the source's rate of growth and of its ratio to the target's."""
+    rate = lambda p: surface_growth_rate(F.col(f"n_{p}"), F.col(f"{p}_start"), F.col(f"{p}_tip"), typical)
+    return F.log(rate("s") + EPS), F.log(rate("s") / (rate("t") + EPS) + EPS)
+
+
+def speed_samples(edges: DataFrame, active: Column, typical: float) -> DataFrame:
+    """A sample for each target: of its cheapest active incoming edge, else of its cheapest incoming edge; edges: timed_edges with a cost.
+
+    Where a component's start is its tip, its growth took half of `typical` here. A speed of 0 counts as 1e-6.
+    """
+    rate, ratio = _log_rates(typical / 2)
+    best = F.min_by(F.struct("src", rate.alias("rate"), ratio.alias("ratio"), F.log(F.greatest("speed", F.lit(EPS))).alias("speed")), F.struct((~active).cast("int"), "cost", "src"))
+    rows = edge_velocity(edges, typical).groupBy("box", F.col("dst").alias("id")).agg(best.alias("b"))
+    return rows.select("box", "id", "b.src", "b.rate", "b.ratio", "b.speed")
+
+
+def knn_speed_stats(queries: DataFrame, samples: DataFrame, k: int = 20) -> DataFrame:
+    """box, query, and the median, lower and upper median of the speeds of the query's k nearest samples (box, id, rate, ratio, speed) of its box.
+
+    queries: box, query (a struct or an id), rate, ratio. Ties go to the least id; with fewer samples all count.
+    """
+    points = queries.select("box", "query", F.col("rate").alias("px"), F.col("ratio").alias("py"))
+    things = samples.select("box", "id", F.col("rate").alias("tx"), F.col("ratio").alias("ty"))
+    near = nearest(points, things, ["box"], ["query"], ["id"], k, digits=9).join(samples.select("box", "id", "speed"), ["box", "id"])
+    return mad_double_sided(near, ["box", "query"], F.col("speed"))
+
+
+def distance_cost(edges: DataFrame, samples: DataFrame, typical: float, k: int = 20) -> DataFrame:
+    """box, src, dst and distance_cost: how far an edge's log speed lies from those of the k samples of the most alike growth; edges: timed_edges.
+
+    Edges with `path_length` (null for those that are not hidden) have that length over the hours between the centres.
+    """
+    rate, ratio = _log_rates(typical)
+    speed = edge_velocity(edges, typical)
+    if "path_length" in edges.columns:
+        hours = F.when(F.col("t_mid") == F.col("s_mid"), typical / 2).otherwise(F.col("t_mid") - F.col("s_mid") + EPS)
+        speed = speed.withColumn("speed", F.coalesce(F.col("path_length") / hours, "speed"))
+    # Costs depend on the values alone, so equal queries are asked once.
+    asked = speed.select("box", "src", "dst", F.struct(F.round(rate, 9).alias("rate"), F.round(ratio, 9).alias("ratio")).alias("query"), F.log(F.col("speed") + EPS).alias("log_speed"))
+    queries = asked.select("box", "query").distinct().select("box", "query", "query.rate", "query.ratio")
+    stats = knn_speed_stats(queries, samples, k)
+    cost = C.mad_cost(F.col("log_speed"), F.col("median"), F.col("low"), F.col("high"))
+    return asked.join(stats, ["box", "query"]).select("box", "src", "dst", cost.alias("distance_cost"))
+
+
+def edge_cost_velocity(edges: DataFrame, samples: DataFrame, typical: float, k: int = 20) -> DataFrame:
+    """Time, ten times the connectivity of hidden edges, three times the distance, twice the orientation and the size difference; at most 100, which is also the cost of what has none.
+
+    edges: timed_edges, those of hidden edges with `path` (of components) and `path_length`.
+    """
+    near = distance_cost(edges, samples, typical, k)
+    through = F.when(F.col("path").isNotNull(), C.connectivity_cost(F.col("path"))).otherwise(0.0) if "path" in edges.columns else F.lit(0.0)
+    cost = C.time_cost(F.col("day_s"), F.col("day_t")) + 10 * through + 3 * F.col("distance_cost") + 2 * _turn() + surface_cost(F.col("n_s"), F.col("n_t"))
+    bad = (F.col("day_s") == 0) | (F.col("day_s") > F.col("day_t")) | (F.col("src") == F.col("dst"))
+    full = edges.join(near, ["box", "src", "dst"], "left")
+    return full.withColumn("cost", F.when(bad, 100.0).otherwise(F.least(F.lit(100.0), F.coalesce(cost, F.lit(100.0)))))
+
+
+def hidden_edge_candidates(attributes: DataFrame, edges: DataFrame, most_steps: int | None = None) -> DataFrame:
+    """box, src, dst and path: from each component the shortest way, over edges in both directions and through components that are not later, to
+    each of the same date and to each later one that the way meets first. Of equal lengths the least path counts.
+
+    Components with at most one edge in and one out start no search. most_steps bounds the length of ways; None searches on until
+    nothing new is met. A round joins only the newest ends of ways.
+    """
+    n = degrees(attributes, edges).where("n_out > 1 or n_in > 1").select("box", "cc_id")
+    dates = attributes.where("day > 0").select("box", "cc_id", "day")
+    both = edges.select("box", F.col("src").alias("at"), F.col("dst").alias("to")).unionByName(edges.select("box", F.col("dst").alias("at"), F.col("src").alias("to")))
+    both = both.join(dates.select("box", F.col("cc_id").alias("to"), F.col("day").alias("to_day")), ["box", "to"]).checkpoint()
+    front = dates.join(n, ["box", "cc_id"]).select("box", F.col("cc_id").alias("src"), "day", F.col("cc_id").alias("at"), F.array("cc_id").alias("path")).checkpoint()
+    seen = front.select("box", "src", "at")
+    found, steps = None, 0
+    while most_steps is None or steps < most_steps:
+        steps += 1
+        ahead = front.join(both, ["box", "at"]).select("box", "src", "day", "to", "to_day", F.concat("path", F.array("to")).alias("path"))
+        new = ahead.groupBy("box", "src", "to").agg(F.min("path").alias("path"), F.first("day").alias("day"), F.first("to_day").alias("to_day"))
+        new = new.join(seen.withColumnRenamed("at", "to"), ["box", "src", "to"], "left_anti").checkpoint()
+        if new.isEmpty():
+            break
+        ends = new.where("to_day >= day").select("box", "src", F.col("to").alias("dst"), "path")
+        found = ends if found is None else found.unionByName(ends)
+        seen = seen.unionByName(new.select("box", "src", F.col("to").alias("at"))).checkpoint()
+        front = new.where("to_day <= day").select("box", "src", "day", F.col("to").alias("at"), "path")
+    return found if found is not None else front.select("box", "src", F.col("at").alias("dst"), "path").limit(0)
+
+
+def component_path_length(paths: DataFrame, edges: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Lengths of ways (box, src, dst, path): from the first centre over the connections between its components to the last centre."""
+    key = ["box", "src", "dst"]
+    steps = paths.select(*key, F.posexplode("path").alias("i", "at"), F.col("path").alias("p")).withColumn("to", F.get("p", F.col("i") + 1)).drop("p")
+    sides = edges.select("box", F.col("src").alias("at"), F.col("dst").alias("to"), "fx", "fy").unionByName(edges.select("box", F.col("dst").alias("at"), F.col("src").alias("to"), "fx", "fy"))
+    links = steps.where("to is not null").join(sides, ["box", "at", "to"]).select(*key, (F.col("i") + 1).alias("i"), F.col("fx").alias("x"), F.col("fy").alias("y"))
+    centres = attributes.select("box", "cc_id", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
+    first = paths.select(*key).join(centres.withColumnRenamed("cc_id", "src"), ["box", "src"]).select(*key, F.lit(0).alias("i"), "x", "y")
+    last = paths.select(*key, F.size("path").alias("i")).join(centres.withColumnRenamed("cc_id", "dst"), ["box", "dst"]).select(*key, "i", "x", "y")
+    order = Window.partitionBy(*key).orderBy("i")
+    points = first.unionByName(links).unionByName(last)
+    leg = C.distance(F.lag("x").over(order), F.lag("y").over(order), F.col("x"), F.col("y"))
+    return points.withColumn("leg", leg).groupBy(*key).agg(F.sum("leg").alias("path_length"))
+
+
+def organ_neighbours(edges: DataFrame, organ_nodes: DataFrame) -> DataFrame:
+    """For each component the components of its own order before and after it along active edges (box, src, dst), the least of several."""
+    order = organ_nodes.select("box", "cc_id", "ord")
+    same = edges.select("box", "src", "dst").join(order.select("box", F.col("cc_id").alias("src"), F.col("ord").alias("a")), ["box", "src"]).join(order.select("box", F.col("cc_id").alias("dst"), F.col("ord").alias("b")), ["box", "dst"]).where("a = b")
+    before = same.groupBy("box", F.col("dst").alias("cc_id")).agg(F.min("src").alias("before"))
+    after = same.groupBy("box", F.col("src").alias("cc_id")).agg(F.min("dst").alias("after"))
+    return organ_nodes.select("box", "cc_id").join(before, ["box", "cc_id"], "left").join(after, ["box", "cc_id"], "left")
+
+
+def nearest_edge(queries: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each query (box, query, q_day_s, q_day_t, q_sx, q_sy, q_tx, q_ty) the edge with the nearest dates and centres, the least (src, dst) of equals.
+
+    Queries are few: what a user points at. They are sent to the edges, whose minimum is combined before it is shuffled.
+    """
+    parts = ("day_s", "day_t", "sx", "sy", "tx", "ty")
+    d2 = sum(((F.col(c) - F.col(f"q_{c}")) * (F.col(c) - F.col(f"q_{c}")) for c in parts), F.lit(0.0))
+    best = edges.join(queries, "box").groupBy("box", "query").agg(F.min(F.struct(F.round(d2, 6).alias("d2"), "src", "dst")).alias("m"))
+    return best.select("box", "query", "m.src", "m.dst", "m.d2")
 
 
 def best_incoming(edges: DataFrame) -> DataFrame:
@@ -224,16 +384,3 @@ def selection_candidates(edges: DataFrame, active: Column) -> DataFrame:
     """Edges without the inactive ones into targets that have an active one."""
     has = F.max(active.cast("int")).over(Window.partitionBy("box", "dst"))
     return edges.withColumn("active", active).withColumn("has", has).where("active or has = 0").drop("has")
-
-
-def knn_speed_stats(samples: DataFrame, k: int) -> DataFrame:
-    """Medians of the speed of each sample's k nearest others in (rate, ratio), ties by id. samples: box, id, rate, ratio, speed.
-
-    A box holds thousands of components, so pairs stay within it.
-    """
-    other = samples.select("box", F.col("id").alias("o_id"), F.col("rate").alias("o_rate"), F.col("ratio").alias("o_ratio"), F.col("speed").alias("o_speed"))
-    d2 = F.pow(F.col("rate") - F.col("o_rate"), F.lit(2)) + F.pow(F.col("ratio") - F.col("o_ratio"), F.lit(2))
-    near = samples.join(other, "box").where("id <> o_id").withColumn("n", F.row_number().over(Window.partitionBy("box", "id").orderBy(F.round(d2, 9), "o_id"))).where(F.col("n") <= k)
-    middle = near.withColumn("median", F.median("o_speed").over(Window.partitionBy("box", "id")))
-    v = F.col("o_speed")
-    return middle.groupBy("box", "id").agg(F.first("median").alias("median"), F.median(F.when(v <= F.col("median"), v)).alias("low"), F.median(F.when(v >= F.col("median"), v)).alias("high"))

@@ -73,7 +73,8 @@ def mean_sampling_interval(acq: DataFrame) -> DataFrame:
 def linear_interpolation(values: DataFrame, knots: DataFrame, key: list[str], at: str = "v") -> DataFrame:
     """Values with `y`: piecewise linear over their key's knots (x, y), clamped at both ends.
 
-    Knots and values are merged in one sorted pass per key, so no value meets more than its two knots.
+    Knots and values are merged in sorted passes of each key, up for the knot below and down for the one above, so no value
+    meets more than its two knots. A key's rows are sorted in one task, spilling to disk beyond its memory.
     """
     rows = values.select(*key, F.col(at).alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("ky"), F.struct(*values.columns).alias("row"))
     marks = knots.select(*key, F.col("x").cast("double").alias("x"), F.lit(0).alias("kind"), F.col("y").cast("double").alias("ky"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
@@ -81,7 +82,8 @@ def linear_interpolation(values: DataFrame, knots: DataFrame, key: list[str], at
     order = Window.partitionBy(*key).orderBy("x", "kind")
     knot = F.when(F.col("kind") == 0, F.struct("x", "ky"))
     low = F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(knot, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    down = Window.partitionBy(*key).orderBy(F.desc("x"), "kind")
+    high = F.last(knot, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("low", low).withColumn("high", high).where("kind = 1")
     share = (F.col("x") - F.col("low.x")) / (F.col("high.x") - F.col("low.x"))
     between = F.col("low.ky") + share * (F.col("high.ky") - F.col("low.ky"))
@@ -106,14 +108,26 @@ def common_prefix(labels: DataFrame, by: list[str], label: str) -> DataFrame:
 
 
 def guess_label(files: DataFrame, labels: DataFrame) -> DataFrame:
-    """For each file name the label (label, pos, suffix) whose suffix occurs most often in it, the first of equals.
+    """For each file name the label (label, pos, suffix) whose suffix occurs most often in it, the first of equals; null if none occurs.
 
-    The labels are a short list of an experiment's names: beyond the broadcast threshold Spark joins them another way.
+    A name's substrings of the suffixes' lengths are joined to the suffixes by equality. The driver only reads the distinct lengths,
+    of which there are no more than the longest suffix has characters.
     """
-    pairs = files.join(labels, F.contains(F.col("name"), F.col("suffix")), "left")
+    lengths = sorted(r[0] for r in labels.select(F.length("suffix")).where("length(suffix) > 0").distinct().collect())
+    names = files.select("name").distinct()
+    cuts = [F.when(F.length("name") >= n, F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, F.lit(n)))).otherwise(F.array()) for n in lengths]  # noqa: B023
+    parts = names.withColumn("suffix", F.explode(F.array_distinct(F.concat(*cuts)) if cuts else F.array().cast("array<string>")))
     hits = ((F.length("name") - F.length(F.replace("name", F.col("suffix"), F.lit("")))) / F.length("suffix")).cast("int")
-    best = pairs.withColumn("hits", F.coalesce(hits, F.lit(0))).groupBy("name").agg(F.max(F.struct("hits", (-F.col("pos")).alias("pos"), "label")).alias("best"))
-    return best.select("name", F.col("best.label").alias("label"), F.col("best.hits").alias("hits"))
+    best = parts.join(labels, "suffix").withColumn("hits", hits).groupBy("name").agg(F.max(F.struct("hits", (-F.col("pos")).alias("pos"), "label")).alias("best"))
+    return names.join(best, "name", "left").select("name", F.col("best.label").alias("label"), F.coalesce("best.hits", F.lit(0)).alias("hits"))
+
+
+def apply_dates_by_name(files: DataFrame, dates: DataFrame) -> DataFrame:
+    """Files (seq, name) with the time in the first line of dates (seq, line, name, text) of their sequence and trimmed name, written `Date=yyyy-MM-dd_Time=HH-mm-ss`."""
+    part = lambda n: F.regexp_extract("text", r"Date=(\d{4}-\d{2}-\d{2})_Time=(\d{2}-\d{2}-\d{2})", n)
+    when = F.try_to_timestamp(F.nullif(F.concat(part(1), F.lit(" "), part(2)), F.lit(" ")), F.lit("yyyy-MM-dd HH-mm-ss"))
+    first = dates.groupBy("seq", F.trim("name").alias("key")).agg(F.min_by("text", "line").alias("text")).withColumn("taken_at", when)
+    return files.withColumn("key", F.trim("name")).join(first, ["seq", "key"], "left").drop("key", "text")
 
 
 def tail_aligned_join(left: DataFrame, right: DataFrame, by: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
@@ -135,7 +149,7 @@ def cell_class_summary(cells: DataFrame, annotated: DataFrame) -> DataFrame:
         F.sum("area").alias("area"), F.sum(F.when(F.col("flag"), F.col("area")).otherwise(0.0)).alias("flagged_area"), F.count("*").alias("n"), F.count_if("flag").alias("n_flagged")
     )
     known = sums.join(annotated.select("image", F.lit(True).alias("known")), "image", "left")
-    share = F.when(F.col("known"), F.format_number(100 * F.col("flagged_area") / F.col("area"), 2)).otherwise("NA")
+    share = F.when(F.col("known"), F.format_number(100 * F.col("flagged_area") / F.nullif("area", F.lit(0.0)), 2)).otherwise("NA")
     return known.select("image", "area", "flagged_area", "n", "n_flagged", share.alias("percent"), F.when(F.col("known").isNull(), "no annotation").alias("reason"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvaframe.functions import scalars as C
+from sylvaframe.operators.nearest import nearest
 
 ROOT = ["model", "root"]
 
@@ -136,18 +137,25 @@ def length_summary(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each point (pid, model, x, y, z) the nearest node that is born by z, the least (root, seq) of equals."""
-    other = nodes.select("model", "root", "seq", F.col("x").alias("nx"), F.col("y").alias("ny"), "t")
-    d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-    best = points.join(other, "model").where("t <= z").groupBy("model", "pid").agg(F.min(F.struct(F.round(d2, 6).alias("d2"), "root", "seq")).alias("m"))
-    return best.select("model", "pid", "m.root", "m.seq", "m.d2")
+def nearest_node(points: DataFrame, nodes: DataFrame, where: Column | None = None) -> DataFrame:
+    """For each point (pid, model, x, y, z) the nearest node that is born by z and meets a condition, the least (root, seq) of equals."""
+    own = [c for c in points.columns if c not in ("model", "pid", "x", "y")]
+    asked = points.select("model", "pid", F.col("x").alias("px"), F.col("y").alias("py"), *own)
+    more = [c for c in nodes.columns if c not in ("model", "root", "seq", "x", "y")]
+    things = nodes.select(*ROOT, "seq", F.col("x").alias("tx"), F.col("y").alias("ty"), *more)
+    born = F.col("t") <= F.col("z")
+    return nearest(asked, things, ["model"], ["pid"], ["root", "seq"], where=born if where is None else born & where).drop("n")
 
 
-def length_series(nodes: DataFrame, days: int) -> DataFrame:
+def last_dates(nodes: DataFrame) -> DataFrame:
+    """model and last_date: the last date of each model, rounded up."""
+    return nodes.groupBy("model").agg(F.ceil(F.max("t")).cast("int").alias("last_date"))
+
+
+def length_series(nodes: DataFrame) -> DataFrame:
     """Arc length at the last exact node of each date, carried forward, and its growth since the date before."""
     exact = segments(nodes).where(is_exact(F.col("t"))).groupBy(*ROOT, F.col("t").cast("int").alias("day")).agg(F.max("c").alias("c"))
-    grid = nodes.select(*ROOT).distinct().withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
+    grid = nodes.select(*ROOT).distinct().join(last_dates(nodes), "model").select(*ROOT, F.explode(F.sequence(F.lit(1), F.col("last_date"))).alias("day"))
     by = Window.partitionBy(*ROOT).orderBy("day")
     filled = grid.join(exact, [*ROOT, "day"], "left").withColumn("length", F.coalesce(F.last("c", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     return filled.select(*ROOT, "day", "length", (F.col("length") - F.coalesce(F.lag("length").over(by), F.lit(0.0))).alias("growth"))

@@ -11,21 +11,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sylvaframe.operators.raster import appearance_date_map
+
 #: Observations of a pixel series.
 FRAMES = 28
 
 
+#: A series for each return flag and some orders, so that their number grows with the table.
+BOX_SQL = "l_returnflag || '_' || (l_orderkey // 5000)"
+#: Roots of a model.
+ROOTS = 30
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """box, t, x, y, v: quantities by quarter on a grid of parts and suppliers; a pixel has a value in every frame."""
+    """box, t, x, y, v: quantities by quarter on grids of parts and suppliers; a pixel has a value in every frame."""
     day = F.col("l_shipdate")
     sums = (
         table(spark, sf_dir, "lineitem")
         .select(
-            F.col("l_returnflag").alias("box"),
+            F.concat("l_returnflag", F.lit("_"), F.expr("l_orderkey div 5000").cast("string")).alias("box"),
             (F.col("l_partkey") % 40).cast("int").alias("x"),
             (F.col("l_suppkey") % 40).cast("int").alias("y"),
             ((F.year(day) - 1995) * 4 + F.quarter(day) - 1).cast("int").alias("t"),
@@ -40,7 +48,7 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     "sums": (
-        """SELECT l_returnflag AS box, CAST(l_partkey % 40 AS INTEGER) AS x, CAST(l_suppkey % 40 AS INTEGER) AS y,
+        f"""SELECT {BOX_SQL} AS box, CAST(l_partkey % 40 AS INTEGER) AS x, CAST(l_suppkey % 40 AS INTEGER) AS y,
         CAST((year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS t, sum(l_quantity) AS v
         FROM lineitem GROUP BY ALL""",
         (),
@@ -61,8 +69,8 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         ("raster",),
     ),
     "cells": (
-        """SELECT box, x, y, CAST((x * 7 + y * 3 + x * y) % 4 AS INTEGER) AS day FROM (SELECT DISTINCT box, x, y FROM sums)""",
-        ("sums",),
+        """SELECT box, x, y, CAST((day + 1) // 2 AS INTEGER) AS day FROM date_map""",
+        ("date_map",),
     ),
     "pixel_edges": (
         """SELECT a.box, a.x * 1000 + a.y AS p, b.x * 1000 + b.y AS q FROM cells a JOIN cells b
@@ -102,13 +110,20 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         ("facets", "comps"),
     ),
     "costed": (
-        """SELECT *, least(100, tc + 2 * coalesce(oc, 100) + sc) AS cost FROM (SELECT *, CASE WHEN day_t - day_s <= 1 THEN 0 ELSE 1 - 1 / (1.0 + (day_t - day_s - 1)) END AS tc,
+        """SELECT *, least(100, tc + 2 * coalesce(oc, 100) + sc) AS cost FROM (SELECT *, CASE WHEN day_t < day_s THEN 100 ELSE 1 - 1 / (1e0 + abs(day_t - day_s - 1)) END AS tc,
           pow((1 - (ty - fy) / nullif(sqrt((tx - fx) * (tx - fx) + (ty - fy) * (ty - fy)), 0)) / 2, 2) AS oc, abs(n_s - n_t) / CAST(n_s + n_t AS DOUBLE) AS sc FROM edges)""",
         ("edges",),
     ),
+    "timed": (
+        """SELECT *, CASE WHEN day_s >= 2 THEN day_s - 2 ELSE day_s - 1 END * 8e0 AS s_start, (day_s - 1) * 8e0 AS s_tip, CASE WHEN day_t >= 2 THEN day_t - 2 ELSE day_t - 1 END * 8e0 AS t_start, (day_t - 1) * 8e0 AS t_tip,
+          (CASE WHEN day_s >= 2 THEN day_s - 2 ELSE day_s - 1 END + day_s - 1) * 4e0 AS s_mid, (CASE WHEN day_t >= 2 THEN day_t - 2 ELSE day_t - 1 END + day_t - 1) * 4e0 AS t_mid, round(cost, 6) AS rcost FROM costed""",
+        ("costed",),
+    ),
     "forest": (
-        """SELECT r.model AS box, r.root AS cc_id, r.parent, n.n_px, n.x FROM roots r JOIN (SELECT root, count(*) AS n_px, min(x) FILTER (seq = 1) AS x FROM nodes GROUP BY root) n ON n.root = r.root""",
-        ("roots", "nodes"),
+        """SELECT c.box, c.cc_id, b.src AS parent, c.n_px, c.day, c.cx, c.cy, c.cx AS x, e.fx, e.fy FROM comps c
+        LEFT JOIN (SELECT box, dst, min((round(cost, 6), src))[2] AS src FROM costed GROUP BY 1, 2) b ON b.box = c.box AND b.dst = c.cc_id
+        LEFT JOIN edges e ON e.box = c.box AND e.dst = c.cc_id AND e.src = b.src""",
+        ("comps", "costed", "edges"),
     ),
     "closure": (
         """SELECT box, cc_id AS node, cc_id AS anc, 0 AS depth FROM forest UNION ALL SELECT c.box, c.node, f.parent, c.depth + 1 FROM closure c JOIN forest f ON f.box = c.box AND f.cc_id = c.anc WHERE f.parent IS NOT NULL""",
@@ -133,7 +148,7 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         ("closure",),
     ),
     "nodes": (
-        """SELECT user_id % 10 AS model, user_id AS root, seq, 40 * (user_id // 10) + sum(event_id % 7 - 3) OVER w AS x, sum(1 + event_id % 5) OVER w AS y,
+        """SELECT user_id // 30 AS model, user_id AS root, seq, 40 * (user_id % 30) + sum(event_id % 7 - 3) OVER w AS x, sum(1 + event_id % 5) OVER w AS y,
           1 + event_id % 3 AS diameter, CASE WHEN last_of_day THEN (day + 1) * 24e0 ELSE h4 / 1e4 END AS th,
           CASE WHEN last_of_day THEN day + 1e0 ELSE (h4 // 24) / 1e4 END AS t
         FROM (
@@ -145,7 +160,7 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "roots": (
-        """SELECT DISTINCT user_id % 10 AS model, user_id AS root, CASE WHEN user_id // 10 < 3 THEN NULL ELSE ((user_id // 10 - 3) // 2) * 10 + user_id % 10 END AS parent
+        """SELECT DISTINCT user_id // 30 AS model, user_id AS root, CASE WHEN user_id % 30 < 3 THEN NULL ELSE (user_id // 30) * 30 + (user_id % 30 - 3) // 2 END AS parent
         FROM events""",
         (),
     ),
@@ -166,13 +181,16 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "points": (
-        """SELECT event_id AS pid, user_id % 10 AS model, value AS x, 2 * value AS y, CAST(floor((epoch_us(ts) / 3600e6 - 473352) / 24) AS BIGINT) + 1 AS z
+        """SELECT event_id AS pid, user_id // 30 AS model, value AS x, 2 * value AS y, CAST(floor((epoch_us(ts) / 3600e6 - 473352) / 24) AS BIGINT) + 1 AS z
         FROM events WHERE event_type = 'signup'""",
         (),
     ),
 }
 
 
+RECURSIVE = ("pixel_reach", "closure", "ranks")
+
+
 def with_sql(uses: tuple[str, ...] | list[str], body: str) -> str:
     """A statement with the fixtures it uses, in order."""
     order: list[str] = []
@@ -187,16 +205,15 @@ def with_sql(uses: tuple[str, ...] | list[str], body: str) -> str:
         visit(name)
     if not order:
         return body
-    own = ",\n".join(f"{n} AS ({SQL[n][0]})" for n in order)
+    own = ",\n".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({SQL[n][0]})" for n in order)
     head = body.lstrip()
-    return f"WITH RECURSIVE {own}" + (f",\n{head[5:]}" if head.upper().startswith("WITH ") else f"\n{head}")
+    return f"WITH RECURSIVE {own}" + (f",\n{head[5:].removeprefix('RECURSIVE ')}" if head.upper().startswith("WITH ") else f"\n{head}")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """box, x, y, day: a date map with many small regions over the pixels of the raster."""
-    pixels = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("box"), (F.col("l_partkey") % 40).cast("int").alias("x"), (F.col("l_suppkey") % 40).cast("int").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    return pixels.distinct().withColumn("day", ((x * 7 + y * 3 + x * y) % 4).cast("int"))
+    """box, x, y, day: the date map of the raster, by two quarters a date, so that some neighbours share one."""
+    dates = lambda: appearance_date_map(raster(spark, sf_dir), 3, 5)
+    return remember(spark, sf_dir, "cells", lambda: dates().select("box", "x", "y", F.ceil(F.col("day") / 2).cast("int").alias("day")))
 
 
 def hours_since(ts: Column | str) -> Column:
@@ -214,9 +231,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.row_number().over(Window.partitionBy("user_id", "day").orderBy(F.desc("ts"), F.desc("event_id"))) == 1
     events = events.withColumn("last_of_day", last)
     run = own.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    k = F.expr("user_id div 10")
+    k = F.col("user_id") % ROOTS
     return events.select(
-        (F.col("user_id") % 10).alias("model"),
+        F.expr(f"user_id div {ROOTS}").alias("model"),
         F.col("user_id").alias("root"),
         "seq",
         (40 * k + F.sum(F.col("event_id") % 7 - 3).over(run)).alias("x"),
@@ -230,8 +247,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, root and parent (null for primaries)."""
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    parent = F.when(F.expr("user_id div 10 < 3"), None).otherwise(F.expr("((user_id div 10 - 3) div 2) * 10 + user_id % 10"))
-    return users.select((F.col("user_id") % 10).alias("model"), F.col("user_id").alias("root"), parent.alias("parent"))
+    parent = F.when(F.col("user_id") % 30 < 3, None).otherwise(F.expr("(user_id div 30) * 30 + (user_id % 30 - 3) div 2"))
+    return users.select(F.expr(f"user_id div {ROOTS}").alias("model"), F.col("user_id").alias("root"), parent.alias("parent"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +259,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("event_type = 'signup'")
     return events.select(
-        F.col("event_id").alias("pid"), (F.col("user_id") % 10).alias("model"), F.col("value").alias("x"), (2 * F.col("value")).alias("y"), (F.floor(hours_since("ts") / 24) + 1).alias("z")
+        F.col("event_id").alias("pid"), F.expr(f"user_id div {ROOTS}").alias("model"), F.col("value").alias("x"), (2 * F.col("value")).alias("y"), (F.floor(hours_since("ts") / 24) + 1).alias("z")
     )
 
 
@@ -258,6 +275,11 @@ def remember(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Da
     return _built[key]
 
 
+def forget() -> None:
+    """Drops the remembered fixtures, so that a query builds its own again."""
+    _built.clear()
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Checkpoints go where the session says; only where it doesn't, to a folder under the warehouse."""
     if spark.sparkContext.getCheckpointDir() is None:

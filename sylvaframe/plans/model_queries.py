@@ -59,12 +59,12 @@ add("laterals_per_plant", lambda s, d: M.laterals_per_plant(X.roots(s, d)), "SEL
 add("children_summary", both(M.children_summary, "length"), "SELECT r.model, parent AS root, count(*) AS n, round(sum(l), 3) AS length FROM roots r JOIN (SELECT root, coalesce(sum(len), 0) AS l FROM segs GROUP BY 1) s ON s.root = r.root WHERE parent IS NOT NULL GROUP BY 1, 2", ("segs", "roots"))
 add(
     "plant_time_series",
-    both(lambda n, r: M.plant_time_series(n, r, 8), "primary_length", "lateral_length"),
+    both(M.plant_time_series, "primary_length", "lateral_length"),
     """WITH v AS (SELECT model, root, day, coalesce(sum(CASE WHEN t1 <= day THEN len WHEN t <= day THEN len * (day - t) / (t1 - t) ELSE 0 END), 0) AS length, min(t) <= day AS there
-      FROM segs CROSS JOIN (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS day) GROUP BY 1, 2, 3)
+      FROM (SELECT s.*, CAST(unnest(range(1, last + 1)) AS INTEGER) AS day FROM segs s JOIN (SELECT model, CAST(ceil(max(t)) AS BIGINT) AS last FROM nodes GROUP BY 1) USING (model)) GROUP BY 1, 2, 3)
     SELECT v.model, v.root AS plant, v.day, round(any_value(v.length), 3) AS primary_length, count(*) FILTER (k.there) AS n_laterals, round(coalesce(sum(k.length), 0), 3) AS lateral_length
     FROM v JOIN roots r ON r.root = v.root AND r.parent IS NULL LEFT JOIN (SELECT v.*, r.parent FROM v JOIN roots r ON r.root = v.root) k ON k.parent = v.root AND k.day = v.day GROUP BY 1, 2, 3""",
-    ("segs", "roots"),
+    ("segs", "roots", "nodes"),
 )
 HIDDEN = "(x + y) % 5 = 0"
 add("organ_segments", on(lambda n: M.organ_segments(n, F.expr(HIDDEN))), f"SELECT model, root, CAST(part AS BIGINT) AS part, min(seq) AS first, max(seq) AS last, count(*) AS n FROM (SELECT *, sum(CAST({HIDDEN} AS INTEGER)) OVER (PARTITION BY model, root ORDER BY seq) AS part FROM nodes) GROUP BY 1, 2, 3", ("nodes",))
@@ -72,13 +72,22 @@ add("hidden_runs", on(lambda n: M.hidden_runs(n, F.expr(HIDDEN))), f"SELECT mode
 add("time_knots", on(M.time_knots, "distance"), "SELECT model, root, CAST(floor(t) AS BIGINT) AS day, round(max(c), 3) AS distance FROM segs GROUP BY 1, 2, 3", ("segs",))
 
 
-def _edits(s, d):
-    return X.table(s, d, "events").where("event_type = 'click'").select((F.col("user_id") % 10).alias("model"), F.col("event_id").alias("id"), (F.col("event_id") % 9).alias("action"), "value")
+def _lines(s, d):
+    """Lines of edit logs: every 40th edit of a model's log has an empty action, which ends it."""
+    v = lambda e: F.expr(e).cast("string")
+    label = lambda k: F.lit(f"Pt_{k}")
+    fields = F.concat(
+        F.array(F.when(F.expr("event_id % 397 = 0"), F.lit("")).otherwise(F.concat(F.lit("ACTION_"), v("event_id % 9"))), v("1 + event_id % 2")), F.array(label(0), v("value"), v("value + event_id % 5"), v("event_id % 28 + 1")),
+        F.when(F.expr("event_id % 2 = 1"), F.array(label(1), v("2 * value"), v("value"), v("event_id % 28 + 2"))).otherwise(F.array().cast("array<string>")),
+    )
+    return X.table(s, d, "events").where("event_type = 'click'").select(F.expr(f"user_id div {X.ROOTS}").alias("model"), F.col("event_id").alias("line"), fields.alias("fields"))
 
 
-EDITS = "SELECT user_id % 10 AS model, event_id AS id, event_id % 9 AS action, value, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS seq FROM events WHERE event_type = 'click'"
-add("edit_log", lambda s, d: M.edit_log(_edits(s, d), 5), f"SELECT * FROM ({EDITS}) WHERE seq <= 5")
-add("edit_undo", lambda s, d: M.edit_undo(M.edit_log(_edits(s, d), 5)), f"SELECT * FROM ({EDITS}) WHERE seq < least(5, (SELECT count(*) FROM events WHERE event_type = 'click' AND user_id % 10 = model))")
+CLICKS = "SELECT user_id // 30 AS model, event_id AS line, event_id, value, CASE WHEN event_id % 397 = 0 THEN '' ELSE 'ACTION_' || (event_id % 9) END AS action FROM events WHERE event_type = 'click'"
+EDITS = f"""SELECT model, CAST(seq AS BIGINT) AS seq, action, p AS point, CASE WHEN p = 0 THEN value ELSE 2 * value END AS x, CASE WHEN p = 0 THEN value + event_id % 5 ELSE value END AS y, CAST(event_id % 28 + 1 + p AS DOUBLE) AS z
+FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY line) AS seq, sum(CASE WHEN action = '' THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY line) AS ended FROM ({CLICKS})), (VALUES (0), (1)) k(p) WHERE ended = 0 AND p <= event_id % 2"""
+add("edit_log", lambda s, d: M.edit_log(_lines(s, d)), EDITS)
+add("edit_undo", lambda s, d: M.edit_undo(M.edit_log(_lines(s, d))), f"SELECT * FROM ({EDITS}) QUALIFY seq < max(seq) OVER (PARTITION BY model)")
 add(
     "trimmed_matches",
     lambda s, d: M.trimmed_matches(X.table(s, d, "orders").select((F.col("o_custkey") % 20).alias("block"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")), ["block"], "score", 1000.0, 0.8),
@@ -86,6 +95,6 @@ add(
 )
 add(
     "chain_displacements",
-    lambda s, d: M.chain_displacements(X.table(s, d, "orders").select((F.col("o_custkey") % 20).alias("series"), F.col("o_orderkey").alias("t"), (F.col("o_custkey") % 7 - 3).alias("dx")), "series"),
-    "SELECT o_custkey % 20 AS series, o_orderkey AS t, o_custkey % 7 - 3 AS dx, CAST(sum(o_custkey % 7 - 3) OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey DESC) AS BIGINT) AS total FROM orders",
+    lambda s, d: M.chain_displacements(X.table(s, d, "orders").select((F.col("o_custkey") % 20).alias("series"), F.col("o_orderkey").alias("t"), (F.col("o_custkey") % 7 - 3).alias("dx"), (F.col("o_custkey") % 5 - 2).alias("dy")), "series"),
+    "SELECT o_custkey % 20 AS series, o_orderkey AS t, o_custkey % 7 - 3 AS dx, o_custkey % 5 - 2 AS dy, CAST(sum(o_custkey % 7 - 3) OVER w AS BIGINT) AS total_dx, CAST(sum(o_custkey % 5 - 2) OVER w AS BIGINT) AS total_dy FROM orders WINDOW w AS (PARTITION BY o_custkey % 20 ORDER BY o_orderkey DESC)",
 )

@@ -24,15 +24,15 @@ add("subsample_grid", _on(lambda r: R.subsample_grid(r, 4), "v"), "SELECT box, t
 add("crop_window", _on(lambda r: R.crop_window(r, 5, 8, 20, 15)), "SELECT box, t, x - 5 AS x, y - 8 AS y, v FROM raster WHERE x BETWEEN 5 AND 24 AND y BETWEEN 8 AND 22", ("raster",))
 add(
     "stack_observations",
-    lambda s, d: R.stack_observations(X.raster(s, d), s.range(X.FRAMES).select(F.explode(F.array(F.lit("A"), F.lit("R"))).alias("box"), F.col("id").cast("int").alias("t"), (F.col("id") * 8).alias("hours"))),
-    "SELECT r.box, r.t, x, y, v, CAST(r.t AS BIGINT) * 8 AS hours FROM raster r WHERE box IN ('A', 'R')",
+    lambda s, d: R.stack_observations(X.raster(s, d), X.raster(s, d).select("box", "t").distinct().withColumn("hours", F.col("t").cast("long") * 8)),
+    "SELECT r.box, r.t, x, y, v, CAST(r.t AS BIGINT) * 8 AS hours FROM raster r",
     ("raster",),
 )
 add(
     "gaussian_smooth",
-    _on(lambda r: R.gaussian_smooth(r.where("t < 4"), 0.8), "v"),
+    _on(lambda r: R.gaussian_smooth(r, 0.8), "v"),
     """SELECT a.box, a.t, a.x, a.y, round(sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 1.28) * b.v) / sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 1.28)), 4) AS v
-    FROM raster a JOIN raster b ON a.box = b.box AND a.t = b.t AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 WHERE a.t < 4 GROUP BY ALL""",
+    FROM raster a JOIN raster b ON a.box = b.box AND a.t = b.t AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 GROUP BY ALL""",
     ("raster",),
 )
 SCORES = """SELECT *, CASE WHEN t = 0 THEN total / n - 0 ELSE (total - before) / (n - t) - before / t END AS rupture FROM (
@@ -49,14 +49,10 @@ add(
 add("appearance_date_map", lambda s, d: R.appearance_date_map(X.raster(s, d), 3, 5).drop("score"), "SELECT box, x, y, day FROM date_map", ("date_map",))
 add("first_below_threshold", _on(lambda r: R.first_below_threshold(r, 10.0)), f"SELECT {KEY}, coalesce(min(t) FILTER (v < 10 AND t > 0), 0) AS day FROM raster GROUP BY ALL", ("raster",))
 add("max_over_threshold_argmax", _on(lambda r: R.max_over_threshold_argmax(r, 30.0)), f"SELECT {KEY}, coalesce(arg_max(t, step * 1000 - t) FILTER (step > 30), 0) AS day FROM ({STEPS}) GROUP BY ALL", ("raster",))
+# Scores are rounded at the ninth place, so that equal ones tie in any engine.
 BEST = "SELECT box, x, y, coalesce((min((({sign} * -round(rupture, 9)), t)) FILTER (t > 0 AND {sign} * rupture > {over}))[2], 0) AS day FROM ({scores}) GROUP BY ALL"
 
 
-def exact(fn):
-    """Sums of whole numbers: scores rounded at the ninth place, so that equal ones tie in any engine."""
-    return fn
-
-
 add("rupture_up", _on(lambda r: R.rupture_best(r, 4.0, False)), BEST.format(sign="1", over=4, scores=SCORES), ("raster",))
 add("rupture_down", _on(lambda r: R.rupture_best(r, 4.0, True)), BEST.format(sign="-1", over=4, scores=SCORES), ("raster",))
 MASKED = SCORES.replace("FROM raster)", "FROM (SELECT * FROM (SELECT *, max(CASE WHEN v >= 5 THEN t END) OVER (PARTITION BY box, x, y) AS last FROM raster) WHERE t <= last))")
@@ -84,8 +80,8 @@ VOTES = """SELECT c.box, c.x, c.y, any_value(c.day) AS own, CASE WHEN count(n.da
 add("mode_filter_3x3", lambda s, d: R.mode_filter_3x3(X.cells(s, d)), f"SELECT {KEY}, coalesce(mode, own) AS day FROM ({VOTES})", ("cells",))
 add("hole_fill_3x3", lambda s, d: R.mode_filter_3x3(X.cells(s, d), only_holes=True), f"SELECT {KEY}, CASE WHEN own = 0 THEN coalesce(mode, own) ELSE own END AS day FROM ({VOTES})", ("cells",))
 LINE = [(0, k) for k in range(-2, 3)]
-add("dilate", _on(lambda r: R.dilate_erode(r.where("t < 6"), LINE)), "SELECT a.box, a.t, a.x, a.y, max(b.v) AS v FROM raster a JOIN raster b ON a.box = b.box AND a.t = b.t AND a.x = b.x AND abs(a.y - b.y) <= 2 WHERE a.t < 6 GROUP BY ALL", ("raster",))
-add("erode", _on(lambda r: R.dilate_erode(r.where("t < 6"), LINE, False)), "SELECT a.box, a.t, a.x, a.y, min(b.v) AS v FROM raster a JOIN raster b ON a.box = b.box AND a.t = b.t AND a.x = b.x AND abs(a.y - b.y) <= 2 WHERE a.t < 6 GROUP BY ALL", ("raster",))
+add("dilate", _on(lambda r: R.dilate_erode(r, LINE)), "SELECT a.box, a.t, a.x, a.y, max(b.v) AS v FROM raster a JOIN raster b ON a.box = b.box AND a.t = b.t AND a.x = b.x AND abs(a.y - b.y) <= 2 GROUP BY ALL", ("raster",))
+add("erode", _on(lambda r: R.dilate_erode(r, LINE, False)), "SELECT a.box, a.t, a.x, a.y, min(b.v) AS v FROM raster a JOIN raster b ON a.box = b.box AND a.t = b.t AND a.x = b.x AND abs(a.y - b.y) <= 2 GROUP BY ALL", ("raster",))
 add(
     "column_local_max",
     _on(lambda r: R.column_local_max(r, 3)),
@@ -94,16 +90,16 @@ add(
 )
 add(
     "template_correlation",
-    _on(lambda r: R.template_correlation(r.where("t < 6"), [1, 2, 4, 2, 1]), "r"),
+    _on(lambda r: R.template_correlation(r, [1, 2, 4, 2, 1]), "r"),
     """SELECT box, t, x, y, CASE WHEN d > 0 THEN round(c / sqrt(d), 4) ELSE 0 END AS r FROM (
       SELECT box, t, x, y - i AS y, count(*) AS n, count(*) * sum(v * w) - sum(v) * sum(w) AS c, (count(*) * sum(v * v) - sum(v) * sum(v)) * (count(*) * sum(w * w) - sum(w) * sum(w)) AS d
-      FROM raster CROSS JOIN (VALUES (0, 1.0), (1, 2.0), (2, 4.0), (3, 2.0), (4, 1.0)) k(i, w) WHERE t < 6 GROUP BY ALL) WHERE n = 5""",
+      FROM raster CROSS JOIN (VALUES (0, 1.0), (1, 2.0), (2, 4.0), (3, 2.0), (4, 1.0)) k(i, w) GROUP BY ALL) WHERE n = 5""",
     ("raster",),
 )
 add(
     "mass_centre",
     _on(lambda r: R.mass_centre(r, F.when(F.col("v") < 60, 60 - F.col("v")).otherwise(0)), "cx", "cy"),
-    "SELECT box, t, round(sum(x * greatest(60 - v, 0)) / sum(greatest(60 - v, 0)), 4) AS cx, round(sum(y * greatest(60 - v, 0)) / sum(greatest(60 - v, 0)), 4) AS cy FROM raster GROUP BY ALL",
+    "SELECT box, t, round(sum(x * greatest(60 - v, 0)) / nullif(sum(greatest(60 - v, 0)), 0), 4) AS cx, round(sum(y * greatest(60 - v, 0)) / nullif(sum(greatest(60 - v, 0)), 0), 4) AS cy FROM raster GROUP BY ALL",
     ("raster",),
 )
 add(
@@ -128,8 +124,8 @@ def _frames(s):
 add("frame_mask_from_times", lambda s, d: R.frame_mask_from_times(X.cells(s, d), _frames(s)), f"SELECT {KEY}, CAST(f AS INTEGER) AS frame FROM cells JOIN range(12) k(f) ON f * 0.4 >= day WHERE day > 0", ("cells",))
 add(
     "frame_blend",
-    lambda s, d: rounded(R.frame_blend(X.raster(s, d).withColumn("in_fg", F.col("x") % 2 == 0), s.range(20).select(F.col("id").cast("int").alias("frame"), (F.col("id") / 2).cast("int").alias("t"), (F.col("id") % 2 * 0.5).alias("ratio"))), "v"),
-    f"""SELECT CAST(f AS INTEGER) AS frame, {KEY}, round(a.v * (1 - k) + b.v * k, 4) AS v FROM (SELECT *, CASE WHEN f % 2 = 0 THEN 0.0 WHEN x % 2 = 0 THEN 1.0 ELSE (0.5 - 0.2) / 0.6 END AS k
-    FROM raster JOIN range(20) g(f) ON t = f // 2) a JOIN (SELECT box, x, y, t - 1 AS t, v FROM raster) b USING (box, x, y, t)""",
-    ("raster",),
+    lambda s, d: rounded(R.frame_blend(X.raster(s, d).withColumn("in_fg", F.col("x") % 2 == 0), s.range(20).select(F.col("id").cast("int").alias("frame"), (F.col("id") / 2).cast("int").alias("t"), (F.col("id") % 2 * 0.5).alias("ratio")), X.cells(s, d).where("day = 1"), 130.0), "v"),
+    f"""SELECT CAST(f AS INTEGER) AS frame, {KEY}, CASE WHEN c.day = 1 THEN 130 ELSE round(a.v * (1 - k) + b.v * k, 4) END AS v FROM (SELECT *, CASE WHEN f % 2 = 0 THEN 0.0 WHEN x % 2 = 0 THEN 1.0 ELSE (0.5 - 0.2) / 0.6 END AS k
+    FROM raster JOIN range(20) g(f) ON t = f // 2) a JOIN (SELECT box, x, y, t - 1 AS t, v FROM raster) b USING (box, x, y, t) JOIN cells c USING (box, x, y)""",
+    ("raster", "cells"),
 )

@@ -86,18 +86,18 @@ add("mean_sampling_interval", lambda s, d: _r(T.mean_sampling_interval(acquisiti
 
 
 def _interpolation(s, d):
-    knots = X.table(s, d, "orders").where("o_custkey % 50 < 5").groupBy((F.col("o_custkey") % 50).alias("k"), F.datediff("o_orderdate", F.lit("1995-01-01")).alias("x")).agg(F.sum("o_totalprice").alias("y"))
-    values = X.table(s, d, "part").select((F.col("p_partkey") % 5).alias("k"), "p_partkey", (F.col("p_size") * 61.5 - 300).alias("v"))
+    knots = X.table(s, d, "orders").groupBy((F.col("o_custkey") % 50).alias("k"), F.datediff("o_orderdate", F.lit("1995-01-01")).alias("x")).agg(F.sum("o_totalprice").alias("y"))
+    values = X.table(s, d, "part").select((F.col("p_partkey") % 50).alias("k"), "p_partkey", (F.col("p_size") * 61.5 - 300).alias("v"))
     return _r(T.linear_interpolation(values, knots, ["k"]), "y")
 
 
 add(
     "linear_interpolation",
     _interpolation,
-    """WITH knots AS (SELECT o_custkey % 50 AS k, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, sum(o_totalprice) AS y FROM orders WHERE o_custkey % 50 < 5 GROUP BY ALL),
-    v AS (SELECT p_partkey % 5 AS k, p_partkey, CAST(p_size * 61.5 - 300 AS DOUBLE) AS v FROM part),
-    j AS (SELECT v.*, (SELECT max((n.x, n.y)) FROM knots n WHERE n.k = v.k AND n.x <= v.v) AS lo, (SELECT min((n.x, n.y)) FROM knots n WHERE n.k = v.k AND n.x >= v.v) AS hi FROM v)
-    SELECT k, p_partkey, v, round(CASE WHEN lo IS NULL THEN hi[2] WHEN hi IS NULL OR lo[1] = v THEN lo[2] ELSE lo[2] + (v - lo[1]) / (hi[1] - lo[1]) * (hi[2] - lo[2]) END, 4) AS y FROM j""",
+    """WITH knots AS MATERIALIZED (SELECT o_custkey % 50 AS k, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, sum(o_totalprice) AS y FROM orders GROUP BY ALL),
+    v AS (SELECT p_partkey % 50 AS k, p_partkey, CAST(p_size * 61.5 - 300 AS DOUBLE) AS v FROM part),
+    j AS (SELECT v.*, lo.x AS lx, lo.y AS ly, hi.x AS hx, hi.y AS hy FROM v ASOF LEFT JOIN knots lo ON lo.k = v.k AND lo.x <= v.v ASOF LEFT JOIN knots hi ON hi.k = v.k AND hi.x >= v.v)
+    SELECT k, p_partkey, v, round(CASE WHEN lx IS NULL THEN hy WHEN hx IS NULL OR lx = v THEN ly ELSE ly + (v - lx) / (hx - lx) * (hy - ly) END, 4) AS y FROM j""",
 )
 L = lambda s, d: X.table(s, d, "lineitem")
 E_ = lambda s, d: X.table(s, d, "events")
@@ -123,11 +123,22 @@ add("count_occurrences", lambda s, d: X.table(s, d, "documents").select("doc_id"
 add(
     "guess_label",
     lambda s, d: T.guess_label(
-        X.table(s, d, "part").select(F.concat("p_name", F.lit("_"), F.concat(F.lit("Supplier#"), F.lpad((c("p_partkey") % 12).cast("string"), 9, "0"))).alias("name")).distinct(),
-        X.table(s, d, "supplier").where("s_suppkey < 20").select(c("s_name").alias("label"), c("s_suppkey").alias("pos"), F.right("s_name", F.lit(4)).alias("suffix")),
+        X.table(s, d, "part").select(F.concat("p_name", F.lit("_"), F.concat(F.lit("Supplier#"), F.lpad((c("p_partkey") % 1200).cast("string"), 9, "0"))).alias("name")).distinct(),
+        X.table(s, d, "supplier").select(c("s_name").alias("label"), c("s_suppkey").alias("pos"), F.right("s_name", F.lit(4)).alias("suffix")),
     ),
-    """SELECT name, arg_max(label, hits * 1000 - pos) AS label, max(hits) AS hits FROM (SELECT name, label, pos, CAST(coalesce((length(name) - length(replace(name, suffix, ''))) / 4, 0) AS INTEGER) AS hits
-    FROM (SELECT DISTINCT p_name || '_Supplier#' || lpad(CAST(p_partkey % 12 AS VARCHAR), 9, '0') AS name FROM part) LEFT JOIN (SELECT s_name AS label, s_suppkey AS pos, right(s_name, 4) AS suffix FROM supplier WHERE s_suppkey < 20) ON contains(name, suffix)) GROUP BY name""",
+    """SELECT name, arg_max(label, hits * 1000000 - pos) AS label, max(hits) AS hits FROM (SELECT name, label, pos, CAST(coalesce((length(name) - length(replace(name, suffix, ''))) / 4, 0) AS INTEGER) AS hits
+    FROM (SELECT DISTINCT p_name || '_Supplier#' || lpad(CAST(p_partkey % 1200 AS VARCHAR), 9, '0') AS name FROM part) LEFT JOIN (SELECT s_name AS label, s_suppkey AS pos, right(s_name, 4) AS suffix FROM supplier) ON contains(name, suffix)) GROUP BY name""",
+)
+add(
+    "apply_dates_by_name",
+    lambda s, d: T.apply_dates_by_name(
+        X.table(s, d, "orders").select((c("o_custkey") % 50).alias("seq"), F.concat(F.lit("img"), c("o_orderkey").cast("string"), F.lit(" ")).alias("name")),
+        X.table(s, d, "orders").where("o_orderkey % 3 > 0").select(
+            (c("o_custkey") % 50).alias("seq"), c("o_orderkey").alias("line"), F.concat(F.lit(" img"), c("o_orderkey").cast("string")).alias("name"),
+            F.when(c("o_orderkey") % 5 == 0, "none").otherwise(F.concat(F.lit("Date="), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_Time="), F.lpad((c("o_orderkey") % 24).cast("string"), 2, "0"), F.lit("-15-00"))).alias("text"),
+        ),
+    ),
+    """SELECT o_custkey % 50 AS seq, 'img' || o_orderkey || ' ' AS name, CASE WHEN o_orderkey % 3 > 0 AND o_orderkey % 5 > 0 THEN date_trunc('day', o_orderdate) + to_hours(o_orderkey % 24) + INTERVAL 15 MINUTE END AS taken_at FROM orders""",
 )
 add("tail_aligned_join", lambda s, d: T.tail_aligned_join(X.table(s, d, "supplier").select(c("s_nationkey").alias("k"), "s_suppkey"), X.table(s, d, "customer").select(c("c_nationkey").alias("k"), "c_custkey"), ["k"], ["s_suppkey"], ["c_custkey"]).drop("from_end"),
     "SELECT k, s_suppkey, c_custkey FROM (SELECT s_nationkey AS k, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC) AS n FROM supplier) JOIN (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS n FROM customer) USING (k, n)")
@@ -142,10 +153,10 @@ add(
 add("mad_double_sided", lambda s, d: _r(T.mad_double_sided(L(s, d), ["l_suppkey"], c("l_quantity")), "median", "low", "high"),
     """SELECT l_suppkey, m AS median, round(median(l_quantity) FILTER (l_quantity <= m), 4) AS low, round(median(l_quantity) FILTER (l_quantity >= m), 4) AS high
     FROM lineitem JOIN (SELECT l_suppkey, median(l_quantity) AS m FROM lineitem GROUP BY 1) USING (l_suppkey) GROUP BY ALL""")
-add("time_cost", ev(lambda: [F.round(C.time_cost(c("user_id"), c("event_id") % 60), 4).alias("cost")]), "SELECT event_id, CASE WHEN g < 0 THEN 100 WHEN g <= 1 THEN 0 ELSE round(1 - 1 / (1.0 + (g - 1)), 4) END AS cost FROM (SELECT event_id, event_id % 60 - user_id AS g FROM events)")
+add("time_cost", ev(lambda: [F.round(C.time_cost(c("user_id"), c("event_id") % 60), 4).alias("cost")]), "SELECT event_id, CASE WHEN g < 0 THEN 100 ELSE round(1 - 1 / (1e0 + abs(g - 1)), 4) END AS cost FROM (SELECT event_id, event_id % 60 - user_id AS g FROM events)")
 add("orientation_cost", ev(lambda: [F.round(C.orientation_cost(F.lit(0.0), F.lit(1.0), (c("event_id") % 7 - 3).cast("double"), (c("event_id") % 5 - 2).cast("double")), 4).alias("cost")]),
     "SELECT event_id, round(((1 - dy / nullif(sqrt(dx * dx + dy * dy), 0)) / 2) ** 2, 4) AS cost FROM (SELECT event_id, CAST(event_id % 7 - 3 AS DOUBLE) AS dx, CAST(event_id % 5 - 2 AS DOUBLE) AS dy FROM events)")
-add("connectivity_cost", ev(lambda: [F.round(C.connectivity_cost(F.array_repeat(F.lit(1), (c("event_id") % 9 + 2).cast("int"))), 4).alias("cost")]), "SELECT event_id, round(1 - 1 / (1.0 + event_id % 9), 4) AS cost FROM events")
-add("mad_cost", ev(lambda: [F.round(C.mad_cost(c("value"), F.lit(20.0), F.lit(12.0), F.lit(31.0)), 4).alias("cost")]), "SELECT event_id, round(1 - exp(-abs(value - 20) / (1.4826 * CASE WHEN value < 20 THEN 8.0 ELSE 11.0 END) / 2), 4) AS cost FROM events")
+add("connectivity_cost", ev(lambda: [F.round(C.connectivity_cost(F.array_repeat(F.lit(1), (c("event_id") % 11).cast("int"))), 4).alias("cost")]), "SELECT event_id, CASE WHEN event_id % 11 < 2 THEN 100 ELSE round(1 - 1 / (1e0 + event_id % 11 - 2), 4) END AS cost FROM events")
+add("mad_cost", ev(lambda: [F.round(C.mad_cost(c("value"), F.lit(20.0), F.lit(12.0), F.lit(31.0)), 4).alias("cost")]), "SELECT event_id, round(1 - exp(-abs(value - 20) / (1.4826 * (CASE WHEN value < 20 THEN 8.0 ELSE 11.0 END + 1e-6)) / 2), 4) AS cost FROM events")
 add("speed_colour", ev(lambda: [C.speed_colour(c("value"), 64.0).alias("level")]), "SELECT event_id, CAST(greatest(0, least(255, floor(50 + 205 * value / 64.0))) AS INTEGER) AS level FROM events")
 add("anomaly_code", ev(lambda: [C.anomaly_code(F.concat_ws("_", "event_type", F.lit("too"), "event_type")).alias("code")]), "SELECT event_id, upper(left(event_type, 1) || 't' || left(event_type, 1)) AS code FROM events")

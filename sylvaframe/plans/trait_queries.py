@@ -106,10 +106,10 @@ add(
 )
 add(
     "primary_length_series",
-    on(lambda n: T.length_series(n, 30), "length", "growth"),
+    on(T.length_series, "length", "growth"),
     f"""SELECT model, root, day, round(length, 3) AS length, round(length - coalesce(lag(length) OVER (PARTITION BY model, root ORDER BY day), 0), 3) AS growth FROM (
       SELECT model, root, day, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY model, root ORDER BY day ROWS UNBOUNDED PRECEDING), 0) AS length
-      FROM (SELECT DISTINCT model, root FROM nodes) CROSS JOIN (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS day)
+      FROM (SELECT model, root, CAST(unnest(range(1, last + 1)) AS INTEGER) AS day FROM (SELECT DISTINCT model, root FROM nodes) JOIN (SELECT model, CAST(ceil(max(t)) AS BIGINT) AS last FROM nodes GROUP BY 1) USING (model))
       LEFT JOIN (SELECT model, root, CAST(t AS INTEGER) AS day, max(c) AS c FROM segs WHERE {EXACT} GROUP BY 1, 2, 3) USING (model, root, day))""",
     ("segs",),
 )
