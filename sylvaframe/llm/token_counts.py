@@ -43,21 +43,23 @@ class PieceCounter:
         a, b = a.replace(" ", "▁"), b.replace(" ", "▁")
         return a + b not in self.inside and a in self.known and b in self.known
 
-    def parts(self, text: str) -> Iterator[str]:
-        """The text in parts of about the chunk size; where there is no safe cut, a part grows until there is one."""
+    def parts(self, text: str) -> Iterator[tuple[str, int]]:
+        """The text in parts of about the chunk size, where there is no safe cut a longer one, and how many tokens of each are its guard's."""
         start = 0
         while self.splits and len(text) - start > self.chunk:
             at = next((i for i in range(start + self.chunk, start + self.chunk // 2, -1) if self.safe(text[i - 1], text[i])), 0)
             at = at or next((i for i in range(start + self.chunk, len(text)) if self.safe(text[i - 1], text[i])), 0)
             if not at:
                 break
-            yield (self.guard if start else "") + text[start:at]
+            yield self.guarded(text[start:at], start)
             start = at
-        yield (self.guard if start else "") + text[start:]
+        yield self.guarded(text[start:], start)
 
-    def lengths(self, parts: list[str]) -> list[int]:
-        lengths = map(len, self.sp.encode(parts, num_threads=1))
-        return [n - self.guard_tokens * p.startswith(self.guard) for n, p in zip(lengths, parts)]
+    def guarded(self, part: str, start: int) -> tuple[str, int]:
+        return (self.guard + part, self.guard_tokens) if start else (part, 0)
+
+    def lengths(self, parts: list[tuple[str, int]]) -> list[int]:
+        return [len(ids) - extra for ids, (_, extra) in zip(self.sp.encode([p for p, _ in parts], num_threads=1), parts)]
 
 
 class FileCounter:
@@ -71,11 +73,11 @@ class FileCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def parts(self, text: str) -> Iterator[str]:
-        yield text
+    def parts(self, text: str) -> Iterator[tuple[str, int]]:
+        yield text, 0
 
-    def lengths(self, parts: list[str]) -> list[int]:
-        return [len(x.ids) for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+    def lengths(self, parts: list[tuple[str, int]]) -> list[int]:
+        return [len(x.ids) for x in self.tokenizer.encode_batch([p for p, _ in parts], add_special_tokens=False)]
 
 
 @cache
@@ -83,15 +85,15 @@ def counter(model: str, chunk_bytes: int) -> PieceCounter | FileCounter:
     return FileCounter(model) if model.endswith(".json") else PieceCounter(model, chunk_bytes)
 
 
-def batched(parts: Iterable[tuple[int, str]], limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Lists of parts with about `limit` characters at most."""
+def batched(parts: Iterable[tuple[int, tuple[str, int]]], limit: int) -> Iterator[list[tuple[int, tuple[str, int]]]]:
+    """Lists of texts' numbers and parts, with about `limit` characters at most."""
     held, size = [], 0
-    for part in parts:
-        if held and size + len(part[1]) > limit:
+    for number, part in parts:
+        if held and size + len(part[0]) > limit:
             yield held
             held, size = [], 0
-        held.append(part)
-        size += len(part[1])
+        held.append((number, part))
+        size += len(part[0])
     if held:
         yield held
 
