@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvaframe.operators.nearest import nearest
-from sylvaframe.operators.traits import ROOT, along, last_dates, root_length, segments
+from sylvaframe.operators.traits import ROOT, along, last_dates, segments
 
 
 def first_nodes(nodes: DataFrame) -> DataFrame:
@@ -60,12 +60,6 @@ def laterals_per_plant(roots: DataFrame) -> DataFrame:
     return primaries.join(children, ["model", "plant"], "left").fillna({"n": 0})
 
 
-def children_summary(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Number and total length of each root's children."""
-    sized = root_length(nodes).join(roots.where("parent is not null"), ROOT)
-    return sized.groupBy("model", F.col("parent").alias("root")).agg(F.count("*").alias("n"), F.sum("length").alias("length"))
-
-
 def plant_time_series(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Per primary and date, up to the model's last: its length, how many of its laterals have appeared, and their length."""
     parts = segments(nodes).join(last_dates(nodes), "model").withColumn("day", F.explode(F.sequence(F.lit(1), F.col("last_date")))).drop("last_date")

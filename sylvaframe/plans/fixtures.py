@@ -165,10 +165,32 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "ranks": (
-        """SELECT r.model, r.root, r.parent, 1 AS ord FROM roots r WHERE parent IS NULL
-        UNION ALL SELECT r.model, r.root, r.parent, k.ord + 1 FROM roots r JOIN ranks k ON r.model = k.model AND r.parent = k.root""",
+        """SELECT r.model, r.root, r.parent, 1 AS ord, r.root AS top FROM roots r WHERE parent IS NULL
+        UNION ALL SELECT r.model, r.root, r.parent, k.ord + 1, k.top FROM roots r JOIN ranks k ON r.model = k.model AND r.parent = k.root""",
         ("roots",),
     ),
+    "numbered": (
+        """SELECT k.model, k.root, k.parent, CAST(k.ord AS BIGINT) AS ord, p.plant FROM ranks k JOIN (SELECT model, root, CAST(row_number() OVER (PARTITION BY model ORDER BY x, root) AS INTEGER) AS plant
+          FROM nodes JOIN (SELECT model, root FROM roots WHERE parent IS NULL) USING (model, root) WHERE seq = 1) p ON p.model = k.model AND p.root = k.top""",
+        ("ranks", "nodes"),
+    ),
+    "geo": (
+        """SELECT *, coalesce(CASE WHEN len > 0 THEN CASE WHEN y1 <= y THEN acos(greatest(-1, least(1, (x1 - x) / len))) ELSE 2 * pi() - acos(greatest(-1, least(1, (x1 - x) / len))) END END, 0) AS theta FROM segs""",
+        ("segs",),
+    ),
+    "inserted": (
+        """SELECT model, root, parent, at_seq, base, greatest(0, p_length - base) AS apex, CASE WHEN turn > pi() THEN 2 * pi() - turn ELSE turn END AS angle, CASE WHEN fx < nx THEN 1 ELSE 2 END AS side FROM (
+          SELECT *, abs(ang - p_theta) AS turn, CASE WHEN lx IS NULL OR rx IS NULL THEN 0 ELSE greatest(0, CASE WHEN up THEN c2 - d ELSE c2 + d END) END AS base FROM (
+            SELECT *, least(1000, list_min(list_transform(range(0, 21), lambda i: sqrt((x2 + (x2 - nx) / 20.0 * i - fx) ** 2 + (y2 + (y2 - ny) / 20.0 * i - fy) ** 2)))) AS d FROM (
+              SELECT *, CASE WHEN up THEN rx ELSE lx END AS x2, CASE WHEN up THEN ry ELSE ly END AS y2, CASE WHEN up THEN rc ELSE lc END AS c2 FROM (
+                SELECT f.model, f.root, f.parent, f.at_seq, f.fx, f.fy, n.x AS nx, n.y AS ny, n.theta AS p_theta, lx, ly, lc, rx, ry, rc, o.ang, l.p_length, sqrt((fx - lx) ** 2 + (fy - ly) ** 2) >= sqrt((fx - rx) ** 2 + (fy - ry) ** 2) AS up
+                FROM (SELECT f.model, f.root, r.parent, f.x AS fx, f.y AS fy, min(((f.x - o.x) * (f.x - o.x) + (f.y - o.y) * (f.y - o.y), o.seq))[2] AS at_seq
+                  FROM nodes f JOIN roots r ON f.model = r.model AND f.root = r.root AND f.seq = 1 JOIN nodes o ON o.model = r.model AND o.root = r.parent GROUP BY ALL) f
+                JOIN (SELECT *, lag(x) OVER w AS lx, lag(y) OVER w AS ly, lag(c) OVER w AS lc, lead(x) OVER w AS rx, lead(y) OVER w AS ry, lead(c) OVER w AS rc FROM geo WINDOW w AS (PARTITION BY model, root ORDER BY seq)) n ON n.model = f.model AND n.root = f.parent AND n.seq = f.at_seq
+                LEFT JOIN (SELECT model, root, avg(theta) AS ang FROM geo WHERE seq <= 3 AND len IS NOT NULL GROUP BY 1, 2) o ON o.model = f.model AND o.root = f.root
+                JOIN (SELECT model, root, coalesce(sum(len), 0) AS p_length FROM segs GROUP BY 1, 2) l ON l.model = f.model AND l.root = f.parent))))""",
+        ("geo", "nodes", "roots"),
+    ),
     "segs": (
         """SELECT model, root, seq, x, y, t, th, diameter, x1, y1, t1, th1, d1, len, coalesce(sum(len) OVER (PARTITION BY model, root ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
         FROM (SELECT *, sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) AS len FROM (
@@ -188,6 +210,10 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+# The same polylines without the events of one type: what a prediction misses.
+SQL["nodes_pred"] = (SQL["nodes"][0].replace("FROM events)", "FROM events WHERE event_type <> 'error')"), ())
+SQL["segs_pred"] = (SQL["segs"][0].replace("FROM nodes", "FROM nodes_pred"), ("nodes_pred",))
+SQL["numbered_pred"] = (SQL["numbered"][0].replace("FROM nodes", "FROM nodes_pred"), ("ranks", "nodes_pred"))
 RECURSIVE = ("pixel_reach", "closure", "ranks")
 
 
@@ -221,10 +247,12 @@ def hours_since(ts: Column | str) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp")) / 3600e6 - 473352
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model, root, seq, x, y, diameter, th, t: a polyline for each user, with an exact date on the last node of a day."""
+def nodes(spark: SparkSession, sf_dir: str, without: str | None = None) -> DataFrame:
+    """model, root, seq, x, y, diameter, th, t: a polyline for each user, with an exact date on the last node of a day; without events of a type."""
     own = Window.partitionBy("user_id")
-    events = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000)
+    events = table(spark, sf_dir, "events")
+    events = events.where(F.col("event_type") != without) if without else events
+    events = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000)
     # Whole numbers of 1/10,000 hours, so that both engines cut at the same place.
     events = events.withColumn("h4", F.expr("us div 360000")).withColumn("day", F.expr("us div 86400000000"))
     events = events.withColumn("seq", F.row_number().over(own.orderBy("ts", "event_id")))

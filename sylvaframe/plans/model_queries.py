@@ -56,7 +56,6 @@ add(
     ("nodes", "roots"),
 )
 add("laterals_per_plant", lambda s, d: M.laterals_per_plant(X.roots(s, d)), "SELECT r.model, r.root AS plant, count(k.root) AS n FROM roots r LEFT JOIN roots k ON k.model = r.model AND k.parent = r.root WHERE r.parent IS NULL GROUP BY 1, 2", ("roots",))
-add("children_summary", both(M.children_summary, "length"), "SELECT r.model, parent AS root, count(*) AS n, round(sum(l), 3) AS length FROM roots r JOIN (SELECT root, coalesce(sum(len), 0) AS l FROM segs GROUP BY 1) s ON s.root = r.root WHERE parent IS NOT NULL GROUP BY 1, 2", ("segs", "roots"))
 add(
     "plant_time_series",
     both(M.plant_time_series, "primary_length", "lateral_length"),
