@@ -1 +1 @@
-"""Readers and writers."""
+"""Readers and writers of model files, inventories, parameters and tables."""
