@@ -8,20 +8,35 @@ from pyspark.sql import functions as F
 from sylvaframe.llm._common import ensure_checkpoint_dir
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """u and m: the least of u and its neighbours v. The minimum is combined before it is shuffled, so hubs are cheap."""
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+#: A node with more than this share of all rows is a hub.
+_SHARE = 1 / 1000
+
+
+def with_least(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (u, v) with m, the least of u and its neighbours in `pairs` (u, v), and m by u.
+
+    The minimum is combined before it is shuffled. Hubs, of which there are 1,000 at most, send their minimum to all tasks instead of
+    their rows to one; the other rows are joined by u.
+    """
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    total = pairs.count()
+    is_hub = F.col("n") > max(16, int(total * _SHARE))
+    hubs = F.broadcast(least.where(is_hub).select("u", F.col("m").alias("hub_m")))
+    marked = rows.join(hubs, "u", "left")
+    others = marked.where("hub_m is null").select("u", "v").join(least.where(~is_hub).select("u", "m"), "u")
+    return marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(others), least.select("u", "m")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    joined, _ = with_least(both.where("v > u"), both)
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).checkpoint()
+    joined, least = with_least(down, down)
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

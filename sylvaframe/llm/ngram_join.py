@@ -4,8 +4,9 @@
    target recall at the threshold. Equal texts are one class from here on, with its least id as representative.
 2. Representatives are shuffled on band hashes. Within a bucket, signatures are compared in blocks and a spanning forest of
    plausible pairs is kept; the forests' components hold all pairs that may reach the threshold.
-3. Within a component, all pairs are verified on their full n-gram sets, in blocks of bounded size that are dealt over
-   the cluster. A block gives each document's number of links and a spanning forest of its links, not the pairs.
+3. A component's documents meet in blocks of bounded size that are dealt over the cluster. Within a block, documents that have a
+   plausible partner there are verified on their full n-gram sets. A block gives each document's number of links and a
+   spanning forest of its links, not the pairs.
 
 Words are what ASCII white space separates, in lower case. A text of fewer words than an n-gram has one n-gram, of all
 its words; one without words has none and links with equal texts only. Null texts are empty. Rows without an id get no
@@ -169,6 +170,16 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndar
     return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j]
 
 
+def plausible(block: pa.Table, rows: np.ndarray, left: np.ndarray, right: np.ndarray, least_agreement: float) -> np.ndarray:
+    """Whether the signatures of a left and a right document agree in at least the given share of their rows."""
+    signs = np.array([np.frombuffer(block.column("signature")[int(i)].as_py(), "<u2") for i in rows])
+    need, others = least_agreement * signs.shape[1], signs[right]
+    found = np.zeros((len(left), len(right)), bool)
+    for k, i in enumerate(left):
+        found[k] = (others == signs[i]).sum(1) >= need
+    return found
+
+
 def plausible_edges(blocks: DataFrame, least_agreement: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -176,13 +187,7 @@ def plausible_edges(blocks: DataFrame, least_agreement: float) -> DataFrame:
             rows, left, right = sides(block)
             if len(rows) < 2:
                 continue
-            ids = block.column("id").to_numpy()[rows]
-            signs = np.array([np.frombuffer(block.column("signature")[int(i)].as_py(), "<u2") for i in rows])
-            need = least_agreement * signs.shape[1]
-            linked = np.zeros((len(left), len(right)), bool)
-            for k, i in enumerate(left):
-                linked[k] = (signs[right] == signs[i]).sum(1) >= need
-            out += forest(linked, left, right, ids)
+            out += forest(plausible(block, rows, left, right, least_agreement), left, right, block.column("id").to_numpy()[rows])
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
                 out = []
@@ -213,7 +218,7 @@ def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
     return total
 
 
-def verified(blocks: DataFrame, threshold: float, n: int) -> DataFrame:
+def verified(blocks: DataFrame, threshold: float, n: int, least_agreement: float) -> DataFrame:
     """Links by block: rows of a node and its links (b null), and rows of a spanning forest's edges (links null)."""
 
     def with_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +233,10 @@ def verified(blocks: DataFrame, threshold: float, n: int) -> DataFrame:
             rows, left, right = sides(block)
             if len(rows) < 2:
                 continue
+            likely = plausible(block, rows, left, right, least_agreement) & (left[:, None] != right[None, :])
+            left, right = left[likely.any(1)], right[likely.any(0)]
+            if not len(left):
+                continue
             ids, copies = (block.column(c).to_numpy()[rows] for c in ("id", "copies"))
             sets = [np.frombuffer(block.column("set")[int(i)].as_py(), np.uint64) for i in rows]
             sizes = np.array([len(s) for s in sets], np.float64)
@@ -245,8 +254,8 @@ def verified(blocks: DataFrame, threshold: float, n: int) -> DataFrame:
             w = [*links[some].tolist(), *[None] * len(edges)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, w)], ["a", "b", "links"])
 
-    kept = ["component", "chunks", "id", "copies"]
-    sets = blocks.select(*kept, "text").mapInArrow(with_grams, "component long, chunks long, id long, copies long, set binary")
+    kept = ["component", "chunks", "id", "copies", "signature"]
+    sets = blocks.select(*kept, "text").mapInArrow(with_grams, "component long, chunks long, id long, copies long, signature binary, set binary")
     return blocked(sets, "component", "chunks").mapInArrow(run, "a long, b long, links long")
 
 
@@ -266,7 +275,7 @@ def ngram_join(
     not counted) and representative (the least id of its equal texts), for each row.
 
     A pair is plausible if its signatures agree in as many rows as a pair at the threshold does but for 1 in 30,000.
-    The verified candidates' ids are broadcast up to broadcast_rows of them, and joined by a shuffle beyond.
+    Buckets, candidates' components and candidates are broadcast up to broadcast_rows of them, and joined by a shuffle beyond.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall, most_hashes)
@@ -279,18 +288,23 @@ def ngram_join(
 
     points = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
     buckets = points.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    buckets = buckets.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))  # of buckets with the same members one is enough
-    members = points.join(buckets.select("bucket", "n"), "bucket").join(reps.select(F.col("rep").alias("id"), "signature"), "id")
+    # Of buckets with the same members one is enough.
+    buckets = buckets.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n").checkpoint()
+    if buckets.count() <= broadcast_rows:
+        members = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "signature").join(F.broadcast(buckets), "bucket")
+    else:
+        members = points.join(buckets, "bucket").join(reps.select(F.col("rep").alias("id"), "signature"), "id")
     members = members.withColumn("chunks", F.ceil(F.col("n") / block_rows)).drop("n")
     slack = 4 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
     edges = plausible_edges(blocked(members, "bucket", "chunks"), threshold - slack)
-    found = connected_components(edges).join(reps.select(F.col("rep").alias("node"), "copies", "grams", "h1"), "node")
+    linked = connected_components(edges).checkpoint()
+    small = linked.count() <= broadcast_rows
+    found = reps.select(F.col("rep").alias("node"), "copies", "grams", "signature", "h1").join(F.broadcast(linked) if small else linked, "node")
     sizes = found.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("grams") / block_grams)).alias("chunks"))
-    candidates = found.join(sizes, "component").select("component", F.greatest("chunks", F.lit(1)).alias("chunks"), F.col("node").alias("id"), "copies", "h1").checkpoint()
+    candidates = found.join(sizes, "component").select("component", F.greatest("chunks", F.lit(1)).alias("chunks"), F.col("node").alias("id"), "copies", "signature", "h1").checkpoint()
 
-    small = candidates.count() <= broadcast_rows
     texts = docs.withColumn("h1", F.xxhash64(F.coalesce("text", F.lit(""))))
-    links = verified(texts.join(F.broadcast(candidates) if small else candidates, ["id", "h1"]), threshold, n).checkpoint()
+    links = verified(texts.join(F.broadcast(candidates) if small else candidates, ["id", "h1"]), threshold, n, threshold - slack).checkpoint()
     counts = links.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     joined = connected_components(links.where("links is null").select("a", "b")).withColumnRenamed("node", "rep")
     result = reps.select("h1", "h2", "rep", "copies").join(counts, "rep", "left").join(joined, "rep", "left")
