@@ -5,8 +5,10 @@ scripts, joined words) enters whole, as overlapping pieces that are inputs of th
 window. Training takes a bounded sample of labelled rows on the driver and learns from each document's highest window.
 Inference runs on the executors, in batches of windows of many documents.
 
-Nulls and texts without words get the score of an empty window. Without labelled rows of both classes nothing is toxic (score 0).
-Repeated rows get equal scores; an empty table gives an empty result.
+Nulls and texts without words get the score of an empty window. A long text's windows are run in batches, so only its words are held at
+once. Without labelled rows of both classes nothing is toxic (score 0). Repeated rows get equal scores, and a labelled id that repeats
+counts once; an empty table gives an empty result. The score is a column expression, so other columns and their names don't matter; a
+null id is scored as any other.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvaframe.llm._common import labelled_sample
+
 WORD = re.compile(r"\w+")
 
 
@@ -299,20 +303,12 @@ def fit(texts: list[str | None], toxic: np.ndarray, epochs: int = 8, batch: int
     return network
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> pd.DataFrame:
-    """At most max_rows labelled documents outside the held-out fifth, by a hash of the id; text and toxic."""
-    labels = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").toPandas()
-    return rows.sort_values(["doc_id", "toxic"], kind="stable").drop_duplicates("doc_id")
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Network | None:
-    """A network fitted on at most max_rows labelled documents; None if they don't hold both classes."""
-    rows = training_rows(docs, labels, max_rows)
-    toxic = rows["toxic"].to_numpy()
-    return fit(rows["text"].tolist(), toxic) if len(set(toxic)) > 1 else None
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int = 100_000_000, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
+    """A network fitted on the driver on labelled documents outside the held-out fifth, at most max_rows with max_chars characters in all; None without both classes."""
+    learned_from = F.when(F.crc32(labels[id_col].cast("string")) % 5 != 0, labels["toxic"])
+    rows = labelled_sample(docs, labels, learned_from, max_rows, max_chars, id_col, text_col).toPandas().sort_values([id_col], kind="stable")
+    toxic = rows["label"].to_numpy()
+    return fit(rows[text_col].tolist(), toxic) if len(set(toxic)) > 1 else None
 
 
 def toxicity(network: Network | None, docs: DataFrame, text: Column) -> Column:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvaframe.llm import byte_bpe, chat_format, components, ngram_join, packing, quality_rules, sharding, token_counts, topk, toxicity, url_rules
+from sylvaframe.llm._common import labelled_sample
 
 SCHEMA = "doc_id long, text string, lang string, size int, shard string, id string, stats int, score double"
 
@@ -47,6 +48,8 @@ def test_token_counts(docs, none, rows):
     assert token_counts.count_tokens(none, model).count() == 0
     own = token_counts.counter(model, 100)
     assert sum(own.lengths(list(own.parts("a" * 700)))) == len(sp.encode("a" * 700))
+    for text in (own.guard, own.guard + "abc", f"{own.guard} ab " * 60, "ab " * 60 + own.guard, own.guard * 300):
+        assert sum(own.lengths(list(own.parts(text)))) == len(sp.encode(text))
 
 
 def test_byte_bpe(docs, none, rows):
@@ -210,6 +213,16 @@ def test_packing_falls_back_without_word_splits(docs):
     assert np.frombuffer(own.encode(["Hello  there"])[0], np.uint32).tolist() == own.tokenizer.encode("Hello  there").ids
 
 
+def test_packing_encodes_words_as_the_library_does():
+    own = packing.Encoder(P.path("word_bpe_49k.json"), memory_bytes=20_000)
+    assert own.by_word
+    rng = random.Random(3)
+    signs = [*"abcABC'sStTréÉßŸſİıŉǅÅK10²½.,!?-_#$ \t\n\x0b\x1c\x85 　̸́<|>=漢字かな한하😀\x00\x7f×÷ªºĲķŁ", "'re", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "don't"]
+    for _ in range(3):
+        texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(1000)]
+        assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(texts)] == [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_chat_format(spark):
     odd = "\\### <|end|> <\\| \\<| <| \\\\ <|next|>|<|start|>x<|message|> <"
     turns = [(1, 0, "user", odd), (1, 1, "user", ""), (1, 2, "assistant", None), (1, 3, "assistant", odd), (1, 4, "tool|<|", "|>"), (2, 0, None, None), (2, 5, "assistant", "é漢" * 9)]
@@ -288,6 +301,42 @@ def test_toxicity(spark, docs, none):
     assert starts[-1] + 48 >= 101 and all(b - a < 48 for a, b in zip(starts, starts[1:]))
 
 
+def plain_logit(net, text):
+    """The highest window's logit, one window and one word at a time."""
+    w, h = net.weights, net.hidden
+    words, best = toxicity.units(text), -np.inf
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for start in toxicity.window_starts(len(words), net.window):
+        xs = [net.embed([word])[0] for word in words[start : start + net.window]]
+        if not xs:
+            return w["c"][0]
+        both = []
+        for d, order in enumerate((xs, xs[::-1])):
+            state, out = np.zeros(h), []
+            for x in order:
+                g = x @ w["W"][d] + w["b"][d, 0]
+                z, r = sig(g[:h] + state @ w["U"][d][:, :h]), sig(g[h : 2 * h] + state @ w["U"][d][:, h : 2 * h])
+                new = np.tanh(g[2 * h :] + (r * state) @ w["U"][d][:, 2 * h :])
+                state = z * state + (1 - z) * new
+                out.append(state)
+            both.append(out if d == 0 else out[::-1])
+        states = np.hstack([np.array(both[0]), np.array(both[1])])
+        e = np.exp(np.tanh(states @ w["A"] + w["a"]) @ w["v"])
+        best = max(best, (e / e.sum()) @ states @ w["o"] + w["c"][0])
+    return best
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass(rows):
+    net = toxicity.Network({"alpha": 1, "beta": 2, "it": 3}, buckets=64, window=6, seed=1)
+    net.weights["words"][1:] *= 20
+    texts = [r[1] if r[1] is None or len(r[1]) < 4000 else r[1][:4000] for r in rows]
+    got = toxicity.Scorer(net, words=10).document_logits(texts)
+    want = [plain_logit(net, t) for t in texts]
+    some = [i for i, t in enumerate(texts) if toxicity.units(t)]
+    assert len(some) > 20 and np.allclose(got[some], np.array(want)[some], atol=1e-4)
+    assert np.isfinite(got).all()
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(0, 0.3, 9).round(2).tolist()) for i in range(120)]
@@ -334,7 +383,9 @@ def test_quality_measures(docs, none, rows):
         assert tuple(r["s"][n] for n in quality_rules.COUNTS) == brute_measure(texts[r["doc_id"]])
     assert quality_rules.repeated_words("a b c a b c a".split()) == 7 and quality_rules.repeated_words(["a", "b"]) == 0
     assert quality_rules.judged(none, []).count() == 0
-    kept = quality_rules.judged(docs.drop("stats"), []).where("stats.kept").count()
+    judged = quality_rules.judged(docs.withColumnRenamed("stats", "Stats"), [])
+    assert judged.columns == [*docs.columns[:6], "Stats", "score", "_stats"] and judged.where("Stats <> 2").count() == 0
+    kept = judged.where("_stats.kept").count()
     assert kept == docs.select(quality_rules.text_stats(F.col("text")).alias("s")).where(~quality_rules.base_failed(F.col("s"))).count()
 
 
@@ -350,6 +401,36 @@ def test_decision_list():
     assert quality_rules.learn_list({"a": np.ones(60)}, rng.random(60) > 0.5) == []
 
 
+def test_list_verdicts_equal_what_the_rules_cover(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["word", "WORD", "no", "12", "!!", "x" * 9], size=rng.integers(50, 90))) for _ in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    test = quality_rules.Test
+    rules = [(test("n_upper_share", True, 0.25), test("n_words", False, 70.0)), (test("n_digits_share", False, 0.06),), (test("chars_per_word", True, 3.6), test("n_marks_share", True, 0.15))]
+    stats = table.select("doc_id", quality_rules.text_stats(F.col("text")).alias("s"))
+    of = quality_rules.features(F.col("s"))
+    data = stats.select("doc_id", *(c.alias(n) for n, c in of.items())).toPandas().sort_values("doc_id")
+    values = {n: data[n].to_numpy(float) for n in of}
+    want = np.zeros(200, int)
+    for k in (3, 2, 1):
+        want[quality_rules.covered(rules[k - 1], values, 200)] = k
+    got = {r["doc_id"]: r["stats"] for r in quality_rules.judged(table, rules).collect()}
+    assert [got[i]["rule"] for i in range(200)] == want.tolist() and len(set(want)) == 4
+    assert all(s["kept"] == (s["rule"] == 0 and not s["base_failed"]) for s in got.values())
+
+
+def test_labelled_samples_hold_each_id_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", 1) for i in range(50)], "doc_id long, text string, label int")
+    docs = docs.unionByName(spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("copy "), F.col("id") % 100).alias("text"), F.lit(2).alias("label")))
+    labels = spark.createDataFrame([(i, i % 2, i % 3) for i in range(40)] + [(3, None, None), (4, 1, 2)], "doc_id long, quality int, toxic int")
+    sample = lambda rows, chars: labelled_sample(docs, labels, labels["quality"], rows, chars, "doc_id", "text").collect()
+    rows = sample(100, 10_000)
+    assert sorted(r["doc_id"] for r in rows) == list(range(40)) and {r["doc_id"]: r["label"] for r in rows}[4] == 1
+    assert len(sample(10, 10_000)) == 10 and 0 < len(sample(100, 60)) < 10 and sample(100, 60) == sample(100, 60)
+    assert isinstance(quality_rules.train(docs, labels), list) and labels.limit(0).count() == 0
+    assert quality_rules.train(docs, labels.limit(0)) == []
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
