@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvaframe.operators.cut import cut
+
 
 def component_labels(nodes: DataFrame, edges: DataFrame, by: str = "box") -> DataFrame:
     """`by`, node and label: the least node that is connected to it. nodes: `by`, node; edges: `by`, a, b.
@@ -12,7 +14,7 @@ def component_labels(nodes: DataFrame, edges: DataFrame, by: str = "box") -> Dat
     Each round takes the least label among neighbours and then the label's own label, so labels go over a path in a
     number of rounds that grows with its logarithm. Rounds are cut by checkpoints and end when no label changes.
     """
-    both = edges.select(by, "a", "b").unionByName(edges.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    both = edges.select(by, "a", "b").unionByName(edges.select(by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct().transform(cut)
     labels = nodes.select(by, "node", F.col("node").alias("label")).distinct()
     while True:
         offers = both.join(labels.withColumnRenamed("node", "b"), [by, "b"]).select(by, F.col("a").alias("node"), "label")
@@ -22,7 +24,7 @@ def component_labels(nodes: DataFrame, edges: DataFrame, by: str = "box") -> Dat
         hooks = seen.groupBy(by, F.col("label").alias("node")).agg(F.min("new").alias("hook"))
         hooked = seen.join(hooks, [by, "node"], "left").select(by, "node", "label", F.least("new", F.coalesce("hook", "new")).alias("new"))
         jump = hooked.select(by, F.col("node").alias("new"), F.col("new").alias("far"))
-        moved = hooked.join(jump, [by, "new"], "left").select(by, "node", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label")).checkpoint()
+        moved = hooked.join(jump, [by, "new"], "left").select(by, "node", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label")).transform(cut)
         labels = moved.drop("old")
         if moved.where("old <> label").isEmpty():
             return labels
@@ -36,15 +38,15 @@ def closure(forest: DataFrame) -> DataFrame:
     own = forest.select("box", F.col("cc_id").alias("node"), F.col("cc_id").alias("anc"), F.lit(0).alias("depth"))
     reach = forest.where("parent is not null").select("box", F.col("cc_id").alias("node"), F.col("parent").alias("anc"), F.lit(1).alias("depth"))
     step = 1
-    done = own.unionByName(reach).checkpoint()
+    done = own.unionByName(reach).transform(cut)
     while True:
         # Rows of depth up to `step` are known; the farthest are extended by all that start there.
         far = done.where(F.col("depth") == step).select("box", "node", F.col("anc").alias("mid"), F.col("depth").alias("d0"))
         more = far.join(done.where("depth > 0").select("box", F.col("node").alias("mid"), "anc", F.col("depth").alias("d1")), ["box", "mid"])
-        more = more.select("box", "node", "anc", (F.col("d0") + F.col("d1")).alias("depth")).checkpoint()
+        more = more.select("box", "node", "anc", (F.col("d0") + F.col("d1")).alias("depth")).transform(cut)
         if more.isEmpty():
             return done
-        done = done.unionByName(more).checkpoint()
+        done = done.unionByName(more).transform(cut)
         step *= 2
 
 
@@ -59,7 +61,7 @@ def along_paths(forest: DataFrame, light: Column | None = None) -> DataFrame:
     rows = forest.select(
         "box", "cc_id", F.col("parent").alias("up"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), F.col("cc_id").alias("root"), marked.alias("lights"),
         F.when(top | (marked == 1), F.struct(F.lit(0).cast("long").alias("steps"), F.col("cc_id").alias("id"))).alias("start"),
-    ).checkpoint()
+    ).transform(cut)
     while not rows.where("up is not null").isEmpty():
         far = rows.select("box", F.col("cc_id").alias("up"), *(F.col(c).alias(f"far_{c}") for c in ("up", "depth", "root", "lights", "start")))
         start = F.when(F.col("far_start").isNotNull(), F.struct((F.col("depth") + F.col("far_start.steps")).alias("steps"), F.col("far_start.id").alias("id")))
@@ -67,20 +69,20 @@ def along_paths(forest: DataFrame, light: Column | None = None) -> DataFrame:
         rows = rows.join(far, ["box", "up"], "left").select(
             "box", "cc_id", F.col("far_up").alias("up"), (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"), F.coalesce("far_root", "root").alias("root"),
             (F.col("lights") + F.coalesce("far_lights", F.lit(0))).alias("lights"), F.coalesce("start", start).alias("start"),
-        ).checkpoint()
+        ).transform(cut)
     return rows.drop("up")
 
 
 def below(forest: DataFrame, sums: list[str], greatest: list[str] = ()) -> DataFrame:
     """Sums and maxima of columns over each node and all its descendants, by doubling of pointers: one row a node in each round."""
-    rows = forest.select("box", "cc_id", F.col("parent").alias("up"), *sums, *greatest).checkpoint()
+    rows = forest.select("box", "cc_id", F.col("parent").alias("up"), *sums, *greatest).transform(cut)
     while not rows.where("up is not null").isEmpty():
         sent = rows.where("up is not null").groupBy("box", F.col("up").alias("cc_id")).agg(*(F.sum(c).alias(f"s_{c}") for c in sums), *(F.max(c).alias(f"g_{c}") for c in greatest))
         skip = rows.select("box", F.col("cc_id").alias("up"), F.col("up").alias("next"))
         grown = rows.join(sent, ["box", "cc_id"], "left").join(skip, ["box", "up"], "left")
         rows = grown.select(
             "box", "cc_id", F.col("next").alias("up"), *((F.col(c) + F.coalesce(f"s_{c}", F.lit(0))).alias(c) for c in sums), *(F.greatest(c, f"g_{c}").alias(c) for c in greatest)
-        ).checkpoint()
+        ).transform(cut)
     return rows.drop("up")
 
 

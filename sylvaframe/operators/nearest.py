@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvaframe.operators.cut import cut
+
 
 def _squared(px: str, py: str, tx: str, ty: str) -> Column:
     return (F.col(px) - F.col(tx)) * (F.col(px) - F.col(tx)) + (F.col(py) - F.col(ty)) * (F.col(py) - F.col(ty))
@@ -20,8 +22,8 @@ def nearest(points: DataFrame, things: DataFrame, by: list[str], point: list[str
     points with fewer than k of those go on to a grid of `growth` times the width, until a width spans all. A round moves the points
     that are still open, and things once. Points without coordinates get nothing.
     """
-    points = points.where("px is not null and py is not null").checkpoint()
-    things = things.where("tx is not null and ty is not null").checkpoint()
+    points = points.where("px is not null and py is not null").transform(cut)
+    things = things.where("tx is not null and ty is not null").transform(cut)
     low_high = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count("*")).first()
     a, b = low_high(points, "px", "py"), low_high(things, "tx", "ty")
     groups = things.select(*by).distinct().count()
@@ -43,11 +45,11 @@ def nearest(points: DataFrame, things: DataFrame, by: list[str], point: list[str
         ranked = pairs.withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= k).select(*schema)
         if last:
             return ranked if done is None else done.unionByName(ranked)
-        ranked = ranked.checkpoint()
+        ranked = ranked.transform(cut)
         sure = ranked.where((F.col("n") == k) & (F.col("d2") <= width * width * (1 - 1e-9))).select(*by, *point)
         found = ranked.join(sure, [*by, *point], "left_semi")
         done = found if done is None else done.unionByName(found)
-        open_points = open_points.join(sure, [*by, *point], "left_anti").checkpoint()
+        open_points = open_points.join(sure, [*by, *point], "left_anti").transform(cut)
         if open_points.isEmpty():
             return done
         width *= growth

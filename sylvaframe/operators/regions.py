@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvaframe.functions import scalars as C
+from sylvaframe.operators.cut import cut
 from sylvaframe.operators.graph import component_labels
 from sylvaframe.operators.nearest import nearest
 from sylvaframe.operators.timebase import mad_double_sided
@@ -304,20 +305,20 @@ def hidden_edge_candidates(attributes: DataFrame, edges: DataFrame, most_steps:
     n = degrees(attributes, edges).where("n_out > 1 or n_in > 1").select("box", "cc_id")
     dates = attributes.where("day > 0").select("box", "cc_id", "day")
     both = edges.select("box", F.col("src").alias("at"), F.col("dst").alias("to")).unionByName(edges.select("box", F.col("dst").alias("at"), F.col("src").alias("to")))
-    both = both.join(dates.select("box", F.col("cc_id").alias("to"), F.col("day").alias("to_day")), ["box", "to"]).checkpoint()
-    front = dates.join(n, ["box", "cc_id"]).select("box", F.col("cc_id").alias("src"), "day", F.col("cc_id").alias("at"), F.array("cc_id").alias("path")).checkpoint()
+    both = both.join(dates.select("box", F.col("cc_id").alias("to"), F.col("day").alias("to_day")), ["box", "to"]).transform(cut)
+    front = dates.join(n, ["box", "cc_id"]).select("box", F.col("cc_id").alias("src"), "day", F.col("cc_id").alias("at"), F.array("cc_id").alias("path")).transform(cut)
     seen = front.select("box", "src", "at")
     found, steps = None, 0
     while most_steps is None or steps < most_steps:
         steps += 1
         ahead = front.join(both, ["box", "at"]).select("box", "src", "day", "to", "to_day", F.concat("path", F.array("to")).alias("path"))
         new = ahead.groupBy("box", "src", "to").agg(F.min("path").alias("path"), F.first("day").alias("day"), F.first("to_day").alias("to_day"))
-        new = new.join(seen.withColumnRenamed("at", "to"), ["box", "src", "to"], "left_anti").checkpoint()
+        new = new.join(seen.withColumnRenamed("at", "to"), ["box", "src", "to"], "left_anti").transform(cut)
         if new.isEmpty():
             break
         ends = new.where("to_day >= day").select("box", "src", F.col("to").alias("dst"), "path")
         found = ends if found is None else found.unionByName(ends)
-        seen = seen.unionByName(new.select("box", "src", F.col("to").alias("at"))).checkpoint()
+        seen = seen.unionByName(new.select("box", "src", F.col("to").alias("at"))).transform(cut)
         front = new.where("to_day <= day").select("box", "src", "day", F.col("to").alias("at"), "path")
     return found if found is not None else front.select("box", "src", F.col("at").alias("dst"), "path").limit(0)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvaframe.functions import scalars as C
+from sylvaframe.operators.cut import cut
 from sylvaframe.operators.graph import along_paths
 from sylvaframe.operators.models import first_nodes, plant_time_series
 from sylvaframe.operators.traits import ROOT, along, insertion_node, is_exact, last_dates, length_summary, node_geometry, root_length, root_surface_volume, segments
@@ -186,13 +187,13 @@ def convex_hull(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     owner = roots.select(*ROOT, F.col("root").alias("owner")).unionByName(roots.where("parent is not null").select(*ROOT, F.col("parent").alias("owner")))
     columns = inner.join(owner, ROOT).groupBy("model", F.col("owner").alias("root"), "x").agg(F.min("y").alias("a"), F.max("y").alias("b"))
     left = columns.select(*ROOT, "x", F.explode(F.array(F.struct(F.lit(True).alias("upper"), F.col("a").alias("y")), F.struct(F.lit(False).alias("upper"), F.col("b").alias("y")))).alias("p"))
-    left = left.select(*ROOT, "x", "p.upper", "p.y").checkpoint()
+    left = left.select(*ROOT, "x", "p.upper", "p.y").transform(cut)
     side = Window.partitionBy(*ROOT, "upper").orderBy("x")
     while True:
         around = left.select("*", *(f(c).over(side).alias(f"{n}{c}") for f, n in ((F.lag, "l"), (F.lead, "r")) for c in ("x", "y")))
         cross = (F.col("x") - F.col("lx")) * (F.col("ry") - F.col("ly")) - (F.col("y") - F.col("ly")) * (F.col("rx") - F.col("lx"))
         stays = F.col("lx").isNull() | F.col("rx").isNull() | F.when(F.col("upper"), cross > 0).otherwise(cross < 0)
-        marked = around.select(*ROOT, "x", "upper", "y", stays.alias("stays")).checkpoint()
+        marked = around.select(*ROOT, "x", "upper", "y", stays.alias("stays")).transform(cut)
         left = marked.where("stays").drop("stays")
         if marked.where("not stays").isEmpty():
             return left
@@ -200,7 +201,7 @@ def convex_hull(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def root_report(nodes: DataFrame, roots: DataFrame, pixel_size: float = 1.0) -> DataFrame:
     """One row of 20 columns for each valid root. The hull's area is null, as it is never computed."""
-    inserted = insertions(nodes, roots).checkpoint()
+    inserted = insertions(nodes, roots).transform(cut)
     sized = root_length(nodes).join(root_surface_volume(nodes), ROOT, "left").join(nodes.groupBy(*ROOT).agg(F.avg("diameter").alias("diameter")), ROOT)
     rows = root_orders(roots).join(sized, ROOT).join(inserted.select(*ROOT, "base", "angle"), ROOT, "left")
     rows = rows.join(first_last_child(inserted), ROOT, "left").join(child_density(inserted), ROOT, "left")
@@ -226,7 +227,7 @@ def node_report(nodes: DataFrame, roots: DataFrame, pixel_size: float = 1.0) ->
 
 def image_report(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """One row of 12 columns for each model."""
-    inserted = insertions(nodes, roots).checkpoint()
+    inserted = insertions(nodes, roots).transform(cut)
     counts = roots.groupBy("model").agg(F.count_if(F.col("parent").isNull()).alias("n_primary"), F.count_if(F.col("parent").isNotNull()).alias("n_laterals"))
     dense = child_density(inserted).groupBy("model").agg(F.avg(F.nullif("density", F.lit(0.0))).alias("mean_lat_density"))
     rows = length_summary(nodes, roots).join(counts, "model").join(mean_diameters(nodes, roots), "model").join(dense, "model", "left").join(mean_lateral_angle(inserted), "model", "left")

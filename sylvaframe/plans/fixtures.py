@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sylvaframe.operators.cut import cut
 from sylvaframe.operators.raster import appearance_date_map
 
 #: Observations of a pixel series.
@@ -299,7 +300,7 @@ def remember(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Da
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _built:
         checkpoints(spark)
-        _built[key] = build().checkpoint()
+        _built[key] = build().transform(cut)
     return _built[key]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sylvaframe.operators.cut import cut
 from sylvaframe.operators.models import first_nodes
 from sylvaframe.operators.traits import ROOT
 
@@ -83,7 +84,7 @@ def read_standard(texts: DataFrame) -> DataFrame:
 
     Of files of programs that write dense polylines every fifth point is kept, from the first on.
     """
-    tags = _tags(texts).checkpoint()
+    tags = _tags(texts).transform(cut)
     number = F.row_number().over(Window.partitionBy("model", "root.pos", "function").orderBy("pos"))
     text = F.coalesce(attribute("tag", "value"), F.regexp_extract("tag", ">([^<]*)<", 1))
     samples = tags.where(F.col("tag").startswith("<sample")).select("model", F.col("root.pos").alias("root_pos"), number.alias("seq"), "function", text.try_cast("double").alias("v"))
@@ -103,13 +104,13 @@ def root_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """model, root, parent, level, plant and id: `plant.1` for primaries, numbered by the x of their first node; a child's number among its siblings goes behind its parent's id."""
     first = F.row_number().over(Window.partitionBy("model").orderBy("fx", "root"))
     level = first_nodes(nodes).join(roots.where("parent is null"), ROOT).select(*ROOT, "parent", F.lit(1).alias("level"), first.alias("plant"))
-    level = level.withColumn("id", F.concat(F.col("plant").cast("string"), F.lit(".1"))).checkpoint()
+    level = level.withColumn("id", F.concat(F.col("plant").cast("string"), F.lit(".1"))).transform(cut)
     sibling = F.row_number().over(Window.partitionBy("model", "parent").orderBy("root"))
     children = roots.where("parent is not null").withColumn("n", sibling)
     found = level
     while not level.isEmpty():
         above = level.select("model", F.col("root").alias("parent"), F.col("level").alias("l"), "plant", F.col("id").alias("above"))
-        level = children.join(above, ["model", "parent"]).select(*ROOT, "parent", (F.col("l") + 1).alias("level"), "plant", F.concat("above", F.lit("."), F.col("n").cast("string")).alias("id")).checkpoint()
+        level = children.join(above, ["model", "parent"]).select(*ROOT, "parent", (F.col("l") + 1).alias("level"), "plant", F.concat("above", F.lit("."), F.col("n").cast("string")).alias("id")).transform(cut)
         found = found.unionByName(level)
     return found
 
@@ -127,7 +128,7 @@ def to_rsml(nodes: DataFrame, roots: DataFrame, hours: list[float], pixel_size:
     if functions:
         listed = [F.concat(F.lit(f'<function name="{name}" domain="polyline">'), f"f_{c}", F.lit("</function>")) for c, name in functions.items()]
         own += [F.lit("<functions>"), *listed, F.lit("</functions>")]
-    rows = root_ids(nodes, roots).join(lines, ROOT).select(*ROOT, "parent", "level", "plant", "id", F.concat(*own).alias("own")).checkpoint()
+    rows = root_ids(nodes, roots).join(lines, ROOT).select(*ROOT, "parent", "level", "plant", "id", F.concat(*own).alias("own")).transform(cut)
     inside = None
     for level in range(rows.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0], 0, -1):
         some = rows.where(F.col("level") == level)
@@ -138,7 +139,7 @@ def to_rsml(nodes: DataFrame, roots: DataFrame, hours: list[float], pixel_size:
             # A place in a list is the number at the end of an id.
             place = F.substring_index("id", ".", -1).cast("int").alias("n")
             joined_children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, "xml"))), lambda c: c["xml"]), "")
-            inside = some.groupBy("model", F.col("parent").alias("root")).agg(joined_children.alias("inside")).checkpoint()
+            inside = some.groupBy("model", F.col("parent").alias("root")).agg(joined_children.alias("inside")).transform(cut)
     if inside is None and rows.isEmpty():
         return rows.select("model", F.lit("").alias("value"))
     plant = F.concat(F.lit('<plant ID="'), F.col("plant").cast("string"), F.lit('" label="">'), "xml", F.lit("</plant>"))
