@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvaframe.operators.nearest import nearest
+from sylvaframe.operators.timebase import linear_interpolation
 from sylvaframe.operators.traits import ROOT, along, last_dates, segments
 
 
@@ -88,6 +89,11 @@ def time_knots(nodes: DataFrame) -> DataFrame:
     return segments(nodes).groupBy(*ROOT, F.floor("t").alias("day")).agg(F.max("c").alias("distance"))
 
 
+def distance_to_time(distances: DataFrame, knots: DataFrame) -> DataFrame:
+    """Distances (model, root, v) with y: their date, between the knots (model, root, day, distance) of their root."""
+    return linear_interpolation(distances, knots.select(*ROOT, F.col("distance").alias("x"), F.col("day").alias("y")), ROOT)
+
+
 def edit_log(lines: DataFrame) -> DataFrame:
     """Points of edits from log lines (model, line, fields): model, seq, action, point (from 0), x, y and z.
 
