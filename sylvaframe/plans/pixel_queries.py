@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sylvaframe.operators import edits as E
@@ -10,7 +9,7 @@ from sylvaframe.operators import links as K
 from sylvaframe.operators import models as M
 from sylvaframe.operators import pixels as P
 from sylvaframe.operators import reports
-from sylvaframe.operators.traits import segments
+from sylvaframe.operators.traits import along, segments
 from sylvaframe.plans import fixtures as X
 from sylvaframe.plans import region_queries as Q
 
@@ -139,10 +138,9 @@ add(
     """SELECT box, src, dst, round(((tx - sx) * (fx - sx) + (ty - sy) * (fy - sy)) / nullif(sqrt((tx - sx) ** 2 + (ty - sy) ** 2) * sqrt((fx - sx) ** 2 + (fy - sy) ** 2), 0), 3) AS cosine, round((ty - sy) / nullif(sqrt((tx - sx) ** 2 + (ty - sy) ** 2), 0), 3) AS down FROM edges""",
     ("edges",),
 )
-W = Window.partitionBy("model", "root").orderBy("seq")
 add(
     "alignment_cost",
-    on(lambda n: n.select("model", "root", "seq", K.alignment_cost(*((F.lag("x", k).over(W), F.lag("y", k).over(W), F.lag("th", k).over(W)) for k in (2, 1, 0))).alias("cost")).where("seq > 2"), "cost"),
+    on(lambda n: n.select("model", "root", "seq", K.alignment_cost(*(tuple(F.lag(c, k).over(along()) for c in ("x", "y", "th")) for k in (2, 1, 0))).alias("cost")).where("seq > 2"), "cost"),
     f"""SELECT {KEY}, seq, round(sqrt((x - bx - (bx - ax) / ab * bc) ** 2 + (y - by_ - (by_ - ay) / ab * bc) ** 2) / nullif(sqrt(((bx - ax) / ab) ** 2 + ((by_ - ay) / ab) ** 2) * bc, 0), 3) AS cost FROM (
       SELECT *, CASE WHEN ah = bh THEN 1 ELSE abs(ah - bh) END AS ab, CASE WHEN bh = th THEN 1 ELSE abs(bh - th) END AS bc FROM (
         SELECT *, lag(x, 2) OVER w AS ax, lag(y, 2) OVER w AS ay, lag(th, 2) OVER w AS ah, lag(x) OVER w AS bx, lag(y) OVER w AS by_, lag(th) OVER w AS bh FROM nodes WINDOW w AS (PARTITION BY model, root ORDER BY seq)) WHERE seq > 2)""",

@@ -6,6 +6,8 @@ text of a model, so a model has to fit into a row (2 GB).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from sylvaframe.operators.models import first_nodes
 from sylvaframe.operators.traits import ROOT
 
 _TAGS = r"(<plant\b[^>]*>|<root\b[^>]*>|</root>|<point\b[^>]*>|<function\b[^>]*>|<sample\b[^>]*/>|<sample\b[^>]*>[^<]*</sample>)"
-#: Programs whose files keep every fifth point only.
-_DENSE = ("Root System Analyzer", "Fijiyama ")
+#: Programs whose files are so dense that every fifth point is kept. (A fixed value.)
+DENSE = ("Root System Analyzer",)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -50,10 +52,10 @@ def dpi(unit: Column, resolution: Column) -> Column:
     return F.when(starts("cm", "cen"), resolution * 2.54).when(starts("mm", "mill"), resolution / 10 * 2.54).when(starts("m"), resolution * 100 * 2.54).when(starts("IN", "in"), resolution).otherwise(0.0)
 
 
-def _tags(texts: DataFrame) -> DataFrame:
+def _tags(texts: DataFrame, dense: Sequence[str] = DENSE) -> DataFrame:
     """Tags in order, each with the root that it belongs to: the last one that opened at its depth."""
     tags = texts.select("model", "value", F.posexplode(F.regexp_extract_all("value", F.lit(_TAGS), F.lit(1))).alias("pos", "tag"))
-    software = F.regexp_extract("value", "<software>([^<]*)</software>", 1).isin(*_DENSE)
+    software = F.regexp_extract("value", "<software>([^<]*)</software>", 1).isin(*dense)
     tags = tags.select("model", "pos", "tag", software.alias("dense"))
     file, opens = Window.partitionBy("model").orderBy("pos"), F.col("tag").rlike(r"^<root\b") & ~F.col("tag").endswith("/>")
     tags = tags.withColumn("depth", F.sum(F.when(opens, 1).when(F.col("tag") == "</root>", -1).otherwise(0)).over(file))
@@ -79,12 +81,12 @@ def read_extended(texts: DataFrame) -> DataFrame:
     )
 
 
-def read_standard(texts: DataFrame) -> DataFrame:
+def read_standard(texts: DataFrame, dense: Sequence[str] = DENSE) -> DataFrame:
     """model, plant, root_id, label, ord, seq, x, y, diameter, t and th: points with the samples of the same place of the functions diameter, timepoint and hours.
 
-    Of files of programs that write dense polylines every fifth point is kept, from the first on.
+    Of files of programs that write dense polylines (`dense`: their names) every fifth point is kept, from the first on.
     """
-    tags = _tags(texts).transform(cut)
+    tags = _tags(texts, dense).transform(cut)
     number = F.row_number().over(Window.partitionBy("model", "root.pos", "function").orderBy("pos"))
     text = F.coalesce(attribute("tag", "value"), F.regexp_extract("tag", ">([^<]*)<", 1))
     samples = tags.where(F.col("tag").startswith("<sample")).select("model", F.col("root.pos").alias("root_pos"), number.alias("seq"), "function", text.try_cast("double").alias("v"))

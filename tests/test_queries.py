@@ -3,6 +3,8 @@
 import datetime
 import decimal
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -33,6 +35,11 @@ def duck():
     return connection
 
 
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     frame = registry.queries()[name](spark, SF)
