@@ -156,23 +156,30 @@ def sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, np.flatnonzero(own == low), np.flatnonzero(own == high)
 
 
-def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """A star for each component of the links between two sides: pairs of a node and the component's first."""
-    label = np.arange(len(ids))
+def components_of(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the first row that links between two sides join to it."""
+    label = np.arange(n)
     while True:
         new = label.copy()
-        np.minimum.at(new, left, np.where(linked, label[right][None, :], len(ids)).min(1, initial=len(ids)))
-        np.minimum.at(new, right, np.where(linked, label[left][:, None], len(ids)).min(0, initial=len(ids)))
+        np.minimum.at(new, left, np.where(linked, label[right][None, :], n).min(1, initial=n))
+        np.minimum.at(new, right, np.where(linked, label[left][:, None], n).min(0, initial=n))
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    return [(int(ids[i]), int(ids[j])) for i, j in enumerate(label) if i != j]
 
 
-def plausible(block: pa.Table, rows: np.ndarray, left: np.ndarray, right: np.ndarray, least_agreement: float) -> np.ndarray:
+def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """A star for each component of the links between two sides: pairs of a node and the component's first."""
+    return [(int(ids[i]), int(ids[j])) for i, j in enumerate(components_of(linked, left, right, len(ids))) if i != j]
+
+
+def signatures(block: pa.Table, rows: np.ndarray) -> np.ndarray:
+    return np.array([np.frombuffer(block.column("signature")[int(i)].as_py(), "<u2") for i in rows])
+
+
+def plausible(signs: np.ndarray, left: np.ndarray, right: np.ndarray, least_agreement: float) -> np.ndarray:
     """Whether the signatures of a left and a right document agree in at least the given share of their rows."""
-    signs = np.array([np.frombuffer(block.column("signature")[int(i)].as_py(), "<u2") for i in rows])
     need, others = least_agreement * signs.shape[1], signs[right]
     found = np.zeros((len(left), len(right)), bool)
     for k, i in enumerate(left):
@@ -180,6 +187,20 @@ def plausible(block: pa.Table, rows: np.ndarray, left: np.ndarray, right: np.nda
     return found
 
 
+def between(linked: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, signs: np.ndarray, least_agreement: float) -> list[tuple[int, int]]:
+    """Edges that join what the chunks' own blocks join already: a large group of copies gives one for a pair of its chunks, not one for each document."""
+    left, right, linked = left[linked.any(1)], right[linked.any(0)], linked[linked.any(1)][:, linked.any(0)]
+    own = np.minimum(*(components_of(plausible(signs, side, side, least_agreement), side, side, len(ids)) for side in (left, right)))
+    i, j = np.nonzero(linked)
+    groups = np.unique(np.stack([own[left[i]], own[right[j]]]), axis=1)
+    firsts, places = np.unique(groups, return_inverse=True)
+    a, b = places.reshape(groups.shape)
+    joined = np.zeros((len(firsts), len(firsts)), bool)
+    joined[a, b] = True
+    every = np.arange(len(firsts))
+    return forest(joined, every, every, ids[firsts])
+
+
 def plausible_edges(blocks: DataFrame, least_agreement: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -187,7 +208,12 @@ def plausible_edges(blocks: DataFrame, least_agreement: float) -> DataFrame:
             rows, left, right = sides(block)
             if len(rows) < 2:
                 continue
-            out += forest(plausible(block, rows, left, right, least_agreement), left, right, block.column("id").to_numpy()[rows])
+            ids, signs = block.column("id").to_numpy()[rows], signatures(block, rows)
+            linked = plausible(signs, left, right, least_agreement)
+            if block.column("low")[0] == block.column("high")[0]:
+                out += forest(linked, left, right, ids)
+            elif linked.any():
+                out += between(linked, left, right, ids, signs, least_agreement)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
                 out = []
@@ -233,7 +259,7 @@ def verified(blocks: DataFrame, threshold: float, n: int, least_agreement: float
             rows, left, right = sides(block)
             if len(rows) < 2:
                 continue
-            likely = plausible(block, rows, left, right, least_agreement) & (left[:, None] != right[None, :])
+            likely = plausible(signatures(block, rows), left, right, least_agreement) & (left[:, None] != right[None, :])
             left, right = left[likely.any(1)], right[likely.any(0)]
             if not len(left):
                 continue

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sylvaframe.llm import toxicity
+from sylvaframe.llm import ngram_join, toxicity
 
 
 def test_toxicity_reads_the_whole_of_long_runs():
@@ -43,3 +43,28 @@ def test_near_copies_of_shared_and_missing_ids(spark):
     ends = [x for x in got if x[0] is None and x[1].startswith("w3")]
     assert len(ends) == 1 and ends[0][1] in (say(3), say(3) + " end")
     assert sorted((i or 0, t) for i, t in got if (i, t) not in ends) == sorted([(3, say(0)), (5, say(1)), (5, say(2)), (0, ""), (2, say(4))])
+
+
+def test_edges_between_chunks_join_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        base = rng.integers(0, 60000, (4, 100)).astype("<u2")
+        signs = base[rng.integers(0, 4, 30)]
+        signs[rng.random(signs.shape) < rng.random() * 0.4] = 7
+        ids, chunk = rng.permutation(1000)[:30], rng.integers(0, 3, 30)
+        sides = [np.flatnonzero(chunk == k) for k in range(3)]
+        every = np.arange(30)
+        edges = []
+        for a in range(3):
+            edges += ngram_join.forest(ngram_join.plausible(signs, sides[a], sides[a], 0.7), sides[a], sides[a], ids)
+            for b in range(a + 1, 3):
+                linked = ngram_join.plausible(signs, sides[a], sides[b], 0.7)
+                if linked.any():
+                    edges += ngram_join.between(linked, sides[a], sides[b], ids, signs, 0.7)
+        place = {int(x): i for i, x in enumerate(ids)}
+        joined = np.eye(30, dtype=bool)
+        for x, y in edges:
+            joined[place[x], place[y]] = joined[place[y], place[x]] = True
+        want = ngram_join.components_of(ngram_join.plausible(signs, every, every, 0.7), every, every, 30)
+        got = ngram_join.components_of(joined, every, every, 30)
+        assert (want == got).all()
