@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaframe.llm import byte_bpe, chat_format, ngram_join, packing, quality_rules, sharding, token_counts, topk, toxicity, url_rules
+from sylvaframe.llm import byte_bpe, chat_format, mixing, ngram_join, packing, quality_rules, sharding, token_counts, topk, toxicity, url_rules
 from sylvaframe.llm._common import table
 
 #: Rules of the url query: host, path, verdict.
@@ -161,9 +161,46 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs.select("doc_id", "text"), rules).select("doc_id", "stats.*")
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("draws")).alias("taken"))
+
+
+#: What a document gives does not depend on the shards, so the tree has no part in the SQL.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('+' || source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key
+  FROM documents
+), c AS (
+  SELECT *, CAST('0x' || substr(key, 1, 3) AS BIGINT) AS cell FROM d
+), n AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source = '', source) - 1) % 3 + 1 AS BIGINT)] AS weight FROM n
+), u AS (
+  SELECT *, (1.5 * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(2 * source_size) OVER earlier, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS unit
+  FROM w WINDOW earlier AS (ORDER BY 2 * source_size / weight, source = '', source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(2.0 * source_size, max(unit) OVER () * weight)::DOUBLE AS target FROM u
+), s AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS want, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS passes FROM t
+), r AS (
+  SELECT c.doc_id, c.size, s.source_size, s.target, s.passes, s.want - s.passes * s.source_size AS rest,
+         coalesce(sum(size) OVER (PARTITION BY c.source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS before,
+         count(*) OVER (PARTITION BY c.source, key) AS copies
+  FROM c JOIN s USING (source)
+)
+SELECT doc_id, size, source_size, target,
+       CAST(passes * size + greatest(0, least(rest - before, size * copies)) // copies AS BIGINT) AS taken
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_minimax_shards, op4_ngram_join, op5_tiered_packing, op6_chat_format, op7_url_rules, op8_toxicity, op9_exact_topk, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_minimax_shards, op4_ngram_join, op5_tiered_packing, op6_chat_format, op7_url_rules, op8_toxicity, op9_exact_topk, op10_quality_rules, op11_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL, "op9_exact_topk": OP9_SQL, "op11_mix_sources": OP11_SQL}
