@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaframe.llm import byte_bpe, chat_format, mixing, ngram_join, packing, quality_rules, sharding, token_counts, topk, toxicity, url_rules
+from sylvaframe.llm import alignment, byte_bpe, chat_format, mixing, ngram_join, packing, quality_rules, sharding, token_counts, topk, toxicity, url_rules
 from sylvaframe.llm._common import table
 
 #: Rules of the url query: host, path, verdict.
@@ -198,8 +198,12 @@ FROM r
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_minimax_shards, op4_ngram_join, op5_tiered_packing, op6_chat_format, op7_url_rules, op8_toxicity, op9_exact_topk, op10_quality_rules, op11_mix_sources)}
+    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_minimax_shards, op4_ngram_join, op5_tiered_packing, op6_chat_format, op7_url_rules, op8_toxicity, op9_exact_topk, op10_quality_rules, op11_mix_sources, op12_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
