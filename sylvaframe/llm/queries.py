@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaframe.llm import alignment, byte_bpe, chat_format, mixing, ngram_join, packing, quality_rules, sharding, token_counts, topk, toxicity, url_rules
+from sylvaframe.llm import alignment, byte_bpe, chat_format, lexical, mixing, ngram_join, packing, quality_rules, sharding, token_counts, topk, toxicity, url_rules
 from sylvaframe.llm._common import table
 
 #: Rules of the url query: host, path, verdict.
@@ -202,9 +202,39 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=50)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), i AS (
+  SELECT row_number() OVER () AS item, item_id,
+         unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), s AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0
+), m AS (
+  SELECT row, doc_id, 50 + (50 * len(terms) * n_docs) // n_terms AS m FROM d, s WHERE len(terms) > 0
+), f AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY 1, 2
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term
+), r AS (
+  SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN w USING (term) JOIN m USING (row) WHERE doc_id IS NOT NULL GROUP BY item, row
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_minimax_shards, op4_ngram_join, op5_tiered_packing, op6_chat_format, op7_url_rules, op8_toxicity, op9_exact_topk, op10_quality_rules, op11_mix_sources, op12_token_alignment)}
+    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_minimax_shards, op4_ngram_join, op5_tiered_packing, op6_chat_format, op7_url_rules, op8_toxicity, op9_exact_topk, op10_quality_rules, op11_mix_sources, op12_token_alignment, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL, "op9_exact_topk": OP9_SQL, "op11_mix_sources": OP11_SQL}
+    return {"op4_ngram_join": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_url_rules": OP7_SQL, "op9_exact_topk": OP9_SQL, "op11_mix_sources": OP11_SQL, "op13_lexical_search": OP13_SQL}
