@@ -10,7 +10,8 @@
 
 Words are what ASCII white space separates, in lower case. A text of fewer words than an n-gram has one n-gram, of all
 its words; one without words has none and links with equal texts only. Null texts are empty. Rows without an id get no
-class. Rows of one id are one document. An empty table gives an empty result; other columns are ignored.
+class. Ids are integers; rows that repeat one with other texts are documents of their own, which the representative's id doesn't tell
+apart. Long texts count whole. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -312,30 +313,33 @@ def ngram_join(
     )
     reps = classes.where("rep is not null").checkpoint()
 
-    points = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
+    # From here on a text's hash stands for it, as different texts can share an id.
+    points = reps.select(F.explode("bands").alias("bucket"), F.col("h1").alias("id"))
     buckets = points.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     # Of buckets with the same members one is enough.
     buckets = buckets.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n").checkpoint()
     if buckets.count() <= broadcast_rows:
-        members = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "signature").join(F.broadcast(buckets), "bucket")
+        members = reps.select(F.explode("bands").alias("bucket"), F.col("h1").alias("id"), "signature").join(F.broadcast(buckets), "bucket")
     else:
-        members = points.join(buckets, "bucket").join(reps.select(F.col("rep").alias("id"), "signature"), "id")
+        members = points.join(buckets, "bucket").join(reps.select(F.col("h1").alias("id"), "signature"), "id")
     members = members.withColumn("chunks", F.ceil(F.col("n") / block_rows)).drop("n")
     slack = 4 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
     edges = plausible_edges(blocked(members, "bucket", "chunks"), threshold - slack)
     linked = connected_components(edges).checkpoint()
     small = linked.count() <= broadcast_rows
-    found = reps.select(F.col("rep").alias("node"), "copies", "grams", "signature", "h1").join(F.broadcast(linked) if small else linked, "node")
+    found = reps.select(F.col("h1").alias("node"), "copies", "grams", "signature", "rep").join(F.broadcast(linked) if small else linked, "node")
     sizes = found.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("grams") / block_grams)).alias("chunks"))
-    candidates = found.join(sizes, "component").select("component", F.greatest("chunks", F.lit(1)).alias("chunks"), F.col("node").alias("id"), "copies", "signature", "h1").checkpoint()
-
-    texts = docs.withColumn("h1", F.xxhash64(F.coalesce("text", F.lit(""))))
-    links = verified(texts.join(F.broadcast(candidates) if small else candidates, ["id", "h1"]), threshold, n, threshold - slack).checkpoint()
-    counts = links.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    joined = connected_components(links.where("links is null").select("a", "b")).withColumnRenamed("node", "rep")
-    result = reps.select("h1", "h2", "rep", "copies").join(counts, "rep", "left").join(joined, "rep", "left")
+    candidates = found.join(sizes, "component").select("component", F.greatest("chunks", F.lit(1)).alias("chunks"), F.col("node").alias("id"), "copies", "signature", "rep").checkpoint()
+
+    texts = docs.select(F.col("id").alias("rep"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), "text")
+    links = verified(texts.join(F.broadcast(candidates) if small else candidates, ["id", "rep"]), threshold, n, threshold - slack).checkpoint()
+    counts = links.where("links is not null").groupBy(F.col("a").alias("h1")).agg(F.sum("links").alias("links"))
+    joined = connected_components(links.where("links is null").select("a", "b")).withColumnRenamed("node", "h1").join(reps.select("h1", "rep"), "h1").checkpoint()
+    least = joined.groupBy("component").agg(F.min("rep").alias("least")).checkpoint()
+    joined = joined.join(F.broadcast(least) if least.count() <= broadcast_rows else least, "component").select("h1", "least")
+    result = reps.select("h1", "h2", "rep", "copies").join(counts, "h1", "left").join(joined, "h1", "left")
     result = result.select(
-        "h1", "h2", "rep", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "h1", "h2", "rep", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     own = known.select("id", "h1", "h2").join(result, ["h1", "h2"], "left")
     has = F.col("id").isNotNull()

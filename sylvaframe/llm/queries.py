@@ -40,28 +40,28 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH RECURSIVE c AS (
-  SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS copies FROM documents GROUP BY 1
+WITH RECURSIVE c AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY text) AS key FROM (SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS copies FROM documents GROUP BY 1)
 ), w AS (
-  SELECT rep, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM c
+  SELECT key, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM c
 ), g AS (
-  SELECT DISTINCT rep, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  SELECT DISTINCT key, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w
 ), s AS (
-  SELECT rep, count(*) AS n FROM g GROUP BY rep
+  SELECT key, count(*) AS n FROM g GROUP BY key
 ), p AS (
-  SELECT a.rep AS a, b.rep AS b, count(*) AS i FROM g a JOIN g b USING (gram) WHERE a.rep <> b.rep GROUP BY 1, 2
+  SELECT a.key AS a, b.key AS b, count(*) AS i FROM g a JOIN g b USING (gram) WHERE a.key <> b.key GROUP BY 1, 2
 ), l AS (
-  SELECT a, b FROM p JOIN s x ON x.rep = a JOIN s y ON y.rep = b WHERE i >= 0.8 * (x.n + y.n - i) - 1e-9
+  SELECT a, b FROM p JOIN s x ON x.key = a JOIN s y ON y.key = b WHERE i >= 0.8 * (x.n + y.n - i) - 1e-9
 ), reach AS (
-  SELECT rep AS node, rep AS root FROM c UNION SELECT l.b, root FROM reach JOIN l ON l.a = node
+  SELECT key AS node, key AS root FROM c UNION SELECT l.b, root FROM reach JOIN l ON l.a = node
 ), k AS (
-  SELECT node, min(root) AS class_id FROM reach GROUP BY node
+  SELECT node, min(rep) AS class_id FROM reach JOIN c ON c.key = root GROUP BY node
 ), n AS (
-  SELECT l.a AS rep, sum(copies) AS links FROM l JOIN c ON c.rep = l.b GROUP BY l.a
+  SELECT l.a AS key, sum(copies) AS links FROM l JOIN c ON c.key = l.b GROUP BY l.a
 )
 SELECT doc_id, class_id, CAST(coalesce(links, 0) + copies - 1 AS BIGINT) AS n_links, c.rep AS representative
-FROM documents d JOIN c ON c.text = coalesce(d.text, '') JOIN k ON k.node = c.rep LEFT JOIN n ON n.rep = c.rep
+FROM documents d JOIN c ON c.text = coalesce(d.text, '') JOIN k ON k.node = c.key LEFT JOIN n ON n.key = c.key
 """
 
 

@@ -9,11 +9,12 @@ segment's partial scores of a query form one list. Blocks of queries meet blocks
 3. what other lists add is in the same block, so the collected entries are scored exactly there, and only the block's best k
    that reach the cutoff leave it.
 
-No group holds more than a block of queries and one of candidates. Of equal vectors in a block only the k + 1 of the
+No group holds more than a block of queries and one of candidates. Of equal vectors in a block only those of the k + 1
 least ids can be among the best k, and only they are scored.
 
 Null vectors and vectors with null, NaN or infinite components take no part, nor do null ids. Shorter vectors count as
-padded by zeros. Rows of one id count once, by their least vector. Fewer candidates than k give fewer rows; an empty table
+padded by zeros. Rows that repeat an id are candidates of their own, but for queries of that id; as queries they share
+k results. Fewer candidates than k give fewer rows; an empty table
 gives an empty result. Components beyond 2**31 in size are outside the contract. Other columns are ignored.
 """
 
@@ -35,7 +36,7 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
     finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & values.isNotNull() & finite)
-    return rows.select("id", F.transform(values, lambda x: F.floor(x * scale)).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select("id", F.transform(values, lambda x: F.floor(x * scale)).alias("v"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -60,16 +61,20 @@ def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return queries @ candidates.T
 
 
-def first_copies(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
-    """Rows in the order of ids, without those that `most` equal vectors of lesser ids precede."""
+def first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Rows in the order of ids, of equal vectors those of the k + 1 least ids, and of each id k of them."""
     order = np.argsort(ids, kind="stable")
     _, which = np.unique(vectors[order], axis=0, return_inverse=True)
-    which = which.ravel()
+    which, own = which.ravel(), ids[order]
     by = np.argsort(which, kind="stable")
-    starts = np.flatnonzero(np.diff(which[by], prepend=-1))
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
-    return order[place < most]
+    new_vector = np.diff(which[by], prepend=-1) != 0
+    new_id = new_vector | (np.diff(own[by], prepend=own[by[0]]) != 0)
+    count = lambda starts, ends: np.cumsum(starts) - np.repeat(np.cumsum(starts)[ends], np.diff(np.append(ends, len(by))))
+    id_place = count(new_id, np.flatnonzero(new_vector))
+    copy_place = count(np.ones(len(by), np.int64), np.flatnonzero(new_id))
+    keep = np.zeros(len(by), bool)
+    keep[by] = (id_place <= k) & (copy_place < k)
+    return order[keep]
 
 
 @dataclass(frozen=True)
@@ -81,9 +86,9 @@ class Layout:
     cuts: tuple[int, ...]
 
     def load(self, queries: pa.Table, candidates: pa.Table):
-        """Ids and segments of both sides; candidates by id, copies beyond k + 1 left out."""
+        """Ids and segments of both sides; candidates by id, copies that can't be among the best k left out."""
         ids, vectors = candidates.column("id").to_numpy(), matrix(candidates.column("v"), self.width)
-        keep = first_copies(ids, vectors, self.k + 1) if len(ids) else np.arange(0)
+        keep = first_copies(ids, vectors, self.k) if len(ids) else np.arange(0)
         split = [slice(a, b) for a, b in zip(self.cuts, self.cuts[1:])]
         own = matrix(queries.column("v"), self.width)
         return queries.column("id").to_numpy(), ids[keep], [own[:, s] for s in split], [vectors[keep][:, s] for s in split]
@@ -189,8 +194,8 @@ def top_k(
     known = least.join(cutoff, "query_id")
     floor = F.aggregate("least", F.lit(0).cast("long"), lambda a, x: a + x)
     # Fewer gathered than k: every candidate is a result, and the share is each list's least entry.
-    share = F.when(F.col("found") < k, F.lit(0).cast("long")).otherwise(F.floor((F.col("cutoff") - floor) / m))
-    known = known.withColumn("shares", F.transform("least", lambda x: x + F.greatest(share, F.lit(0).cast("long")))).checkpoint()
+    share = F.when(F.col("found") < k, F.lit(0).cast("long")).otherwise(F.expr(f"(cutoff - bottom) div {m}"))
+    known = known.withColumn("bottom", floor).withColumn("shares", F.transform("least", lambda x: x + F.greatest(share, F.lit(0).cast("long")))).checkpoint()
 
     queries = blocks.queries.join(known.select(F.col("query_id").alias("id"), "shares", "cutoff"), "id")
     scored = blocks.resolved(queries)
