@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sylvaframe.functions import scalars as C
 from sylvaframe.operators.cut import cut
-from sylvaframe.operators.raster import AROUND
+from sylvaframe.operators.waves import wave
 
 PIXEL = ["box", "x", "y"]
 
@@ -21,19 +21,8 @@ def pixel_graph(labelled: DataFrame) -> DataFrame:
 
 
 def geodesic_distance(mask: DataFrame, seeds: DataFrame, straight: float = 1000.0, diagonal: float = 1414.0, inverted: bool = False) -> DataFrame:
-    """box, x, y and d: the chamfer distance of each reachable pixel of a mask from the seeds in it; inverted: the box's largest distance less it.
-
-    A round only moves what the last one has changed, so its cost is the front's; there are as many rounds as the longest way has pixels.
-    """
-    moves = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(diagonal if dx and dy else straight).alias("w")) for dx, dy in AROUND))
-    inside = cut(mask.select(*PIXEL).distinct())
-    known = cut(inside.join(seeds.select(*PIXEL).distinct(), PIXEL, "left_semi").withColumn("d", F.lit(0.0)))
-    front = known
-    while not front.isEmpty():
-        ahead = front.withColumn("m", F.explode(moves)).select("box", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"), (F.col("d") + F.col("m.w")).alias("d"))
-        offers = ahead.groupBy(*PIXEL).agg(F.min("d").alias("new")).join(inside, PIXEL, "left_semi")
-        front = cut(offers.join(known, PIXEL, "left").where("d is null or new < d").select(*PIXEL, F.col("new").alias("d")))
-        known = cut(known.join(front.select(*PIXEL), PIXEL, "left_anti").unionByName(front))
+    """box, x, y and d: the chamfer distance of each reachable pixel of a mask from the seeds in it; inverted: the box's largest distance less it."""
+    known = wave(mask, seeds.withColumn("label", F.lit(0)), ["box"], straight, diagonal).select(*PIXEL, "d")
     if inverted:
         most = known.groupBy("box").agg(F.max("d").alias("most"))
         return known.join(most, "box").select(*PIXEL, (F.col("most") - F.col("d")).alias("d"))
