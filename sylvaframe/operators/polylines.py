@@ -195,7 +195,7 @@ def contact_points(nodes: DataFrame, within: float, last: float) -> DataFrame:
     key = ["model", "a_root", "a_seq", "b_root", "b_seq"]
     pairs = side("a").join(side("b"), ["model", "gx", "gy"]).where("a_root < b_root").where(apart).drop("gx", "gy").dropDuplicates(key)
     at = lambda p, k: (F.col(f"{p}_x{k}"), F.col(f"{p}_y{k}"))
-    found = pairs.withColumn("s", segment_distance(at("a", "0"), at("a", ""), at("b", "0"), at("b", ""))).where(F.col("s.d") <= within)
+    found = pairs.withColumn("s", segment_distance(at("a", "0"), at("a", ""), at("b", "0"), at("b", ""))).where(F.round("s.d", 9) <= within)
     return found.select("model", *(F.col(f"{p}_{c}").alias(f"{c}_{p}") for p in "ab" for c in ("root", "seq")), "s.d", "s.x", "s.y")
 
 

@@ -45,13 +45,16 @@ def spread(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
 
 
 def gaussian_smooth(pixels: DataFrame, sigma: float) -> DataFrame:
-    """Gaussian weights within 3 sigma, normalised over the pixels that are there. One shuffle, combined before it."""
+    """Gaussian weights within 3 sigma, normalised over the pixels that are there: along x, then along y, each combined before its shuffle."""
     r = int(3 * sigma)
-    around = [(dx, dy) for dx in range(-r, r + 1) for dy in range(-r, r + 1)]
-    weight = F.exp(-(F.pow("move.dx", F.lit(2)) + F.pow("move.dy", F.lit(2))) / (2 * sigma * sigma))
-    sums = spread(pixels.select("box", "t", "x", "y", "v"), around).withColumn("w", weight).groupBy("box", "t", "x", "y")
-    smooth = sums.agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"), F.max((F.col("move.dx") == 0) & (F.col("move.dy") == 0)).alias("own"))
-    return smooth.where("own").drop("own")
+    rows = pixels.select("box", "t", "x", "y", "v", F.lit(1.0).alias("w"), F.lit(True).alias("own"))
+    for c in ("x", "y"):
+        offsets = [(k, 0) if c == "x" else (0, k) for k in range(-r, r + 1)]
+        weight = F.exp(-F.pow(f"move.d{c}", F.lit(2)) / (2 * sigma * sigma))
+        moved = spread(rows, offsets).withColumn("k", weight)
+        sums = moved.groupBy("box", "t", "x", "y").agg(F.sum(F.col("k") * F.col("v")).alias("v"), F.sum(F.col("k") * F.col("w")).alias("w"), F.max(F.col("own") & (F.col(f"move.d{c}") == 0)).alias("own"))
+        rows = sums
+    return rows.where("own").select("box", "t", "x", "y", (F.col("v") / F.col("w")).alias("v"))
 
 
 def rupture_score(pixels: DataFrame, background: float = 0.0) -> DataFrame:

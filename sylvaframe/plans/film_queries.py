@@ -46,14 +46,14 @@ def patches(s, d):
 
 add(
     "gap_correspondence",
-    lambda s, d: G.gap_correspondence(patches(s, d), 3, 0.6, 5.0, 2.0),
+    lambda s, d: G.gap_correspondence(patches(s, d), 3, 0.6, 5.0, 1.0),
     f"""WITH v AS (SELECT vec_id // {IMAGE} AS image, vec_id % {IMAGE} AS i, list_transform(embedding, lambda x: floor(1000 * CAST(x AS DOUBLE))) AS top FROM embeddings WHERE embedding IS NOT NULL),
     p AS MATERIALIZED (SELECT v.image, v.i, v.top, list_transform(list_zip(coalesce(a.top, v.top), v.top), lambda z: z[1] * (CASE WHEN v.i % 7 < 3 THEN 1 ELSE 0 END) + v.top[1] - z[2] * (CASE WHEN v.i % 7 < 3 THEN 0 ELSE 1 END)) AS bottom FROM v LEFT JOIN v a ON a.image = v.image AND a.i = v.i + 2),
     q AS (SELECT a.image, a.i, b.i AS j, stddev_pop(a.x) AS d_top, {_corr('count(*)', 'sum(a.x)', 'sum(b.x)', 'sum(a.x * a.x)', 'sum(b.x * b.x)', 'sum(a.x * b.x)')} AS r
       FROM (SELECT image, i, unnest(top) AS x, generate_subscripts(top, 1) AS k FROM p) a JOIN (SELECT image, i, unnest(bottom) AS x, generate_subscripts(bottom, 1) AS k FROM p) b ON b.image = a.image AND b.k = a.k AND abs(a.i - b.i) <= 3 GROUP BY 1, 2, 3),
     kept AS (SELECT image, i, -m[2] AS j FROM (SELECT image, i, max((r, -j)) AS m, any_value(d_top) AS d_top FROM q GROUP BY 1, 2) JOIN (SELECT image, i, list_stddev_pop(bottom) AS d_bottom FROM p) USING (image, i) WHERE m[1] >= 0.6 AND d_top >= 5 AND d_bottom >= 5),
-    marked AS (SELECT image, i, coalesce(lag(i) OVER (PARTITION BY image ORDER BY i, real DESC), -3) AS before FROM (SELECT image, i, true AS real FROM kept UNION ALL SELECT image, max(i), false FROM p GROUP BY image))
-    SELECT image, i, j, true AS real FROM kept UNION ALL SELECT image, CAST(before + 3 * k AS BIGINT), CAST(before + 3 * k AS BIGINT), false FROM (SELECT *, unnest(range(1, CAST(ceil((i - before) / 3 - 1) AS BIGINT))) AS k FROM marked WHERE i - before > 8)""",
+    marked AS (SELECT image, i, coalesce(lag(i) OVER (PARTITION BY image ORDER BY i, real DESC), -1) AS before FROM (SELECT image, i, true AS real FROM kept UNION ALL SELECT image, max(i), false FROM p GROUP BY image))
+    SELECT image, i, j, true AS real FROM kept UNION ALL SELECT image, CAST(trunc(before + 1.5e0 * k) AS BIGINT), CAST(trunc(before + 1.5e0 * k) AS BIGINT), false FROM (SELECT *, unnest(range(1, CAST(ceil((i - before) / 1.5e0 - 1) AS BIGINT))) AS k FROM marked WHERE i - before > 4)""",
 )
 
 

@@ -132,6 +132,6 @@ add(
 add("bbox_overlap", both(lambda n, r: L.segments(n).groupBy("model", "root").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("near", L.bbox_overlap(F.col("lo"), F.col("hi"), F.lag("lo").over(L.Window.partitionBy("model").orderBy("root")), F.lag("hi").over(L.Window.partitionBy("model").orderBy("root")), 3.0))),
     "SELECT *, lo - 3 <= lag(hi) OVER (PARTITION BY model ORDER BY root) AND lag(lo) OVER (PARTITION BY model ORDER BY root) - 3 <= hi AS near FROM (SELECT model, root, min(x) AS lo, max(x) AS hi FROM nodes GROUP BY 1, 2)", ("nodes",))
 CONTACTS = f"""(SELECT a.model, a.root AS root_a, a.seq AS seq_a, b.root AS root_b, b.seq AS seq_b, {APART} AS d FROM {STEPS} a JOIN {STEPS} b ON b.model = a.model AND a.root < b.root AND a.x0 IS NOT NULL AND b.x0 IS NOT NULL AND a.c >= 8 AND b.c >= 8 AND a.t <= 25 AND b.t <= 25
-  AND greatest(a.x0, a.x) + 4 >= least(b.x0, b.x) AND greatest(b.x0, b.x) + 4 >= least(a.x0, a.x) AND greatest(a.y0, a.y) + 4 >= least(b.y0, b.y) AND greatest(b.y0, b.y) + 4 >= least(a.y0, a.y) WHERE {APART} <= 4)"""
+  AND greatest(a.x0, a.x) + 4 >= least(b.x0, b.x) AND greatest(b.x0, b.x) + 4 >= least(a.x0, a.x) AND greatest(a.y0, a.y) + 4 >= least(b.y0, b.y) AND greatest(b.y0, b.y) + 4 >= least(a.y0, a.y) WHERE round({APART}, 9) <= 4)"""
 add("contact_points", on(lambda n: L.contact_points(n, 4.0, 25.0).drop("x", "y"), "d"), f"SELECT model, root_a, seq_a, root_b, seq_b, round(d, 3) AS d FROM {CONTACTS}", ("segs",))
 add("complexity_count", on(lambda n: L.complexity_count(L.contact_points(n, 4.0, 25.0))), f"SELECT model, count(DISTINCT (root_a, root_b)) AS pairs, count(*) AS places FROM {CONTACTS} GROUP BY 1", ("segs",))

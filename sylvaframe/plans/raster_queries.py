@@ -50,7 +50,7 @@ add("appearance_date_map", lambda s, d: R.appearance_date_map(X.raster(s, d), 3,
 add("first_below_threshold", _on(lambda r: R.first_below_threshold(r, 10.0)), f"SELECT {KEY}, coalesce(min(t) FILTER (v < 10 AND t > 0), 0) AS day FROM raster GROUP BY ALL", ("raster",))
 add("max_over_threshold_argmax", _on(lambda r: R.max_over_threshold_argmax(r, 30.0)), f"SELECT {KEY}, coalesce(arg_max(t, step * 1000 - t) FILTER (step > 30), 0) AS day FROM ({STEPS}) GROUP BY ALL", ("raster",))
 # Scores are rounded at the ninth place, so that equal ones tie in any engine.
-BEST = "SELECT box, x, y, coalesce((min((({sign} * -round(rupture, 9)), t)) FILTER (t > 0 AND {sign} * rupture > {over}))[2], 0) AS day FROM ({scores}) GROUP BY ALL"
+BEST = "SELECT box, x, y, coalesce((min((({sign} * -round(rupture, 9)), t)) FILTER (t > 0 AND {sign} * round(rupture, 9) > {over}))[2], 0) AS day FROM ({scores}) GROUP BY ALL"
 
 
 add("rupture_up", _on(lambda r: R.rupture_best(r, 4.0, False)), BEST.format(sign="1", over=4, scores=SCORES), ("raster",))
