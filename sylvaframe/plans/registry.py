@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sylvaframe.plans.fixtures import Query
 
-FAMILIES = ("raster_queries", "timebase_queries", "region_queries", "trait_queries", "model_queries", "anomaly_queries", "report_queries", "polyline_queries", "pixel_queries", "replay_queries", "organ_queries", "film_queries", "source_queries")
+FAMILIES = ("raster_queries", "timebase_queries", "region_queries", "trait_queries", "model_queries", "anomaly_queries", "report_queries", "polyline_queries", "pixel_queries", "replay_queries", "organ_queries", "film_queries", "branch_queries", "source_queries")
 
 
 def books():
