@@ -9,6 +9,7 @@ from sylvaframe.functions import scalars as C
 from sylvaframe.operators.cut import cut
 from sylvaframe.operators.graph import component_labels
 from sylvaframe.operators.nearest import nearest
+from sylvaframe.operators.raster import dilate_erode
 from sylvaframe.operators.timebase import mad_double_sided
 
 
@@ -385,3 +386,101 @@ def selection_candidates(edges: DataFrame, active: Column) -> DataFrame:
     """Edges without the inactive ones into targets that have an active one."""
     has = F.max(active.cast("int")).over(Window.partitionBy("box", "dst"))
     return edges.withColumn("active", active).withColumn("has", has).where("active or has = 0").drop("has")
+
+
+def best_facet(labelled: DataFrame, attributes: DataFrame, reach: float = 10.0) -> DataFrame:
+    """For each two components of different dates that share sides the best side (box, src, dst, x, y, axis: 0 where it is crossed along x, score).
+
+    A side's score is twice the cosine of its normal with the way between the centres, and twice its distance to what lies outside both components, sampled every half pixel
+    up to `reach` along x and y (1e8 where all is inside). Equal scores (nine places) go to the least (y, x, axis).
+    """
+    pairs = side_pairs(labelled.select("box", "x", "y", "day", "cc_id"), ["day", "cc_id"]).where("p_day <> q_day")
+    first = F.col("p_day") < F.col("q_day")
+    either = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
+    sides = pairs.select(
+        "box", either("p_cc_id", "q_cc_id", "src"), either("q_cc_id", "p_cc_id", "dst"), ((F.col("px") + F.col("qx")) / 2).alias("x"), ((F.col("py") + F.col("qy")) / 2).alias("y"),
+        (either("qx", "px", "nx") - either("px", "qx", "mx")).alias("nx"), (either("qy", "py", "ny") - either("py", "qy", "my")).alias("ny"),
+    )
+    # A pixel at the offset u is met by samples from u - 1/2 up to u: its distance along an axis.
+    along = lambda u: F.when(u > 0, u - 0.5).otherwise(-u)
+    steps = F.sequence(F.lit(-int(reach) - 1), F.lit(int(reach) + 1))
+    near = sides.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    px, py = F.floor("x") + F.col("i"), F.floor("y") + F.col("j")
+    far = near.select("box", "src", "dst", "x", "y", px.cast("int").alias("px"), py.cast("int").alias("py"), along(px - F.col("x")).alias("u"), along(py - F.col("y")).alias("v")).where((F.col("u") <= reach) & (F.col("v") <= reach))
+    inside = labelled.select("box", F.col("x").cast("int").alias("px"), F.col("y").cast("int").alias("py"), F.col("cc_id").alias("in_cc"))
+    out = far.join(inside, ["box", "px", "py"], "left").where(F.col("in_cc").isNull() | ((F.col("in_cc") != F.col("src")) & (F.col("in_cc") != F.col("dst"))))
+    outside = out.groupBy("box", "src", "dst", "x", "y").agg(F.min(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))).alias("outside"))
+    side = lambda name, p: attributes.select("box", F.col("cc_id").alias(name), F.col("cx").cast("double").alias(f"{p}x"), F.col("cy").cast("double").alias(f"{p}y"))
+    rows = sides.join(outside, ["box", "src", "dst", "x", "y"], "left").join(side("src", "s"), ["box", "src"]).join(side("dst", "t"), ["box", "dst"])
+    dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
+    turn = F.coalesce((F.col("nx") * dx + F.col("ny") * dy) / F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0)), F.lit(0.0))
+    score = F.round(2 * turn + 2 * F.coalesce("outside", F.lit(1e8)), 9)
+    axis = F.when(F.col("nx") != 0, 0).otherwise(1)
+    best = rows.groupBy("box", "src", "dst").agg(F.max(F.struct(score.alias("score"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"), (-axis).alias("axis"))).alias("m"))
+    return best.select("box", "src", "dst", (-F.col("m.x")).alias("x"), (-F.col("m.y")).alias("y"), (-F.col("m.axis")).alias("axis"), "m.score")
+
+
+def _bounded(rows: DataFrame, by: list[str], value: str, classes: int, name: str) -> DataFrame:
+    """Rows once for each class whose bound exceeds their value: the bounds are every 1 / classes of the sorted values, the last one is open."""
+    own = Window.partitionBy(*by)
+    ranked = rows.withColumn("r", F.row_number().over(own.orderBy(value, "id")) - 1).withColumn("total", F.count("*").over(own))
+    bound = lambda c: F.max(F.when(F.col("r") == F.floor(F.lit(c) * F.col("total") / classes), F.col(value))).over(own)
+    bounds = F.array(*(bound(c) for c in range(1, classes)), F.lit(float("inf")))
+    ranked = ranked.withColumn("bounds", bounds)
+    return ranked.select(*rows.columns, F.posexplode("bounds").alias(name, f"{name}_below")).where(F.col(value) < F.col(f"{name}_below"))
+
+
+def binned_speed_stats(samples: DataFrame, classes: int = 7) -> DataFrame:
+    """Cells of speeds (box, rate_class, ratio_class, their bounds, n, median, low, high) of samples (box, id, rate, ratio, speed).
+
+    A sample counts in each class whose bound exceeds its rate, and there in each class whose bound exceeds its ratio; bounds are quantiles of what counts.
+    """
+    by_rate = _bounded(samples.select("box", "id", "rate", "ratio", "speed"), ["box"], "rate", classes, "rate_class")
+    cells = _bounded(by_rate, ["box", "rate_class"], "ratio", classes, "ratio_class")
+    key = ["box", "rate_class", "rate_class_below", "ratio_class", "ratio_class_below"]
+    mid = cells.withColumn("median", F.median("speed").over(Window.partitionBy(*key)))
+    v = F.col("speed")
+    return mid.groupBy(*key).agg(F.count("*").alias("n"), F.first("median").alias("median"), F.median(F.when(v <= F.col("median"), v)).alias("low"), F.median(F.when(v >= F.col("median"), v)).alias("high"))
+
+
+def binned_speed_lookup(queries: DataFrame, cells: DataFrame) -> DataFrame:
+    """Queries (box, id, rate, ratio) with the cell of the first class above their rate, and in it the first above their ratio. Cells of a box are few (classes squared)."""
+    rates = cells.select("box", "rate_class", "rate_class_below").distinct()
+    first = queries.join(rates, "box").where("rate < rate_class_below").groupBy("box", "id", "rate", "ratio").agg(F.min("rate_class").alias("rate_class"))
+    found = first.join(cells, ["box", "rate_class"]).where("ratio < ratio_class_below").groupBy("box", "id").agg(F.min_by(F.struct("rate_class", "ratio_class", "n", "median", "low", "high"), "ratio_class").alias("c"))
+    return found.select("box", "id", "c.*")
+
+
+def meniscus_mask(image: DataFrame, line: int = 8, join: int = 15, widen: int = 52, grow: int = 3, low: float = 20.0, high: float = 500.0) -> tuple[DataFrame, DataFrame]:
+    """Pixels (box, x, y) of the meniscus of an image (box, x, y, v), and of the area of interest: the largest piece of what is left.
+
+    Where closings by upright and by level lines (`line` to both sides) differ by low to high, after a level closing by `join`, lies the meniscus: its largest piece after `widen` to both
+    sides along x and 1 along y, grown by `grow` along y.
+    """
+    across, up = (lambda n: [(k, 0) for k in range(-n, n + 1)]), (lambda n: [(0, k) for k in range(-n, n + 1)])
+    closed = lambda rows, element: dilate_erode(dilate_erode(rows, element), element, False)
+    rows = cut(image.select("box", F.lit(0).alias("t"), "x", "y", "v"))
+    named = lambda rows, name: rows.select("box", "t", "x", "y", F.col("v").alias(name))
+    apart = named(closed(rows, up(line)), "a").join(named(closed(rows, across(line)), "b"), ["box", "t", "x", "y"]).select("box", "t", "x", "y", (F.col("a") - F.col("b")).alias("v"))
+    mask = closed(apart, across(join)).select("box", "t", "x", "y", F.col("v").between(low, high).cast("int").alias("v"))
+    spread_out = cut(dilate_erode(dilate_erode(cut(mask), across(widen)), up(1)))
+    band = _largest_piece(spread_out.select("box", "x", "y", F.col("v").alias("day"))).select("box", "x", "y", F.lit(1).alias("hit"))
+    marked = image.select("box", "x", "y").join(band, ["box", "x", "y"], "left").select("box", F.lit(0).alias("t"), "x", "y", F.coalesce("hit", F.lit(0)).alias("v"))
+    grown = cut(dilate_erode(marked, up(grow)).select("box", "x", "y", "v"))
+    return grown.where("v = 1").select("box", "x", "y"), _largest_piece(grown.select("box", "x", "y", (1 - F.col("v")).alias("day")))
+
+
+def _largest_piece(cells: DataFrame) -> DataFrame:
+    """Pixels (box, x, y) of each box's largest component of day 1, the least number of equals."""
+    labelled = cut(connected_components(cells).where("day = 1"))
+    sizes = labelled.groupBy("box", "cc_id").agg(F.count("*").alias("n"))
+    best = sizes.groupBy("box").agg(F.max(F.struct("n", (-F.col("cc_id")).alias("c"))).alias("m")).select("box", (-F.col("m.c")).alias("cc_id"))
+    return labelled.join(best, ["box", "cc_id"], "left_semi").select("box", "x", "y")
+
+
+def pixel_value_map(pixels: DataFrame, mode: str, on_skeleton_only: bool = False) -> DataFrame:
+    """box, x, y and value of pixels (way, outer, date, hours, date_out, hours_out): the one that mode names; of all pixels, or of those on a path alone."""
+    if mode not in ("way", "outer", "date", "hours", "date_out", "hours_out"):
+        raise ValueError(f"no value of pixels is called {mode}")
+    rows = pixels.where("outer = 0") if on_skeleton_only else pixels
+    return rows.groupBy("box", "x", "y").agg(F.min(mode).alias("value"))

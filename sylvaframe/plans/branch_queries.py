@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sylvaframe.operators import branches as B
+from sylvaframe.operators import regions as R
 from sylvaframe.plans import fixtures as X
 from sylvaframe.plans import region_queries as Q
 
@@ -186,3 +187,60 @@ add(
 )
 add("step_distance", lambda s, d: _r(B.step_distance(features(s, d).where("last").select("box", F.col("cc_id").alias("stop")), comps(s, d), links(s, d), SPEED * HOURS, HOURS, 30.0), "d"))
 add("reconnect_broken_branches", lambda s, d: _r(B.reconnect_broken_branches(scored(s, d), 1.6), "score"))
+
+
+REACH_OUT = 3
+SIDES = """SELECT p.box, CASE WHEN p.day < q.day THEN p.cc_id ELSE q.cc_id END AS src, CASE WHEN p.day < q.day THEN q.cc_id ELSE p.cc_id END AS dst, (p.x + q.x) / 2e0 AS x, (p.y + q.y) / 2e0 AS y, CASE WHEN p.day < q.day THEN q.x - p.x ELSE p.x - q.x END AS nx,
+      CASE WHEN p.day < q.day THEN q.y - p.y ELSE p.y - q.y END AS ny FROM labelled p JOIN labelled q ON p.box = q.box AND p.day <> q.day AND ((q.x = p.x + 1 AND q.y = p.y) OR (q.x = p.x AND q.y = p.y + 1))"""
+ALONG = lambda u: f"CASE WHEN {u} > 0 THEN {u} - 0.5 ELSE -({u}) END"
+add(
+    "best_facet",
+    lambda s, d: _r(R.best_facet(Q.labelled(s, d), Q.comps(s, d), REACH_OUT), "score"),
+    f"""WITH sides AS MATERIALIZED ({SIDES}), o AS MATERIALIZED (SELECT s.box, s.src, s.dst, s.x, s.y, min(sqrt(u ** 2 + v ** 2)) AS outside FROM (SELECT *, CAST(floor(x) + i AS INTEGER) AS px, CAST(floor(y) + j AS INTEGER) AS py, {ALONG('(floor(x) + i - x)')} AS u, {ALONG('(floor(y) + j - y)')} AS v FROM sides, range(-{REACH_OUT + 1}, {REACH_OUT + 2}) a(i), range(-{REACH_OUT + 1}, {REACH_OUT + 2}) b(j)) s
+      LEFT JOIN labelled l ON l.box = s.box AND l.x = s.px AND l.y = s.py WHERE u <= {REACH_OUT} AND v <= {REACH_OUT} AND (l.cc_id IS NULL OR l.cc_id NOT IN (s.src, s.dst)) GROUP BY ALL),
+    r AS (SELECT s.*, round(2 * coalesce((nx * (t.cx - c.cx) + ny * (t.cy - c.cy)) / nullif(sqrt((t.cx - c.cx) ** 2 + (t.cy - c.cy) ** 2), 0), 0) + 2 * coalesce(outside, 1e8), 9) AS score FROM sides s LEFT JOIN o ON o.box = s.box AND o.src = s.src AND o.dst = s.dst AND o.x = s.x AND o.y = s.y
+      JOIN comps c ON c.box = s.box AND c.cc_id = s.src JOIN comps t ON t.box = s.box AND t.cc_id = s.dst)
+    SELECT box, src, dst, -m[3] AS x, -m[2] AS y, CAST(-m[4] AS INTEGER) AS axis, round(m[1], 4) AS score FROM (SELECT box, src, dst, max((score, -y, -x, CASE WHEN nx <> 0 THEN 0 ELSE -1 END)) AS m FROM r GROUP BY 1, 2, 3)""",
+    ("labelled", "comps"),
+)
+CLASSES = 7
+
+
+def _bounds(rows, by, value, name):
+    """SQL of rows once for each class whose bound exceeds their value."""
+    return f"""(SELECT * EXCLUDE (r, total, q), unnest(range({CLASSES})) AS {name}, unnest(list_concat(q, [CAST('infinity' AS DOUBLE)])) AS {name}_below FROM (SELECT *, [{', '.join(f"max(CASE WHEN r = {c} * total // {CLASSES} THEN {value} END) OVER (PARTITION BY {by})" for c in range(1, CLASSES))}] AS q
+      FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {value}, id) - 1 AS r, count(*) OVER (PARTITION BY {by}) AS total FROM {rows})))"""
+
+
+CELLS = f"""WITH {Q.SAMPLES}, b1 AS MATERIALIZED (SELECT * FROM {_bounds('samples', 'box', 'rate', 'rate_class')} WHERE rate < rate_class_below), b2 AS MATERIALIZED (SELECT * FROM {_bounds('b1', 'box, rate_class', 'ratio', 'ratio_class')} WHERE ratio < ratio_class_below),
+    speed_cells AS MATERIALIZED (SELECT box, rate_class, rate_class_below, ratio_class, ratio_class_below, count(*) AS n, any_value(m) AS median, median(speed) FILTER (speed <= m) AS low, median(speed) FILTER (speed >= m) AS high
+      FROM (SELECT *, median(speed) OVER (PARTITION BY box, rate_class, rate_class_below, ratio_class, ratio_class_below) AS m FROM b2) GROUP BY 1, 2, 3, 4, 5)"""
+MID = ("median", "low", "high")
+
+
+def _cells(s, d):
+    return R.binned_speed_stats(Q.samples(s, d), CLASSES)
+
+
+add(
+    "binned_speed_stats",
+    lambda s, d: _r(_cells(s, d), *MID).select("box", "rate_class", "ratio_class", "n", *MID),
+    f"{CELLS} SELECT box, CAST(rate_class AS INTEGER) AS rate_class, CAST(ratio_class AS INTEGER) AS ratio_class, n, {', '.join(f'round({c}, 4) AS {c}' for c in MID)} FROM speed_cells",
+    ("timed",),
+)
+add(
+    "binned_speed_lookup",
+    lambda s, d: _r(R.binned_speed_lookup(Q.samples(s, d).select("box", "id", "rate", "ratio"), _cells(s, d)), *MID),
+    f"""{CELLS} SELECT s.box, s.id, CAST(c.rate_class AS INTEGER) AS rate_class, CAST(c.ratio_class AS INTEGER) AS ratio_class, c.n, {', '.join(f'round(c.{c}, 4) AS {c}' for c in MID)} FROM samples s JOIN speed_cells c ON c.box = s.box AND s.rate < c.rate_class_below AND s.ratio < c.ratio_class_below
+    QUALIFY row_number() OVER (PARTITION BY s.box, s.id ORDER BY c.rate_class, c.ratio_class) = 1""",
+    ("timed",),
+)
+
+
+def _image(s, d):
+    return X.raster(s, d).groupBy("box", "x", "y").agg(F.sum("v").alias("v"))
+
+
+SMALL = {"line": 2, "join": 2, "widen": 2, "grow": 1, "low": 60.0, "high": 500.0}
+add("meniscus_mask", lambda s, d: R.meniscus_mask(_image(s, d), **SMALL)[0])
+add("interest_area", lambda s, d: R.meniscus_mask(_image(s, d), **SMALL)[1])
