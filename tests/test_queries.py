@@ -41,9 +41,10 @@ def test_queries_are_listed_without_a_session():
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
+def test_query_without_sql_gives_rows(spark, name):
+    """What the rows must be is held in test_iterations, test_replay, test_waves, test_branches and test_plain."""
     frame = registry.queries()[name](spark, SF)
-    assert len(frame.collect()) >= 0 and frame.columns
+    assert frame.columns and frame.collect()
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
