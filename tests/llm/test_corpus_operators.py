@@ -457,4 +457,4 @@ def test_queries_digest_the_operators(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op2_byte_bpe(spark, sf).collect():
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 10
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 13
