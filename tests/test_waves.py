@@ -8,9 +8,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sylvaframe.operators import pixels, waves
+from sylvaframe.operators import backtrack, pixels, waves
 from sylvaframe.plans import organ_queries as Q
 from sylvaframe.plans import registry
+from test_iterations import simplified
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,3 +131,52 @@ def test_organs_become_polylines(spark):
     lines = q["organ_polyline"](spark, SF).collect()
     assert {(r["box"], r["organ_id"]) for r in lines} == set(knots) and any(r["hidden"] for r in lines)
     assert sum(r["hidden"] for r in lines) == sum(len({p for p, *_ in rows}) for rows in [[(k[2],) for k in paths if k[:2] == o] for o in knots]) - len(knots)
+
+
+def plain_way(image, px, py, reach):
+    """The cheapest way from (px, 0) to (px, py) in the strip: by distances, then back by the least (cost, y, x)."""
+    mask = {p for p in image if abs(p[0] - px) <= reach and 0 <= p[1] <= py}
+    cost = lambda p: image[p] + 1
+    if (px, py) not in mask:
+        return []
+    d = searched(mask, {(px, 0): 0}, cost)
+    if (px, py) not in d:
+        return []
+    way = [(px, py)]
+    while d[way[-1]][0] > 0:
+        x, y = way[-1]
+        offers = []
+        for dx, dy in waves.AROUND:
+            q = (x + dx, y + dy)
+            if q in d and d[q][0] < d[x, y][0]:
+                offers.append((round(d[q][0] + (2**0.5 if dx and dy else 1.0) * (cost((x, y)) + cost(q)) / 2, 9), q[1], q[0]))
+        way.append(min(offers)[:0:-1])
+    return way[::-1]
+
+
+def test_backtracked_primaries_equal_plain_ways(spark):
+    rng = random.Random(11)
+    image = {(x, y): rng.randrange(9) for x in range(40) for y in range(40) if (x, y) != (7, 0)}
+    area = {(x, y) for x, y in image if y >= 4 + x % 3}
+    # Ordinary ones, two with one strip, one whose top pixel is missing, one outside the image, one too near, one at the image's edge, one without a place.
+    firsts = {1: (12, 33), 2: (12, 33), 3: (20, 25), 4: (7, 30), 5: (90, 30), 6: (25, 5), 7: (39, 38), 8: (None, None), 9: (30, 0), 10: (math.inf, 20)}
+    rows = [("a", r, k, None if x is None else float(x + k), None if y is None else float(y + 2 * k), 1.0 + k) for r, (x, y) in firsts.items() for k in range(3)]
+    nodes = spark.createDataFrame(rows, "box string, root long, seq int, x double, y double, t double")
+    frame = spark.createDataFrame([("a", x, y, v) for (x, y), v in image.items()], "box string, x int, y int, v int")
+    got = defaultdict(list)
+    for r in backtrack.backtrack_primaries(nodes, frame, frame.where("y >= 4 + x % 3"), reach=3, tolerance=1.0, skip=2).collect():
+        got[r["root"]].append((r["seq"], r["x"], r["y"], r["t"], r["added"]))
+    for root, (x, y) in firsts.items():
+        way = plain_way(image, x, y, 3) if x is not None and x < math.inf else []
+        outside = [i for i, p in enumerate(way[:-1]) if p not in area]
+        start = (outside[-1] if outside else 0) + 2
+        new = []
+        if start < len(way) - 2:
+            part = way[start:-1]
+            line = [part[i] for i in sorted(simplified(part, 1.0, lambda i: False))]
+            new = [(float(a), float(b), 0.01 if i else 0.0, True) for i, (a, b) in enumerate(line) if i == 0 or i < len(line) - 2]
+        old = [(a, b, t, False) for _, r, _, a, b, t in rows if r == root]
+        assert sorted(got[root]) == [(i + 1, *row) for i, row in enumerate(new + old)], root
+    assert sum(row[4] for row in got[1]) > 2 and not any(row[4] for k in (4, 5, 6, 8, 9, 10) for row in got[k])
+    empty = backtrack.backtrack_primaries(nodes.limit(0), frame, frame, reach=3, tolerance=1.0)
+    assert empty.collect() == []
