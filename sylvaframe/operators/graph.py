@@ -73,6 +73,24 @@ def along_paths(forest: DataFrame, light: Column | None = None) -> DataFrame:
     return rows.drop("up")
 
 
+def within(forest: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (box, anc, node) those whose node is anc or below it.
+
+    A pair is lifted by as many steps as its depths differ, one power of two a round, so a round holds one row a node and one a pair, never all
+    pairs of ancestors.
+    """
+    depth = node_depth(forest).transform(cut)
+    deep = lambda c: depth.select("box", F.col("cc_id").alias(c), F.col("depth").alias(f"{c}_depth"))
+    left = pairs.distinct().join(deep("anc"), ["box", "anc"]).join(deep("node"), ["box", "node"]).where("node_depth >= anc_depth")
+    left = left.select("box", "anc", "node", F.col("node").alias("at"), (F.col("node_depth") - F.col("anc_depth")).alias("steps")).transform(cut)
+    jump = forest.where("parent is not null").select("box", F.col("cc_id").alias("at"), F.col("parent").alias("to"))
+    while not left.where("steps > 0").isEmpty():
+        moved = left.join(jump, ["box", "at"], "left").withColumn("at", F.when(F.col("steps") % 2 == 1, F.col("to")).otherwise(F.col("at")))
+        left = moved.select("box", "anc", "node", "at", F.expr("steps div 2").alias("steps")).transform(cut)
+        jump = jump.join(jump.select("box", F.col("at").alias("to"), F.col("to").alias("far")), ["box", "to"]).select("box", "at", F.col("far").alias("to")).transform(cut)
+    return left.where("at = anc").select("box", "anc", "node")
+
+
 def below(forest: DataFrame, sums: list[str], greatest: list[str] = ()) -> DataFrame:
     """Sums and maxima of columns over each node and all its descendants, by doubling of pointers: one row a node in each round."""
     rows = forest.select("box", "cc_id", F.col("parent").alias("up"), *sums, *greatest).transform(cut)

@@ -33,10 +33,18 @@ def reattach_laterals(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return roots.select(*ROOT).join(best.select(*ROOT, "parent"), ROOT, "left")
 
 
-def append_node(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """Nodes with one more after the last of some roots (model, root, x, y, t)."""
-    last = nodes.groupBy(*ROOT).agg((F.max("seq") + 1).alias("seq"))
-    return nodes.select(*ROOT, "seq", "x", "y", "t").unionByName(new.join(last, ROOT).select(*ROOT, "seq", "x", "y", "t"))
+def append_node(nodes: DataFrame, new: DataFrame, before: bool = False) -> DataFrame:
+    """Nodes with one more after the last, or before the first, of some roots (model, root, x, y, t).
+
+    A node before the first takes its number, and the root's others are counted on by one. Roots that have no nodes get none.
+    """
+    place = F.min("seq") if before else F.max("seq") + 1
+    added = new.join(nodes.groupBy(*ROOT).agg(place.alias("seq")), ROOT).select(*ROOT, "seq", "x", "y", "t")
+    old = nodes.select(*ROOT, "seq", "x", "y", "t")
+    if before:
+        moved = added.select(*ROOT, F.lit(1).alias("by")).distinct()
+        old = old.join(moved, ROOT, "left").select(*ROOT, (F.col("seq") + F.coalesce("by", F.lit(0))).alias("seq"), "x", "y", "t")
+    return old.unionByName(added)
 
 
 def apply_point_transform(nodes: DataFrame, field: DataFrame, at: Column) -> DataFrame:
@@ -61,12 +69,29 @@ def laterals_per_plant(roots: DataFrame) -> DataFrame:
     return primaries.join(children, ["model", "plant"], "left").fillna({"n": 0})
 
 
+def visible_lengths(nodes: DataFrame) -> DataFrame:
+    """Per root and date, up to its model's last: length that is visible then, and whether the root is there.
+
+    A segment enters once, at the date from which it is whole, and with a part at each date that falls inside it; a running sum over the dates
+    does the rest. So there are as many rows as segments and dates of roots, not their product.
+    """
+    ends, begins = F.ceil("t1").cast("int"), F.ceil("t").cast("int")
+    legs = segments(nodes).where("t1 is not null")
+    whole = legs.select(*ROOT, F.greatest(F.lit(1), ends).alias("day"), F.col("len").alias("whole"), F.lit(0.0).alias("part"))
+    first = F.greatest(F.lit(1), begins)
+    inner = legs.withColumn("day", F.explode(F.when(first <= ends - 1, F.sequence(first, ends - 1))))
+    part = inner.select(*ROOT, "day", F.lit(0.0).alias("whole"), (F.col("len") * (F.col("day") - F.col("t")) / (F.col("t1") - F.col("t"))).alias("part"))
+    sums = whole.unionByName(part).groupBy(*ROOT, "day").agg(F.sum("whole").alias("whole"), F.sum("part").alias("part"))
+    born = nodes.groupBy(*ROOT).agg(F.min("t").alias("born")).join(last_dates(nodes), "model")
+    grid = born.withColumn("day", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "last_date")))).where("day <= last_date").join(sums, [*ROOT, "day"], "left")
+    past = Window.partitionBy(*ROOT).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    length = F.coalesce(F.sum("whole").over(past), F.lit(0.0)) + F.coalesce("part", F.lit(0.0))
+    return grid.select(*ROOT, "day", length.alias("length"), (F.col("born") <= F.col("day")).alias("there"))
+
+
 def plant_time_series(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Per primary and date, up to the model's last: its length, how many of its laterals have appeared, and their length."""
-    parts = segments(nodes).join(last_dates(nodes), "model").withColumn("day", F.explode(F.sequence(F.lit(1), F.col("last_date")))).drop("last_date")
-    share = (F.col("day") - F.col("t")) / (F.col("t1") - F.col("t"))
-    visible = F.when(F.col("t1") <= F.col("day"), F.col("len")).when(F.col("t") <= F.col("day"), F.col("len") * share).otherwise(0.0)
-    by_root = parts.groupBy(*ROOT, "day").agg(F.coalesce(F.sum(visible), F.lit(0.0)).alias("length"), (F.min("t") <= F.col("day")).alias("there"))
+    by_root = visible_lengths(nodes)
     top = by_root.join(roots.where("parent is null").select(*ROOT), ROOT).select("model", F.col("root").alias("plant"), "day", F.col("length").alias("primary_length"))
     side = by_root.join(roots.where("parent is not null"), ROOT).groupBy("model", F.col("parent").alias("plant"), "day").agg(F.count_if("there").alias("n_laterals"), F.sum("length").alias("lateral_length"))
     return top.join(side, ["model", "plant", "day"], "left").fillna({"n_laterals": 0, "lateral_length": 0.0})

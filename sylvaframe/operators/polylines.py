@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvaframe.functions import scalars as C
-from sylvaframe.operators.graph import closure
+from sylvaframe.operators.graph import within
 from sylvaframe.operators.models import first_nodes
+from sylvaframe.operators.nearest import nearest
 from sylvaframe.operators.traits import ROOT, along, is_exact, nearest_node, segments
 
 EPS = 1e-6
@@ -74,11 +75,11 @@ def speed_vectors(nodes: DataFrame, backward: float, forward: float, zero_last:
 
 def snap_laterals(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes with the nearest node of the parent, its first not counted, put before each lateral's first, with that one's diameter and dates; numbered anew."""
-    laterals = first_nodes(nodes).join(roots.where("parent is not null"), ROOT)
-    places = nodes.where("seq > 1").select("model", F.col("root").alias("parent"), F.col("seq").alias("at"), "x", "y")
-    d2 = (F.col("x") - F.col("fx")) * (F.col("x") - F.col("fx")) + (F.col("y") - F.col("fy")) * (F.col("y") - F.col("fy"))
-    near = laterals.join(places, ["model", "parent"]).groupBy(*ROOT).agg(F.min(F.struct(d2.alias("d2"), "at", "x", "y")).alias("m"))
-    new = near.select(*ROOT, "m.x", "m.y").join(nodes.where("seq = 1").select(*ROOT, "diameter", "th", "t"), ROOT).withColumn("seq", F.lit(0))
+    laterals = first_nodes(nodes).join(roots.where("parent is not null"), ROOT).select(*ROOT, "parent", F.col("fx").alias("px"), F.col("fy").alias("py"))
+    places = nodes.where("seq > 1").select("model", F.col("root").alias("parent"), F.col("seq").alias("at"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    near = nearest(laterals, places, ["model", "parent"], ["root"], ["at"]).select(*ROOT, "parent", "at")
+    at = near.join(nodes.select("model", F.col("root").alias("parent"), F.col("seq").alias("at"), "x", "y"), ["model", "parent", "at"])
+    new = at.select(*ROOT, "x", "y").join(nodes.where("seq = 1").select(*ROOT, "diameter", "th", "t"), ROOT).withColumn("seq", F.lit(0))
     return nodes.select(*ROOT, "seq", "x", "y", "diameter", "th", "t").unionByName(new).withColumn("seq", F.row_number().over(along()))
 
 
@@ -110,7 +111,7 @@ def model_validity(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def attach_child(roots: DataFrame, changes: DataFrame) -> DataFrame:
     """Roots with new parents of some (model, root, new_parent). A change under the root itself or one of its descendants is left out."""
     forest = roots.select(F.col("model").alias("box"), F.col("root").alias("cc_id"), "parent")
-    inside = closure(forest).select(F.col("box").alias("model"), F.col("anc").alias("root"), F.col("node").alias("new_parent"))
+    inside = within(forest, changes.select(F.col("model").alias("box"), F.col("root").alias("anc"), F.col("new_parent").alias("node"))).toDF("model", "root", "new_parent")
     fits = changes.join(inside, ["model", "root", "new_parent"], "left_anti").select(*ROOT, "new_parent", F.lit(True).alias("changed"))
     return roots.join(fits, ROOT, "left").select(*ROOT, F.when(F.col("changed"), F.col("new_parent")).otherwise(F.col("parent")).alias("parent"))
 

@@ -79,11 +79,15 @@ def side_of_parent(roots: DataFrame, inserted: DataFrame) -> DataFrame:
 
 def node_after_attachment(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """For each lateral the node of its parent after the last one, but for the parent's end, that is above its first node; else the parent's first."""
-    start = first_nodes(nodes).join(roots.where("parent is not null"), ROOT).select(*ROOT, "parent", "fy")
-    steps = nodes.select("model", F.col("root").alias("parent"), "seq", "y", F.lead("seq").over(along()).alias("next"))
-    above = F.max(F.when(F.col("next").isNotNull() & (F.col("y") < F.col("fy")), F.struct("seq", "next")))
-    found = start.join(steps, ["model", "parent"]).groupBy(*ROOT, "parent").agg(above.alias("m"), F.min("seq").alias("first"))
-    return found.select(*ROOT, "parent", F.coalesce("m.next", "first").alias("node"))
+    own = ["model", "parent"]
+    steps = nodes.select("model", F.col("root").alias("parent"), "y", F.struct("seq", F.lead("seq").over(along()).alias("next")).alias("step"))
+    steps = steps.withColumn("inner", F.when(F.col("step.next").isNotNull() & F.col("y").isNotNull(), F.col("step"))).withColumn("root", F.lit(None).cast(nodes.schema["root"].dataType))
+    start = first_nodes(nodes).join(roots.where("parent is not null"), ROOT).select(*own, F.col("fy").alias("y"), "root")
+    # One sweep down each parent: a start sees what nodes lie above it, not those at its own height.
+    rows = steps.unionByName(start, allowMissingColumns=True).withColumn("node_row", F.col("root").isNull())
+    down = Window.partitionBy(*own).orderBy("y", "node_row").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("m", F.max("inner").over(down)).withColumn("first", F.min("step.seq").over(Window.partitionBy(*own)))
+    return seen.where("root is not null and first is not null").select(*ROOT, "parent", F.coalesce("m.next", "first").alias("node"))
 
 
 def first_last_child(inserted: DataFrame) -> DataFrame:

@@ -48,6 +48,12 @@ def rebase_time(nodes: DataFrame, step_hours: float) -> DataFrame:
     return nodes.withColumn("t", F.col("th") / step_hours)
 
 
+def hours_axis(models: DataFrame, step_hours: float, n: int) -> DataFrame:
+    """The axis that goes with rebased times: model, date (0 to n - 1) and hours of each model."""
+    dates = models.select("model").distinct().select("model", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("date")) if n > 0 else models.select("model", F.lit(0).alias("date")).limit(0)
+    return dates.withColumn("hours", F.col("date") * F.lit(float(step_hours)))
+
+
 def insert_missing_dates(nodes: DataFrame) -> DataFrame:
     """Nodes with one more at each whole date that a segment passes without a node, placed by time."""
     crossed = F.sequence(F.floor("t") + 1, F.ceil("t1") - 1)
@@ -106,17 +112,20 @@ def root_bbox(nodes: DataFrame) -> DataFrame:
 
 
 def model_extent(nodes: DataFrame) -> DataFrame:
-    inner = root_bbox(nodes)
-    return inner.groupBy("model").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), (F.max("xmax") - F.min("xmin")).alias("width"), (F.max("ymax") - F.min("ymin")).alias("height"))
+    """Least place, width, height and centre of each model, over all nodes but the last of each root; width_sum and height_sum add both ends (the size of an image with equal margins)."""
+    low = lambda c: F.min(f"{c}min")
+    high = lambda c: F.max(f"{c}max")
+    spans = [(high(c) - low(c)).alias(name) for c, name in (("x", "width"), ("y", "height"))]
+    sums = [(high(c) + low(c)).alias(f"{name}_sum") for c, name in (("x", "width"), ("y", "height"))]
+    centre = [(low(c) + (high(c) - low(c)) / 2).alias(f"c{c}") for c in ("x", "y")]
+    return root_bbox(nodes).groupBy("model").agg(low("x").alias("xmin"), low("y").alias("ymin"), *spans, *sums, *centre)
 
 
 def insertion_node(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """For each lateral the node of its parent that is nearest to its first node, the first of equals."""
-    first = nodes.groupBy(*ROOT).agg(F.min_by(F.struct("x", "y"), "seq").alias("p")).join(roots.where("parent is not null"), ROOT)
-    other = nodes.select("model", F.col("root").alias("parent"), F.col("seq").alias("o_seq"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d2 = (F.col("p.x") - F.col("ox")) * (F.col("p.x") - F.col("ox")) + (F.col("p.y") - F.col("oy")) * (F.col("p.y") - F.col("oy"))
-    best = first.join(other, ["model", "parent"]).groupBy(*ROOT, "parent").agg(F.min(F.struct(d2.alias("d2"), "o_seq")).alias("m"))
-    return best.select(*ROOT, "parent", F.col("m.o_seq").alias("at_seq"), F.col("m.d2").alias("d2"))
+    """For each lateral the node of its parent that is nearest to its first node, the first of equals, by grids."""
+    first = nodes.groupBy(*ROOT).agg(F.min_by("x", "seq").alias("px"), F.min_by("y", "seq").alias("py")).join(roots.where("parent is not null"), ROOT)
+    other = nodes.select("model", F.col("root").alias("parent"), F.col("seq").alias("at_seq"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return nearest(first, other, ["model", "parent"], ["root"], ["at_seq"]).select(*ROOT, "parent", "at_seq", "d2")
 
 
 def root_counts(nodes: DataFrame, roots: DataFrame, at: float) -> DataFrame:

@@ -43,6 +43,12 @@ add(
     "SELECT model, root, seq, x, y, t FROM nodes UNION ALL SELECT n.model, n.root, k.last + 1, n.x, n.y, n.t + 40 FROM nodes n JOIN (SELECT root, max(seq) AS last FROM nodes GROUP BY 1) k ON k.root = n.root WHERE seq = 1 AND n.root % 2 = 0",
     ("nodes",),
 )
+add(
+    "prepend_node",
+    on(lambda n: M.append_node(n, n.where("seq = 1 and root % 2 = 0").select("model", "root", (F.col("x") - 3).alias("x"), "y", (F.col("t") - 1).alias("t")), before=True)),
+    "SELECT model, root, seq + CASE WHEN root % 2 = 0 THEN 1 ELSE 0 END AS seq, x, y, t FROM nodes UNION ALL SELECT model, root, 1, x - 3, y, t - 1 FROM nodes WHERE seq = 1 AND root % 2 = 0",
+    ("nodes",),
+)
 add(
     "apply_point_transform",
     lambda s, d: M.apply_point_transform(X.nodes(s, d), s.range(200).select(F.col("id").alias("x"), F.col("id").alias("y"), (F.col("id") % 3).alias("dx"), (F.col("id") % 4).alias("dy")), F.col("seq") % 2 == 0),

@@ -34,6 +34,7 @@ add("clamp_times", on(lambda n: T.clamp_times(n).select("model", "root", "seq",
 add("exact_time_flag", on(lambda n: n.select("model", "root", "seq", T.is_exact(F.col("t")).alias("is_exact"))), f"SELECT model, root, seq, {EXACT} AS is_exact FROM nodes", ("nodes",))
 add("drop_interpolated_nodes", on(lambda n: T.drop_interpolated_nodes(n).select("model", "root", "seq", "x", "y")), f"SELECT model, root, row_number() OVER (PARTITION BY model, root ORDER BY seq) AS seq, x, y FROM nodes WHERE {EXACT}", ("nodes",))
 add("rebase_time", on(lambda n: T.rebase_time(n, 7.0).select("model", "root", "seq", "t"), "t"), "SELECT model, root, seq, round(th / 7, 4) AS t FROM nodes", ("nodes",))
+add("hours_axis", on(lambda n: T.hours_axis(n, 7.0, 30)), "SELECT model, CAST(k AS INTEGER) AS date, 7e0 * k AS hours FROM (SELECT DISTINCT model FROM nodes), range(30) r(k)", ("nodes",))
 add(
     "insert_missing_dates",
     on(lambda n: T.insert_missing_dates(n).select("model", "root", "seq", "x", "y", "t", "inserted"), "x", "y", "t"),
@@ -74,7 +75,13 @@ add(
 )
 BBOX = "SELECT model, root, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, max(t) AS last_date FROM segs WHERE x1 IS NOT NULL GROUP BY 1, 2"
 add("root_bbox", on(T.root_bbox, "last_date"), f"SELECT * REPLACE (round(last_date, 3) AS last_date) FROM ({BBOX})", ("segs",))
-add("model_extent", on(T.model_extent), f"SELECT model, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) - min(xmin) AS width, max(ymax) - min(ymin) AS height FROM ({BBOX}) GROUP BY 1", ("segs",))
+add(
+    "model_extent",
+    on(T.model_extent),
+    f"""SELECT model, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) - min(xmin) AS width, max(ymax) - min(ymin) AS height, max(xmax) + min(xmin) AS width_sum, max(ymax) + min(ymin) AS height_sum,
+    min(xmin) + (max(xmax) - min(xmin)) / 2 AS cx, min(ymin) + (max(ymax) - min(ymin)) / 2 AS cy FROM ({BBOX}) GROUP BY 1""",
+    ("segs",),
+)
 add(
     "insertion_node",
     both(T.insertion_node),
