@@ -265,8 +265,8 @@ def rewired(forest: DataFrame, edges: DataFrame, proposals: DataFrame) -> DataFr
     return rows.select(*(changed[c].alias(c) if c in changed else c for c in forest.columns))
 
 
-def what_if_gain(forest: DataFrame, times: DataFrame, edges: DataFrame, proposals: DataFrame, typical: float) -> DataFrame:
-    """Proposals with gain: by how much the number of flags of the box falls if the proposal alone is followed.
+def what_if_gain(forest: DataFrame, times: DataFrame, edges: DataFrame, proposals: DataFrame, typical: float, flags: DataFrame | None = None) -> DataFrame:
+    """Proposals with gain: by how much the number of flags of the box falls if the proposal alone is followed. flags: those of the forest, where they are known.
 
     Each proposal is a copy of its box under a name of its own, so all are flagged by one run of the same operators. Proposals that
     would close a circle have no gain and are left out.
@@ -279,7 +279,10 @@ def what_if_gain(forest: DataFrame, times: DataFrame, edges: DataFrame, proposal
     all_edges = copied(edges.select("box", "src", "dst", "cost", "fx", "fy")).transform(cut)
     changed = rewired(copied(forest), all_edges, cases).transform(cut)
     level = lambda flags: anomaly_counts(flags).select("box", "level").transform(cut)
-    now = level(flag_forest(forest, times, _links(forest, edges), edges, typical)[1]).withColumnRenamed("level", "now")
+    asked = named.select("box").distinct()
+    mine = lambda df: df.join(asked, "box", "left_semi")  # noqa: E731  boxes without an open proposal are not flagged
+    flags = mine(flags) if flags is not None else flag_forest(mine(forest), mine(times), _links(mine(forest), edges), mine(edges), typical)[1]
+    now = level(flags).withColumnRenamed("level", "now")
     then = level(flag_forest(changed, copied(times), _links(changed, all_edges), all_edges, typical)[1]).withColumnRenamed("box", "case").withColumnRenamed("level", "then")
     rows = named.join(now, "box", "left").join(then, "case", "left")
     return rows.select("box", "src", "dst", "other", (F.coalesce("now", F.lit(0)) - F.coalesce("then", F.lit(0))).alias("gain"))
@@ -287,16 +290,22 @@ def what_if_gain(forest: DataFrame, times: DataFrame, edges: DataFrame, proposal
 
 def greedy_repair(forest: DataFrame, times: DataFrame, edges: DataFrame, typical: float, most_rounds: int = 10) -> tuple[DataFrame, DataFrame]:
     """The forest after up to most_rounds rounds, in each of which every box follows its proposal of the largest gain over 0 (then of most pixels downstream, then the
-    least), and what was done: box, round, src, dst, other and gain."""
-    done = None
+    least), and what was done: box, round, src, dst, other and gain.
+
+    A box that follows none has ended: its rows are set aside, so a round costs what is still open.
+    """
+    done, ended = None, forest.limit(0)
     for k in range(1, most_rounds + 1):
         frame, flags = flag_forest(forest, times, _links(forest, edges), edges, typical)
-        gains = what_if_gain(forest, times, edges, rewire_candidates(frame, edges, flags), typical).where("gain > 0")
+        gains = what_if_gain(forest, times, edges, rewire_candidates(frame, edges, flags), typical, flags).where("gain > 0")
         sized = gains.join(subtree_totals(forest).select("box", F.col("cc_id").alias("dst"), "px"), ["box", "dst"])
         first = F.row_number().over(Window.partitionBy("box").orderBy(F.desc("gain"), F.desc("px"), "dst", "other"))
         best = sized.withColumn("n", first).where("n = 1").select("box", F.lit(k).alias("round"), "src", "dst", "other", "gain").transform(cut)
         done = best if done is None else done.unionByName(best)
         if best.isEmpty():
             break
-        forest = rewired(forest, edges, best).transform(cut)
-    return forest, done
+        going = best.select("box").distinct()
+        ended = ended.unionByName(forest.join(going, "box", "left_anti"))
+        times, edges = (df.join(going, "box", "left_semi").transform(cut) for df in (times, edges))
+        forest = rewired(forest.join(going, "box", "left_semi"), edges, best).transform(cut)
+    return ended.unionByName(forest), done

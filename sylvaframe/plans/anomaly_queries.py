@@ -139,4 +139,4 @@ TOUCHED = """touched AS MATERIALIZED (SELECT box, src, dst, other, unnest([src,
 add("affected_neighbourhood", lambda s, d: A.affected_neighbourhood(proposals(s, d), Q.edges(s, d)), f"WITH {FLAGS}, {PROPOSALS}, {TOUCHED} SELECT * FROM touched", USES)
 add("affected_edges", lambda s, d: A.affected_edges(proposals(s, d), Q.edges(s, d)), f"WITH {FLAGS}, {PROPOSALS}, {TOUCHED} SELECT DISTINCT t.box, t.src, t.dst, t.other, e.src AS a, e.dst AS b FROM touched t JOIN edges e ON e.box = t.box AND (e.src = t.cc_id OR e.dst = t.cc_id)", USES)
 add("what_if_gain", lambda s, d: A.what_if_gain(Q.forest(s, d), times(s, d), Q.costed(s, d), proposals(s, d), TYPICAL))
-add("greedy_repair", lambda s, d: A.greedy_repair(Q.forest(s, d), times(s, d), Q.costed(s, d), TYPICAL, 1)[1])
+add("greedy_repair", lambda s, d: A.greedy_repair(Q.forest(s, d), times(s, d), Q.costed(s, d), TYPICAL)[1])
