@@ -112,9 +112,10 @@ def block_candidates(pixels: DataFrame, size: int, stride: int, least_variance:
     return blocks.where((F.col("n") == size * size) & (F.col("variance") > least_variance)).drop("n")
 
 
-def segment_raster(segments: DataFrame, frames: DataFrame) -> DataFrame:
+def segment_raster(segments: DataFrame, frames: DataFrame, dotted: Column | None = None, dot_every: int = 2) -> DataFrame:
     """Pixels (frame, x, y, value) of segments (model, x, y, x1, y1, t, t1, value) that are visible at a frame's time, the last one cut at it; the largest value of a pixel counts.
 
+    Of dotted segments (hidden ones) every dot_every-th pixel is drawn, from their start.
     Frames (frame, time) are joined to the dates at which segments begin, which are few, and by those to the segments.
     """
     dates = segments.where("x1 is not null").select("t").distinct()
@@ -122,7 +123,8 @@ def segment_raster(segments: DataFrame, frames: DataFrame) -> DataFrame:
     rows = segments.where("x1 is not null").join(shown, "t")
     share = F.when(F.col("t1") <= F.col("time"), 1.0).otherwise((F.col("time") - F.col("t")) / (F.col("t1") - F.col("t")))
     steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x1") - F.col("x")), F.abs(F.col("y1") - F.col("y"))) * share)).cast("int")
-    rows = rows.withColumn("share", share).withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    step = F.lit(1) if dotted is None else F.when(dotted, dot_every).otherwise(1)
+    rows = rows.withColumn("share", share).withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"), step)))
     at = lambda a, b: F.floor(F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("share") * F.col("i") / F.col("n"), 6) + 0.5).alias(a)
     return rows.select("model", "frame", at("x", "x1"), at("y", "y1"), "value").groupBy("model", "frame", "x", "y").agg(F.max("value").alias("value"))
 

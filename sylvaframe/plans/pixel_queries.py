@@ -78,19 +78,16 @@ add(
 )
 
 
-def _raster(s, d):
+def _raster(s, d, dotted=None):
     rows = segments(X.nodes(s, d)).join(reports.root_orders(X.roots(s, d)).select("model", "root", "ord"), ["model", "root"]).withColumnRenamed("ord", "value")
-    return P.segment_raster(rows, s.range(1, 6).select(F.col("id").cast("int").alias("frame"), (F.col("id") * 6.3).alias("time")))
+    return P.segment_raster(rows, s.range(1, 6).select(F.col("id").cast("int").alias("frame"), (F.col("id") * 6.3).alias("time")), dotted)
 
 
-add(
-    "segment_raster",
-    _raster,
-    """SELECT model, frame, CAST(floor(round(x + (x1 - x) * share * i / n, 6) + 0.5) AS BIGINT) AS x, CAST(floor(round(y + (y1 - y) * share * i / n, 6) + 0.5) AS BIGINT) AS y, CAST(max(ord) AS BIGINT) AS value FROM (
-      SELECT *, unnest(range(0, CAST(n AS BIGINT) + 1)) AS i FROM (SELECT *, greatest(1, ceil(greatest(abs(x1 - x), abs(y1 - y)) * share)) AS n FROM (
-        SELECT s.*, k.ord, CAST(f AS INTEGER) AS frame, CASE WHEN t1 <= f * 6.3e0 THEN 1e0 ELSE (f * 6.3e0 - t) / (t1 - t) END AS share FROM segs s JOIN ranks k ON k.model = s.model AND k.root = s.root JOIN range(1, 6) z(f) ON f * 6.3e0 >= t WHERE x1 IS NOT NULL))) GROUP BY 1, 2, 3, 4""",
-    ("segs", "ranks"),
-)
+RASTER = """SELECT model, frame, CAST(floor(round(x + (x1 - x) * share * i / n, 6) + 0.5) AS BIGINT) AS x, CAST(floor(round(y + (y1 - y) * share * i / n, 6) + 0.5) AS BIGINT) AS y, CAST(max(ord) AS BIGINT) AS value FROM (
+      SELECT *, unnest(range(0, CAST(n AS BIGINT) + 1, {step})) AS i FROM (SELECT *, greatest(1, ceil(greatest(abs(x1 - x), abs(y1 - y)) * share)) AS n FROM (
+        SELECT s.*, k.ord, CAST(f AS INTEGER) AS frame, CASE WHEN t1 <= f * 6.3e0 THEN 1e0 ELSE (f * 6.3e0 - t) / (t1 - t) END AS share FROM segs s JOIN ranks k ON k.model = s.model AND k.root = s.root JOIN range(1, 6) z(f) ON f * 6.3e0 >= t WHERE x1 IS NOT NULL))) GROUP BY 1, 2, 3, 4"""
+add("segment_raster", _raster, RASTER.replace("{step}", "1"), ("segs", "ranks"))
+add("dotted_raster", lambda s, d: _raster(s, d, F.col("seq") % 4 == 0), RASTER.replace("{step}", "CASE WHEN seq % 4 = 0 THEN 2 ELSE 1 END"), ("segs", "ranks"))
 add(
     "tip_trajectory",
     lambda s, d: _r(P.tip_trajectory(X.nodes(s, d).withColumn("vx", F.col("x") % 5).withColumn("vy", F.col("y") % 3), X.roots(s, d), s.range(20).select(F.col("id").cast("int").alias("frame"), (F.col("id") * 37.5).alias("hours"))), "x", "y", "vx", "vy"),
