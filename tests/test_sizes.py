@@ -3,8 +3,11 @@
 import datetime
 
 import duckdb
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sylvaframe.operators import raster as R
+from sylvaframe.operators.groups import whole_groups
 from sylvaframe.plans import fixtures, registry
 
 
@@ -20,3 +23,20 @@ def test_dates_of_near_ties_follow_the_sql(spark, tmp_path):
     assert [tuple(r) for r in got] == want and want[0][-1] == 13
     plain = R.appearance_date_map(fixtures.raster(spark, str(tmp_path)), 3, 5).collect()
     assert plain[0]["day"] == 26
+
+
+def test_small_groups_share_a_call_and_large_ones_stay_whole(spark):
+    rows = spark.range(60_000).select(F.struct((F.col("id") % 9000).alias("a"), F.when(F.col("id") % 9000 > 4, F.lit("b")).alias("b")).alias("key"), F.col("id").alias("v"))
+    rows = rows.unionByName(spark.range(30_000).select(F.struct(F.lit(-1).cast("long").alias("a"), F.lit("b").alias("b")).alias("key"), F.col("id").alias("v")))
+
+    def run(table, group):
+        n = table.num_rows
+        counts = [0] * (int(group[-1]) + 1)
+        for g in group:
+            counts[g] += 1
+        return pa.table({"key": table.column("key"), "v": table.column("v"), "size": pa.array([counts[g] for g in group], pa.int64()), "call": pa.array([n] * n, pa.int64())})
+
+    got = whole_groups(rows.repartition(7), ["key"], run, f"key {rows.schema['key'].dataType.simpleString()}, v long, size long, call long", least=5000).cache()
+    sizes = rows.groupBy("key").count()
+    assert got.count() == 90_000 and got.join(sizes, "key").where("size <> count").isEmpty()
+    assert got.agg(F.sum(1 / F.col("call"))).first()[0] < 30
