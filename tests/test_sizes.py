@@ -1,6 +1,8 @@
 """What only larger tables show: near-ties, and operators that keep their rows few."""
 
 import datetime
+import math
+import random
 
 import duckdb
 import pyarrow as pa
@@ -40,3 +42,29 @@ def test_small_groups_share_a_call_and_large_ones_stay_whole(spark):
     sizes = rows.groupBy("key").count()
     assert got.count() == 90_000 and got.join(sizes, "key").where("size <> count").isEmpty()
     assert got.agg(F.sum(1 / F.col("call"))).first()[0] < 30
+
+
+def test_filters_over_tiles_equal_plain_ones(spark):
+    """Sparse frames over negative places, some without a value, in tiles smaller than the filters' reach."""
+    r = random.Random(3)
+    image = {(t, x, y): None if r.random() < 0.1 else r.randrange(90) for t in (0, 1) for x in range(-9, 12) for y in range(-4, 9) if r.random() < 0.6}
+    pixels = spark.createDataFrame([("b", *p, v) for p, v in image.items()], "box string, t int, x int, y int, v int")
+    element = [(0, -3), (2, 1), (1, 0), (-1, 0)]
+    for dilate, pick in ((True, max), (False, min)):
+        found = R.dilate_erode(pixels, element, dilate, tile=2)
+        assert found.schema == pixels.schema
+        want = {}
+        for t, x, y in image:
+            near = [image[q] for dx, dy in element if (q := (t, x + dx, y + dy)) in image]
+            if near:
+                want[t, x, y] = pick((v for v in near if v is not None), default=None)
+        assert {(w["t"], w["x"], w["y"]): w["v"] for w in found.collect()} == want
+    for sigma in (0.8, 1.4):
+        n = int(3 * sigma)
+        got = {(w["t"], w["x"], w["y"]): w["v"] for w in R.gaussian_smooth(pixels, sigma, tile=5).collect()}
+        assert got.keys() == image.keys()
+        for t, x, y in image:
+            near = [(math.exp(-(i * i + j * j) / (2 * sigma * sigma)), image[t, x + i, y + j]) for i in range(-n, n + 1) for j in range(-n, n + 1) if (t, x + i, y + j) in image]
+            known = [k * v for k, v in near if v is not None]
+            want = sum(known) / sum(k for k, _ in near) if known else None
+            assert got[t, x, y] is want is None or abs(got[t, x, y] - want) < 1e-9
