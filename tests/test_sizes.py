@@ -68,3 +68,12 @@ def test_filters_over_tiles_equal_plain_ones(spark):
             known = [k * v for k, v in near if v is not None]
             want = sum(known) / sum(k for k, _ in near) if known else None
             assert got[t, x, y] is want is None or abs(got[t, x, y] - want) < 1e-9
+
+
+def test_template_does_not_multiply_pixels(spark):
+    """Gaps in a column leave no window; a window over a pixel without a value counts it as nothing."""
+    rows = [("b", 0, 0, y, v) for y, v in ((0, 1.0), (1, 3.0), (2, 2.0), (4, 5.0), (5, 5.0), (6, None), (7, 1.0))]
+    found = R.template_correlation(spark.createDataFrame(rows, "box string, t int, x int, y int, v double"), [1, 2, 1])
+    got = {r["y"]: round(r["r"], 4) for r in found.collect()}
+    assert got == {0: 0.866, 4: 0.5, 5: -0.6547}
+    assert "Generate" not in found._jdf.queryExecution().toString()
