@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sylvaframe.functions import scalars as C
 from sylvaframe.operators.cut import cut
+from sylvaframe.operators.raster import frames_of
 from sylvaframe.operators.waves import wave
 
 PIXEL = ["box", "x", "y"]
@@ -94,10 +95,23 @@ def polyline_simplify(points: DataFrame, by: list[str], tolerance: float, pinned
         rows = cut(rows.join(far, [*by, "seq"], "left").withColumn("kept", F.col("kept") | F.coalesce("new", F.lit(False))).drop("new"))
 
 
+def _corners(dx: float, dy: float) -> Column:
+    """The four whole moves around a displacement, with their bilinear weights."""
+    fx, fy = dx - F.floor(F.lit(dx)), dy - F.floor(F.lit(dy))
+    return F.array(*(F.struct((F.floor(F.lit(dx)) + i).alias("dx"), (F.floor(F.lit(dy)) + j).alias("dy"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)))
+
+
+def displace_wide(wide: DataFrame, dx: float, dy: float) -> DataFrame:
+    """apply_displacement of wide pixels (see raster), as pixel rows: a place's frames are summed side by side, and its weights once."""
+    frames, w = frames_of(wide), F.col("m.w")
+    moved = wide.withColumn("m", F.explode(_corners(dx, dy))).where(w > 0)
+    places = moved.groupBy("box", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y")).agg(*(F.sum(F.col(c) * w).alias(c) for c in frames), F.sum(w).alias("w"))
+    return places.select("box", "x", "y", F.posexplode(F.array(*(F.col(c) / F.col("w") for c in frames))).alias("t", "v")).select("box", "t", "x", "y", "v")
+
+
 def apply_displacement(pixels: DataFrame, dx: float, dy: float) -> DataFrame:
     """Pixels (box, t, x, y, v) moved by a displacement, by bilinear weights of the four pixels around each place, normalised over those that are there."""
-    fx, fy = dx - F.floor(F.lit(dx)), dy - F.floor(F.lit(dy))
-    corners = F.array(*(F.struct((F.floor(F.lit(dx)) + i).alias("dx"), (F.floor(F.lit(dy)) + j).alias("dy"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)))
+    corners = _corners(dx, dy)
     moved = pixels.withColumn("m", F.explode(corners)).where("m.w > 0")
     places = moved.select("box", "t", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"), (F.col("v") * F.col("m.w")).alias("v"), F.col("m.w").alias("w"))
     return places.groupBy("box", "t", "x", "y").agg((F.sum("v") / F.sum("w")).alias("v"))

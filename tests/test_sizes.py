@@ -8,8 +8,10 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sylvaframe.operators import pixels as P
 from sylvaframe.operators import raster as R
 from sylvaframe.operators.groups import whole_groups
+from sylvaframe.operators.regions import connected_components
 from sylvaframe.plans import fixtures, registry
 
 
@@ -77,3 +79,48 @@ def test_template_does_not_multiply_pixels(spark):
     got = {r["y"]: round(r["r"], 4) for r in found.collect()}
     assert got == {0: 0.866, 4: 0.5, 5: -0.6547}
     assert "Generate" not in found._jdf.queryExecution().toString()
+
+
+def test_wide_pixels_tell_the_same_as_their_rows(spark):
+    """Scores, dates, blocks and moved frames of wide pixels against the operators on rows, without a sort or a row for each frame before the result."""
+    r = random.Random(5)
+    frames = [f"v{k}" for k in range(12)]
+    rows = [("b", x, y, *(float(r.choice((0, 0, 3, r.randrange(40)))) for _ in frames)) for x in range(9) for y in range(7) if r.random() < 0.8]
+    wide = spark.createDataFrame(rows, "box string, x int, y int, " + ", ".join(f"{c} double" for c in frames)).repartition(3, "x")
+    pixels = R.rows_of(wide)
+    plans = []
+    for found, plain in (
+        (R.scores_of(wide, "rupture", 1.5), R.rupture_score(pixels, 1.5)),
+        (R.scores_of(wide, "slope", 1.5), R.local_slope(pixels, 1.5)),
+        (R.dates_of(wide, 3, 5), R.appearance_date_map(pixels, 3, 5)),
+        (R.dates_of(wide, 3, 5, early=1000), R.appearance_date_map(pixels, 3, 5, early=1000)),
+        (R.subsample_wide(wide, 4), R.subsample_grid(pixels, 4)),
+        (P.displace_wide(wide, 1.25, -0.5), P.apply_displacement(pixels, 1.25, -0.5)),
+    ):
+        got, want = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in row) for row in df.select(plain.columns).collect()) for df in (found, plain))
+        assert got == want and got
+        plans.append(found._jdf.queryExecution().toString())
+    assert not any("Window" in plan for plan in plans)
+
+
+def test_components_over_tiles_equal_a_flood_fill(spark):
+    """Regions that wind through many tiles, at negative places too; inside a tile no round is needed."""
+    r = random.Random(8)
+    day = {(x, y): r.choice((0, 1, 1, 1, 2)) for x in range(-7, 14) for y in range(-5, 12) if r.random() < 0.9}
+    want, seen, number = {}, set(), 0
+    for y, x in sorted((y, x) for (x, y), d in day.items() if d):
+        if (x, y) in seen:
+            continue
+        number, todo = number + 1, [(x, y)]
+        seen.add((x, y))
+        while todo:
+            i, j = todo.pop()
+            want[i, j] = number
+            for q in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                if q not in seen and day.get(q) == day[i, j]:
+                    seen.add(q)
+                    todo.append(q)
+    dates = spark.createDataFrame([("b", x, y, d) for (x, y), d in day.items()], "box string, x int, y int, day int")
+    for tile in (1, 3, 128):
+        got = {(w["x"], w["y"]): w["cc_id"] for w in connected_components(dates, tile=tile).collect()}
+        assert got == want
