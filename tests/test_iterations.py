@@ -141,3 +141,12 @@ def test_interpolation_ends_and_ties(spark):
     values = spark.createDataFrame([(1, v) for v in (0.0, 10.0, 12.5, 20.0, 99.0)] + [(2, 1.0), (2, 9.0), (3, 1.0)], "k long, v double")
     got = {(r["k"], r["v"]): r["y"] for r in timebase.linear_interpolation(values, knots, ["k"]).collect()}
     assert got == {(1, 0.0): 5.0, (1, 10.0): 5.0, (1, 12.5): 5.5, (1, 20.0): 7.0, (1, 99.0): 7.0, (2, 1.0): 1.0, (2, 9.0): 1.0, (3, 1.0): None}
+
+
+def test_spanning_tree_rounds_work_on_what_is_left(spark, monkeypatch):
+    """Of a path whose costs rise and fall, each round joins at most half of the nodes of the one before."""
+    nodes, label = [], links.component_labels
+    monkeypatch.setattr(links, "component_labels", lambda rows, edges: nodes.append(rows.distinct().count()) or label(rows, edges))
+    edges = [("b", k, k + 1, float((k * 7) % 16)) for k in range(32)]
+    assert links.minimum_spanning_tree(spark.createDataFrame(edges, "box string, src long, dst long, cost double")).count() == 32
+    assert len(nodes) > 1 and all(2 * b <= a for a, b in zip(nodes, nodes[1:]))
