@@ -54,9 +54,10 @@ def dpi(unit: Column, resolution: Column) -> Column:
 
 def _tags(texts: DataFrame, dense: Sequence[str] = DENSE) -> DataFrame:
     """Tags in order, each with the root that it belongs to: the last one that opened at its depth."""
-    tags = texts.select("model", "value", F.posexplode(F.regexp_extract_all("value", F.lit(_TAGS), F.lit(1))).alias("pos", "tag"))
+    # A tag's row must not look into its file's text: that would read the text once for each tag.
     software = F.regexp_extract("value", "<software>([^<]*)</software>", 1).isin(*dense)
-    tags = tags.select("model", "pos", "tag", software.alias("dense"))
+    files = texts.select("model", F.struct(software.alias("dense"), F.regexp_extract_all("value", F.lit(_TAGS), F.lit(1)).alias("tags")).alias("f"))
+    tags = files.select("model", "f.dense", F.posexplode("f.tags").alias("pos", "tag")).select("model", "pos", "tag", "dense")
     file, opens = Window.partitionBy("model").orderBy("pos"), F.col("tag").rlike(r"^<root\b") & ~F.col("tag").endswith("/>")
     tags = tags.withColumn("depth", F.sum(F.when(opens, 1).when(F.col("tag") == "</root>", -1).otherwise(0)).over(file))
     level = Window.partitionBy("model", "depth").orderBy("pos")

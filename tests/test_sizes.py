@@ -13,6 +13,7 @@ from sylvaframe.operators import raster as R
 from sylvaframe.operators.groups import whole_groups
 from sylvaframe.operators.regions import connected_components
 from sylvaframe.plans import fixtures, registry
+from sylvaframe.sources import rsml
 
 
 def test_dates_of_near_ties_follow_the_sql(spark, tmp_path):
@@ -124,3 +125,16 @@ def test_components_over_tiles_equal_a_flood_fill(spark):
     for tile in (1, 3, 128):
         got = {(w["x"], w["y"]): w["cc_id"] for w in connected_components(dates, tile=tile).collect()}
         assert got == want
+
+
+def test_tags_do_not_look_into_their_files_text(spark, tmp_path):
+    """A file's program is read once: above the tags' rows the plan has no more use for the text."""
+    points = "".join(f'<point x="{i}" y="1"/>' for i in range(7))
+    text = f'<rsml><metadata><software>Root System Analyzer</software></metadata><scene><plant ID="1"><root ID="1.1" label="a"><geometry><polyline>{points}</polyline></geometry></root></plant></scene></rsml>'
+    (tmp_path / "m.rsml").write_text(text)
+    texts = rsml.read_texts(spark, str(tmp_path))
+    rows = rsml.read_standard(texts)
+    assert sorted((r["seq"], r["x"]) for r in rows.collect()) == [(1, 0.0), (6, 5.0)]
+    plan = rsml._tags(texts)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.partition("Generate")[0]
+    assert "regexp_extract(tag" in above and "<software>" not in above
