@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 from heapq import heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ _BIT = [1 << i for i in range(WIDTH)]
 class Codec:
     """Encoder and decoder of one rank file and split pattern."""
 
-    def __init__(self, path: str, pattern: str, cache_entries: int = 120_000):
+    def __init__(self, path: str, pattern: str, cache_entries: int = 240_000):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
         self.token = {rank: token for token, rank in self.ranks.items()}
@@ -46,7 +47,7 @@ class Codec:
         self.byte_ids = np.array(self.byte_rank, np.int64)
         self.byte_pairs = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
         self.leaves = [0] * (max(self.token) // WIDTH + 1)  # all 0 between merges
-        self.pairs: dict[int, int] = {}
+        self.pairs = dict(self.splits())
         self.pattern = regex.compile(pattern)
         self.source = pattern
         self.limit = cache_entries
@@ -58,12 +59,13 @@ class Codec:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def pair_rank(self, a: int, b: int) -> int:
-        """The rank of two neighbours' merge, -1 if there is none."""
-        if len(self.pairs) > 4 * self.limit:
-            self.pairs.clear()
-        found = self.pairs[a << 32 | b] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return found
+    def splits(self) -> Iterator[tuple[int, int]]:
+        """All pairs of neighbours that merge, and the rank of each: the ways to cut a token in two."""
+        get = self.ranks.get
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None:
+                    yield a << 32 | b, rank
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. `root` has a bit for each word of `leaves` that isn't 0, a leaf one for each bucket."""
@@ -72,13 +74,11 @@ class Codec:
         ids = [self.byte_rank[b] for b in piece]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        known, pair_rank, leaves, bit = self.pairs.get, self.pair_rank, self.leaves, _BIT
+        known, leaves, bit = self.pairs.get, self.leaves, _BIT
         buckets: dict[int, list[int]] = {}
         pair, root = [-1] * n, 0  # pair: the rank of each position's merge with its successor
         for at in range(n - 1):
-            if (rank := known(ids[at] << 32 | ids[at + 1])) is None:
-                rank = pair_rank(ids[at], ids[at + 1])
-            if rank >= 0:
+            if (rank := known(ids[at] << 32 | ids[at + 1], -1)) >= 0:
                 pair[at] = rank
                 if rank in buckets:
                     buckets[rank].append(at)  # in order, so a heap
@@ -113,9 +113,7 @@ class Codec:
                     pair[left] = -1
                     continue
                 before[right] = left
-                if (new := known(ids[left] << 32 | ids[right])) is None:
-                    new = pair_rank(ids[left], ids[right])
-                pair[left] = new
+                pair[left] = new = known(ids[left] << 32 | ids[right], -1)
                 if new < 0:
                     continue
                 if new in buckets:
@@ -150,7 +148,7 @@ class Codec:
         for rank in buckets:
             leaves[rank >> 8] |= bit[rank & 255]
             root |= 1 << (rank >> 8)
-        known, pair_rank = self.pairs.get, self.pair_rank
+        known = self.pairs.get
         while root:
             high = (root & -root).bit_length() - 1
             word = leaves[high]
@@ -158,12 +156,14 @@ class Codec:
             rank = high << 8 | low.bit_length() - 1
             at = np.array(buckets[rank])
             at = at[pair[at] == rank]  # the others are stale
+            later: list[int] = []
             if len(at) > 1:
                 at.sort()
-                first = np.diff(owner[at], prepend=-1) != 0
-                later, at = at[~first].tolist(), at[first]
-            else:
-                later = []
+                of = owner[at]
+                same = of[1:] == of[:-1]
+                if same.any():
+                    first = np.concatenate([[True], ~same])
+                    later, at = at[~first].tolist(), at[first]
             if later:
                 buckets[rank] = later
             else:
@@ -178,19 +178,18 @@ class Codec:
             ids[at], ids[gone], pair[gone], after[at] = rank, -1, -1, nxt
             before[nxt] = at
             left = np.concatenate([prior[prior < n], at])
-            pair[left] = -1
-            left = left[after[left] < n]
-            for place, key in zip(left.tolist(), (ids[left] << 32 | ids[after[left]]).tolist()):
-                if (new := known(key)) is None:
-                    new = pair_rank(key >> 32, key & 0xFFFFFFFF)
-                if new >= 0:
-                    pair[place] = new
-                    if new in buckets:
-                        buckets[new].append(place)
-                    else:
-                        buckets[new] = [place]
-                        leaves[new >> 8] |= bit[new & 255]
-                        root |= 1 << (new >> 8)
+            right = after[left]
+            new = np.array([*map(known, (ids[left] << 32 | ids[right]).tolist(), repeat(-1))])
+            new[right == n] = -1
+            pair[left] = new
+            merging = new >= 0
+            for place, rank in zip(left[merging].tolist(), new[merging].tolist()):
+                if rank in buckets:
+                    buckets[rank].append(place)
+                else:
+                    buckets[rank] = [place]
+                    leaves[rank >> 8] |= bit[rank & 255]
+                    root |= 1 << (rank >> 8)
         alive = np.flatnonzero(ids[:n] >= 0)
         flat = ids[alive].astype(np.int32).tobytes()
         stops = (np.cumsum(np.bincount(owner[alive], minlength=len(pieces))) * 4).tolist()
@@ -242,6 +241,9 @@ class Codec:
         ids: dict[str, bytes] = {}
         short: list[str] = []
         for piece in {p for pieces in split.values() for p in pieces}:
+            if piece[:1] == " " and (value := self.young.get(piece[1:]) or self.old.get(piece[1:])):
+                ids[piece] = value
+                continue
             data = piece.encode()
             if data in self.ranks or len(data) >= 64:
                 ids[piece] = array("i", self.merge(data)).tobytes()

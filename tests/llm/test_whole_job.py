@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sylvaframe.llm import ngram_join, toxicity
+from sylvaframe.llm import byte_bpe, ngram_join, toxicity
 
 
 def test_toxicity_reads_the_whole_of_long_runs():
@@ -68,3 +68,21 @@ def test_edges_between_chunks_join_what_all_pairs_join():
         want = ngram_join.components_of(ngram_join.plausible(signs, every, every, 0.7), every, every, 30)
         got = ngram_join.components_of(joined, every, every, 30)
         assert (want == got).all()
+
+
+def test_remembered_words_are_not_merged_again():
+    """A remembered word with marks behind it costs no second merge; pairs are known before the first text."""
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    n_pairs, merged = len(own.pairs), []
+    many = own.merge_many
+    own.merge_many = lambda pieces: merged.append(pieces) or many(pieces)
+    texts = ["x thoninghees esboezci asosmiosciónqueado", "x thoninghees### esboezci.\nthoninghees, asosmiosciónqueado&&& aaaaaaaa bbbbbbbbbb"]
+    got = [np.frombuffer(own.encode([t])[0], np.int32).tolist() for t in texts]
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    assert got == [library.encode_ordinary(t) for t in texts]
+    again = {p for pieces in merged[1:] for p in pieces}
+    assert merged and not {" thoninghees".encode(), " asosmiosciónqueado".encode()} & again and len(own.pairs) == n_pairs > 0
