@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,24 @@ def test_step_distance(spark, graph, cap):
         assert got[box, stop].keys() == want.keys() and all(got[box, stop][k] == pytest.approx(d) for k, d in want.items())
 
 
+def test_small_boxes_take_no_round_over_tables(spark, graph, monkeypatch):
+    """The rounds inside a task and those over tables give the same, and the tables are written a fixed number of times."""
+    _, _, table, edges = graph
+    stops = spark.createDataFrame([(b, i) for b in "ab" for i in range(0, 31, 3)], "box string, stop long")
+    cuts, cut = [], branches.cut
+    monkeypatch.setattr(branches, "cut", lambda df: cuts.append(0) or cut(df))
+    found = []
+    for limits in ({}, {"most_ways": 0}):
+        before = len(cuts)
+        found.append(sorted(tuple(r) for r in branches.step_distance(stops, table, edges, 4.0, 8.0, 30.0, **limits).collect()))
+        found.append(len(cuts) - before)
+    inside, few, over, many = found
+    assert inside == over and inside and few < 9 < many
+    odd = [0.0009765625, 1.2345678905, 29.1234567895, 2.0000000005, 7.25, 0.30000000049999]
+    want = spark.createDataFrame([(v,) for v in odd], "v double").select(F.round("v", 9)).collect()
+    assert branches._halves_up(np.array(odd)).tolist() == [w[0] for w in want]
+
+
 def test_reconnect_broken_branches(spark):
     rng = random.Random(9)
     rows = [(box, i, j, rng.randrange(0, 40) / 10) for box in ("a", "b") for i in range(25) for j in range(25) if i != j and rng.random() < 0.3]
