@@ -6,12 +6,15 @@ Flags are rows (box, kind, a, b, reason, value): a node a, or the edge from a to
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvaframe.functions import scalars as C
 from sylvaframe.operators.cut import cut
-from sylvaframe.operators.graph import closure, organs, subtree_totals
+from sylvaframe.operators.graph import along_paths, organs, subtree_totals, within
+from sylvaframe.operators.groups import whole_groups
 from sylvaframe.operators.regions import EPS, surface_growth_rate
 from sylvaframe.operators.timebase import mad_double_sided
 
@@ -78,7 +81,15 @@ def radius_outlier(frame: DataFrame, links: DataFrame) -> DataFrame:
 def radius_sudden_change(frame: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes from the third to the last but one of organs over 5, with two or more edges in and an active one out, where the mean radius of this and the next one
     or two differs from that of the two before by more than the sum of both deviations over 0.6745, and their edges."""
-    n_in = edges.groupBy("box", F.col("dst").alias("cc_id")).agg(F.count("*").alias("n_in"))
+    return _sudden_change(frame, links, incoming(edges))
+
+
+def incoming(edges: DataFrame) -> DataFrame:
+    """Number of edges into each node: box, cc_id and n_in."""
+    return edges.groupBy("box", F.col("dst").alias("cc_id")).agg(F.count("*").alias("n_in"))
+
+
+def _sudden_change(frame: DataFrame, links: DataFrame, n_in: DataFrame) -> DataFrame:
     past, ahead = _organ().rowsBetween(-2, -1), _organ().rowsBetween(0, 2)
     rows = _sized(frame).select("*", F.avg("radius").over(past).alias("m0"), F.stddev("radius").over(past).alias("s0"), F.avg("radius").over(ahead).alias("m1"), F.stddev("radius").over(ahead).alias("s1"))
     rows = rows.where("size > 5 and idx >= 2 and idx < size - 1").join(n_in.where("n_in >= 2"), ["box", "cc_id"]).join(_best_out(links), ["box", "cc_id"])
@@ -87,9 +98,15 @@ def radius_sudden_change(frame: DataFrame, links: DataFrame, edges: DataFrame) -
     return _node(rows, "RADIUS_SUDDEN_CHANGE", "v").unionByName(_edge(rows, "parent", "cc_id", "RADIUS_SUDDEN_CHANGE_AT_TARGET", "v")).unionByName(_edge(rows, "cc_id", "next", "RADIUS_SUDDEN_CHANGE_AT_SOURCE", "v"))
 
 
+def _ends(frame: DataFrame, *more: str) -> DataFrame:
+    """Last nodes of organs with their time: box, cc_id and end."""
+    lasts = frame.groupBy("box", "organ_id", *more).agg(F.max_by(F.struct("cc_id", "h_tip"), "idx").alias("e"))
+    return lasts.select("box", *more, "e.cc_id", F.col("e.h_tip").alias("end"))
+
+
 def final_time_outlier(frame: DataFrame) -> DataFrame:
     """Last nodes of organs that end more than 3 deviations from the median end of the box's organs, of which there must be over 3."""
-    ends = frame.groupBy("box", "organ_id").agg(F.max_by(F.struct("cc_id", "h_tip"), "idx").alias("e")).select("box", "e.cc_id", F.col("e.h_tip").alias("end"))
+    ends = _ends(frame)
     n = ends.groupBy("box").agg(F.count("*").alias("n")).where("n > 3").select("box")
     rows = ends.join(n, "box").join(mad_double_sided(ends, ["box"], F.col("end")), "box").withColumn("v", deviations(F.col("end")))
     return _node(rows.where("v > 3"), "FINAL_TIME_OUTLIER", "v")
@@ -136,26 +153,74 @@ def weird_child_surface(frame: DataFrame, typical: float) -> DataFrame:
     The edges of a box are ranked by the parent's log rate; a window of 25 ranks around an edge, shifted at the ends, gives its
     neighbours. Boxes with under 10 such edges have no flags.
     """
+    rows = _weird(_rates(frame, typical))
+    return _edge(rows, "parent", "cc_id", "WEIRD_CHILD_ORGAN_SURFACE", "v")
+
+
+def _rates(frame: DataFrame, typical: float, *more: str) -> DataFrame:
+    """Edges to laterals with both ends' log rates: box, parent, cc_id, rate and p_rate."""
     rate = frame.select("box", "cc_id", F.log(surface_growth_rate(F.col("n_px"), F.col("h_start"), F.col("h_tip"), typical) + EPS).alias("rate"))
-    pairs = frame.where("idx = 0 and parent is not null").select("box", "parent", "cc_id").join(rate, ["box", "cc_id"]).join(rate.select("box", F.col("cc_id").alias("parent"), F.col("rate").alias("p_rate")), ["box", "parent"])
+    pairs = frame.where("idx = 0 and parent is not null").select("box", "parent", "cc_id", *more).join(rate, ["box", "cc_id"])
+    return pairs.join(rate.select("box", F.col("cc_id").alias("parent"), F.col("rate").alias("p_rate")), ["box", "parent"])
+
+
+def _middle(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The median of n values from first on in each sorted row; NaN without any."""
+    at = lambda k: np.take_along_axis(values, np.minimum(first + np.maximum(k, 0), values.shape[1] - 1)[:, None], 1)[:, 0]
+    return np.where(n > 0, 0.5 * at((n - 1) // 2) + 0.5 * at(n // 2), np.nan)
+
+
+def _alike(names: list[str]):
+    def run(rows: pa.Table, group: np.ndarray) -> pa.Table:
+        at = rows.column("rank").to_numpy().astype(np.int64)
+        order = np.lexsort((at, group))
+        rows, at, n = rows.take(pa.array(order)), at[order] - 1, rows.column("n").to_numpy().astype(np.int64)[order]
+        rate = rows.column("rate").fill_null(np.nan).to_numpy()
+        found = []
+        for a in range(0, len(rate), 1 << 16):
+            own = np.arange(a, min(a + (1 << 16), len(rate)))
+            begin = own - at[own] + np.maximum(0, np.minimum(at[own] - 12, n[own] - 25))
+            near = begin[:, None] + np.arange(25)
+            mine = (near < (own - at[own] + n[own])[:, None]) & (near != own[:, None])
+            values = np.sort(np.where(mine, rate[np.minimum(near, len(rate) - 1)], np.nan), axis=1)
+            known, none = (~np.isnan(values)).sum(axis=1), np.zeros(len(own), np.int64)
+            median = _middle(values, none, known)
+            under = (values < median[:, None]).sum(axis=1)
+            found.append((median, _middle(values, none, (values <= median[:, None]).sum(axis=1)), _middle(values, under, known - under)))
+        stats = {c: pa.array(np.concatenate(v), from_pandas=True) for c, v in zip(("median", "low", "high"), zip(*found))}
+        return pa.table({c: rows.column(c) for c in names} | stats)
+
+    return run
+
+
+def _weird(pairs: DataFrame) -> DataFrame:
+    """Of edges to laterals (box, parent, cc_id, rate, p_rate) those with v, the deviations of their rate from the 24 most alike ones, over 2."""
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("box").orderBy(F.round("p_rate", 9), "cc_id"))).withColumn("n", F.count("*").over(Window.partitionBy("box"))).where("n >= 10")
-    first = F.greatest(F.lit(1), F.least(F.col("rank") - 12, F.col("n") - 24))
-    near = ranked.withColumn("other", F.explode(F.sequence(first.cast("int"), F.least(first + 24, F.col("n")).cast("int")))).where("other <> rank")
-    near = near.select("box", "cc_id", "other").join(ranked.select("box", F.col("rank").alias("other"), F.col("rate").alias("o_rate")), ["box", "other"])
-    stats = mad_double_sided(near, ["box", "cc_id"], F.col("o_rate"))
-    rows = ranked.join(stats, ["box", "cc_id"]).withColumn("v", deviations(F.col("rate"))).where("v > 2")
-    return _edge(rows, "parent", "cc_id", "WEIRD_CHILD_ORGAN_SURFACE", "v")
+    names = ["box", "parent", "cc_id", "rate"]
+    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in names) + ", median double, low double, high double"
+    return whole_groups(ranked.select(*names, "rank", "n"), ["box"], _alike(names), schema).withColumn("v", deviations(F.col("rate"))).where("v > 2")
 
 
-def all_flags(frame: DataFrame, links: DataFrame, edges: DataFrame, typical: float) -> DataFrame:
-    """All flags of the organs; frame: with radius."""
-    parts = [radius_outlier(frame, links), radius_sudden_change(frame, links, edges), final_time_outlier(frame), sharp_angle(frame), sharp_angle_terminal(frame), sharp_edge_angle(frame), weird_child_surface(frame, typical)]
+#: Flags that look at all organs of a box; the others look at one organ alone.
+OF_BOX = ("FINAL_TIME_OUTLIER", "WEIRD_CHILD_ORGAN_SURFACE")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     total = parts[0]
     for part in parts[1:]:
         total = total.unionByName(part)
     return total
 
 
+def _organ_flags(frame: DataFrame, links: DataFrame, n_in: DataFrame) -> list[DataFrame]:
+    return [radius_outlier(frame, links), _sudden_change(frame, links, n_in), sharp_angle(frame), sharp_angle_terminal(frame), sharp_edge_angle(frame)]
+
+
+def all_flags(frame: DataFrame, links: DataFrame, edges: DataFrame, typical: float) -> DataFrame:
+    """All flags of the organs; frame: with radius."""
+    return _union([*_organ_flags(frame, links, incoming(edges)), final_time_outlier(frame), weird_child_surface(frame, typical)])
+
+
 def anomaly_counts(flags: DataFrame) -> DataFrame:
     """Per box: flagged nodes and edges, and the number of flags."""
     of = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.struct("a", "b")))
@@ -265,27 +330,61 @@ def rewired(forest: DataFrame, edges: DataFrame, proposals: DataFrame) -> DataFr
     return rows.select(*(changed[c].alias(c) if c in changed else c for c in forest.columns))
 
 
-def what_if_gain(forest: DataFrame, times: DataFrame, edges: DataFrame, proposals: DataFrame, typical: float, flags: DataFrame | None = None) -> DataFrame:
-    """Proposals with gain: by how much the number of flags of the box falls if the proposal alone is followed. flags: those of the forest, where they are known.
+def what_if_gain(forest: DataFrame, times: DataFrame, edges: DataFrame, proposals: DataFrame, typical: float, flagged: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Proposals with gain: by how much the number of flags of the box falls if the proposal alone is followed. flagged: the forest's frame and flags, where they are known.
 
-    Each proposal is a copy of its box under a name of its own, so all are flagged by one run of the same operators. Proposals that
-    would close a circle have no gain and are left out.
+    A proposal changes the organs of two trees, its target's and its new source's: only these are copied, under a name of the proposal's own, and all copies are flagged by one run
+    of the same operators. Flags that look at all organs of a box take the other trees' organ ends and edges to laterals as they are. Proposals that would close a circle
+    have no gain and are left out.
     """
-    below_dst = closure(forest).select("box", F.col("anc").alias("dst"), F.col("node").alias("other"))
-    open_ones = proposals.select("box", "src", "dst", "other").join(below_dst, ["box", "dst", "other"], "left_anti")
-    named = open_ones.withColumn("case", F.concat_ws("#", F.col("box"), "dst", "other")).transform(cut)
-    copied = lambda df: df.join(named.select("box", "case").distinct(), "box").drop("box").withColumnRenamed("case", "box")
-    cases = named.drop("box").withColumnRenamed("case", "box")
-    all_edges = copied(edges.select("box", "src", "dst", "cost", "fx", "fy")).transform(cut)
-    changed = rewired(copied(forest), all_edges, cases).transform(cut)
-    level = lambda flags: anomaly_counts(flags).select("box", "level").transform(cut)
-    asked = named.select("box").distinct()
+    circles = within(forest, proposals.select("box", F.col("dst").alias("anc"), F.col("other").alias("node"))).select("box", F.col("anc").alias("dst"), F.col("node").alias("other"))
+    open_ones = proposals.select("box", "src", "dst", "other").join(circles, ["box", "dst", "other"], "left_anti").select("box", "src", "dst", "other")
+    cases = open_ones.withColumn("case", F.concat_ws("#", "box", "src", "dst", "other")).transform(cut)
+    asked = cases.select("box").distinct()
     mine = lambda df: df.join(asked, "box", "left_semi")  # noqa: E731  boxes without an open proposal are not flagged
-    flags = mine(flags) if flags is not None else flag_forest(mine(forest), mine(times), _links(mine(forest), edges), mine(edges), typical)[1]
-    now = level(flags).withColumnRenamed("level", "now")
-    then = level(flag_forest(changed, copied(times), _links(changed, all_edges), all_edges, typical)[1]).withColumnRenamed("box", "case").withColumnRenamed("level", "then")
-    rows = named.join(now, "box", "left").join(then, "case", "left")
-    return rows.select("box", "src", "dst", "other", (F.coalesce("now", F.lit(0)) - F.coalesce("then", F.lit(0))).alias("gain"))
+    frame, flags = map(mine, flagged) if flagged is not None else flag_forest(mine(forest), mine(times), _links(mine(forest), edges), mine(edges), typical)
+    trees = along_paths(mine(forest)).select("box", "cc_id", F.col("root").alias("tree")).transform(cut)
+    ends = cases.select("box", "case", F.explode(F.array("dst", "other")).alias("cc_id"))
+    touched = ends.join(trees, ["box", "cc_id"]).select("box", "case", "tree").distinct().transform(cut)
+
+    # The copies: the touched trees after each case, their frame and what stands at their nodes in the box.
+    named = lambda df: df.drop("box").withColumnRenamed("case", "box")
+    nodes = touched.join(trees, ["box", "tree"]).select("box", "case", "cc_id").transform(cut)
+    at_nodes = lambda df: named(nodes.join(df, ["box", "cc_id"]))
+    sides = edges.select("box", "src", "dst", "cost", "fx", "fy")
+    of_cases = cases.select("box", "case", F.array("src", "other").alias("pair")).select("box", "case", F.explode(F.array(F.struct(F.col("pair")[0].alias("src"), F.col("pair")[1].alias("dst")), F.struct(F.col("pair")[1].alias("src"), F.col("pair")[0].alias("dst")))).alias("e")).select("box", "case", "e.*")
+    changed = rewired(at_nodes(forest).select(*forest.columns), named(of_cases.join(sides, ["box", "src", "dst"])), named(cases)).transform(cut)
+    active = changed.where("parent is not null").select(F.col("box").alias("case"), F.col("parent").alias("src"), F.col("cc_id").alias("dst")).join(cases.select("box", "case"), "case")
+    links = named(active.join(sides.select("box", "src", "dst", "cost"), ["box", "src", "dst"], "left").fillna({"cost": 100.0})).select("box", "src", "dst", "cost").transform(cut)
+    copy = estimated_radius(organ_frame(changed, organs(changed), at_nodes(times.select("box", "cc_id", "h_start", "h_tip")))).transform(cut)
+    then = _union(_organ_flags(copy, links, at_nodes(incoming(edges)))).groupBy(F.col("box").alias("case")).agg(F.count("*").alias("n"))
+    before = flags.where(~F.col("reason").isin(*OF_BOX)).join(trees.withColumnRenamed("cc_id", "a"), ["box", "a"]).groupBy("box", "tree").agg(F.count("*").alias("n"))
+    before = touched.join(before, ["box", "tree"]).groupBy("case").agg(F.sum("n").alias("n"))
+
+    # Flags of the box: the other trees' rows and the copies' rows. Ends are few values, so they are counted.
+    rooted = frame.join(trees, ["box", "cc_id"])
+    old = _ends(rooted, "tree").groupBy("box", "tree", "end").agg(F.count("*").alias("n")).transform(cut)
+    all_of = cases.select("box", "case").join(old.groupBy("box", "end").agg(F.sum("n").alias("n")), "box").select("case", "end", "n")
+    gone = touched.join(old, ["box", "tree"]).select("case", "end", (-F.col("n")).alias("n"))
+    come = _ends(copy).groupBy(F.col("box").alias("case"), "end").agg(F.count("*").alias("n"))
+    late = _late(_union([all_of, gone, come]).groupBy("case", "end").agg(F.sum("n").alias("n")).where("n > 0"))
+    pairs = _rates(rooted, typical, "tree").transform(cut)
+    rest = cases.select("box", "case").join(pairs, "box").join(touched, ["box", "case", "tree"], "left_anti")
+    weird = _weird(named(rest.drop("tree")).unionByName(_rates(copy, typical))).groupBy(F.col("box").alias("case")).agg(F.count("*").alias("n"))
+    now = flags.where(F.col("reason").isin(*OF_BOX)).groupBy("box").agg(F.count("*").alias("now"))
+
+    falls = _union([before, *(df.select("case", (-F.col("n")).alias("n")) for df in (then, late, weird))]).groupBy("case").agg(F.sum("n").alias("n"))
+    rows = cases.join(now, "box", "left").join(falls, "case", "left")
+    return rows.select("box", "src", "dst", "other", (F.coalesce("now", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("gain"))
+
+
+def _late(ends: DataFrame) -> DataFrame:
+    """The number of ends that final_time_outlier flags, of ends (case, end) that occur n times."""
+    by = Window.partitionBy("case")
+    half = lambda value: F.percentile(value, F.lit(0.5), F.col("n")).over(by)
+    rows = ends.withColumn("median", half(F.col("end"))).withColumn("of", F.sum("n").over(by)).where("of > 3")
+    rows = rows.withColumns({"low": half(F.when(F.col("end") <= F.col("median"), F.col("end"))), "high": half(F.when(F.col("end") >= F.col("median"), F.col("end")))})
+    return rows.where(deviations(F.col("end")) > 3).groupBy("case").agg(F.sum("n").alias("n"))
 
 
 def greedy_repair(forest: DataFrame, times: DataFrame, edges: DataFrame, typical: float, most_rounds: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -297,7 +396,7 @@ def greedy_repair(forest: DataFrame, times: DataFrame, edges: DataFrame, typical
     done, ended = None, forest.limit(0)
     for k in range(1, most_rounds + 1):
         frame, flags = flag_forest(forest, times, _links(forest, edges), edges, typical)
-        gains = what_if_gain(forest, times, edges, rewire_candidates(frame, edges, flags), typical, flags).where("gain > 0")
+        gains = what_if_gain(forest, times, edges, rewire_candidates(frame, edges, flags), typical, (frame, flags)).where("gain > 0")
         sized = gains.join(subtree_totals(forest).select("box", F.col("cc_id").alias("dst"), "px"), ["box", "dst"])
         first = F.row_number().over(Window.partitionBy("box").orderBy(F.desc("gain"), F.desc("px"), "dst", "other"))
         best = sized.withColumn("n", first).where("n = 1").select("box", F.lit(k).alias("round"), "src", "dst", "other", "gain").transform(cut)
