@@ -118,12 +118,12 @@ def apply_displacement(pixels: DataFrame, dx: float, dy: float) -> DataFrame:
 
 
 def block_candidates(pixels: DataFrame, size: int, stride: int, least_variance: float) -> DataFrame:
-    """Full blocks (box, t, bx, by: their corner) on a regular grid whose pixels' variance is over a limit."""
+    """Full blocks (box, t, bx, by: their corner) on a regular grid whose pixels' variance (nine places) is over a limit, whatever the order in which it is summed."""
     first = lambda c: F.greatest(F.lit(0), F.ceil((F.col(c) - size + 1) / stride))
     at = lambda c: F.transform(F.sequence(first(c), F.floor(F.col(c) / stride)), lambda k: k * stride)
     rows = pixels.withColumn("bx", F.explode(at("x"))).withColumn("by", F.explode(at("y")))
     blocks = rows.groupBy("box", "t", "bx", "by").agg(F.count("*").alias("n"), F.var_pop("v").alias("variance"))
-    return blocks.where((F.col("n") == size * size) & (F.col("variance") > least_variance)).drop("n")
+    return blocks.where((F.col("n") == size * size) & (F.round("variance", 9) > least_variance)).drop("n")
 
 
 def segment_raster(segments: DataFrame, frames: DataFrame, dotted: Column | None = None, dot_every: int = 2) -> DataFrame:
