@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvaframe.functions import scalars as C
+
 #: Up to these parts of the film's length a step is divided by these numbers.
 SLOW_START = ((30, 3.0), (22, 2.5), (18, 2.2), (15, 2.0), (13, 1.8), (11, 1.6), (9, 1.4), (8, 1.2))
 END_FRAMES = 15
@@ -37,7 +39,7 @@ def block_match(pixels: DataFrame, blocks: DataFrame, size: int, reach: int) ->
     along_y = Window.partitionBy(*key, "x").orderBy("y").rangeBetween(0, size - 1)
     whole = lines.select(*key, F.col("x").alias("bx"), F.col("y").alias("by"), *(F.sum(c).over(along_y).alias(c) for c in sums)).where(F.col("n") == size * size)
     scored = whole.join(blocks.select("box", "t", "bx", "by"), ["box", "t", "bx", "by"], "left_semi")
-    score = F.round(pearson(*(F.col(c).cast("double") for c in ("n", "v", "w", "vv", "ww", "vw"))), 9)
+    score = C.rounded(pearson(*(F.col(c).cast("double") for c in ("n", "v", "w", "vv", "ww", "vw"))), 9)
     best = F.max(F.struct(score.alias("score"), (-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("near"), (-F.col("dx")).alias("x"), (-F.col("dy")).alias("y"))).alias("m")
     return scored.groupBy("box", "t", "bx", "by").agg(best).select("box", "t", "bx", "by", (-F.col("m.x")).alias("dx"), (-F.col("m.y")).alias("dy"), "m.score")
 

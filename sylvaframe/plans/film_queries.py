@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sylvaframe.functions import scalars as C
 from sylvaframe.operators import pixels as P
 from sylvaframe.operators import registration as G
 from sylvaframe.plans import fixtures as X
@@ -22,7 +23,7 @@ def _corr(n, a, b, aa, bb, ab):
 
 add(
     "block_match",
-    lambda s, d: G.block_match(X.raster(s, d), P.block_candidates(X.raster(s, d), SIZE, STRIDE, VARIANCE), SIZE, REACH).withColumn("score", F.round("score", 5)),
+    lambda s, d: G.block_match(X.raster(s, d), P.block_candidates(X.raster(s, d), SIZE, STRIDE, VARIANCE), SIZE, REACH).withColumn("score", C.rounded("score", 5)),
     f"""WITH grid AS MATERIALIZED (SELECT box, t, x, y, v, {STRIDE} * i AS bx, {STRIDE} * j AS "by" FROM raster JOIN range(0, 14) k(i) ON x BETWEEN {STRIDE} * i AND {STRIDE} * i + {SIZE - 1} JOIN range(0, 14) l(j) ON y BETWEEN {STRIDE} * j AND {STRIDE} * j + {SIZE - 1}),
     blocks AS MATERIALIZED (SELECT box, t, bx, "by" FROM grid GROUP BY ALL HAVING count(*) = {SIZE * SIZE} AND var_pop(v) > {VARIANCE}),
     scored AS (SELECT g.box, g.t, g.bx, g."by", k.dx, k.dy, {_corr('count(*)', 'sum(g.v)', 'sum(m.v)', 'sum(g.v * g.v)', 'sum(m.v * m.v)', 'sum(g.v * m.v)')} AS score

@@ -1,8 +1,12 @@
 """Values at a limit, ties of rounding and noise of sums, as tables of 1 GB have them."""
 
+import datetime
 import random
 
+import duckdb
+
 from sylvaframe.operators import pixels as P
+from sylvaframe.plans import registry
 
 
 def test_a_block_at_the_limit_is_not_over_it(spark):
@@ -16,3 +20,26 @@ def test_a_block_at_the_limit_is_not_over_it(spark):
     rows += [("over", 0, i // 4, i % 4, 15.0 * (i % 2)) for i in range(16)]
     pixels = spark.createDataFrame(rows, "box string, t int, x int, y int, v double")
     assert [tuple(r) for r in P.block_candidates(pixels, 4, 3, 50.0).collect()] == [("over", 0, 0, 0, 56.25)]
+
+
+def differing(spark, folder, name):
+    """Rows of a query that its SQL has not, and the other way round, over a folder's tables."""
+    duck = duckdb.connect()
+    for path in folder.glob("*.parquet"):
+        duck.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}/*.parquet'")
+    answer = duck.sql(registry.oracle_sql()[name])
+    got = {tuple(r[c] for c in answer.columns) for r in registry.queries()[name](spark, str(folder)).collect()}
+    want = set(answer.fetchall())
+    assert want
+    return got - want, want - got
+
+
+LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_shipdate timestamp"
+
+
+def test_a_score_between_two_numbers_follows_the_sql(spark, tmp_path):
+    """A correlation of 0.078855 to nine places."""
+    values = {12: {(8, 36): 40, (9, 37): 28, (10, 39): 40, (13, 36): 41}, 13: {(10, 36): 25, (11, 35): 42, (12, 39): 15, (13, 37): 46}}
+    rows = [(1, x, y, float(values[t].get((x, y), 0)), "N", datetime.datetime(1995 + t // 4, t % 4 * 3 + 1, 15)) for t in values for x in range(8, 14) for y in range(35, 40)]
+    spark.createDataFrame(rows, LINES).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert differing(spark, tmp_path, "block_match") == (set(), set())
