@@ -43,3 +43,13 @@ def test_a_score_between_two_numbers_follows_the_sql(spark, tmp_path):
     rows = [(1, x, y, float(values[t].get((x, y), 0)), "N", datetime.datetime(1995 + t // 4, t % 4 * 3 + 1, 15)) for t in values for x in range(8, 14) for y in range(35, 40)]
     spark.createDataFrame(rows, LINES).write.parquet(str(tmp_path / "lineitem.parquet"))
     assert differing(spark, tmp_path, "block_match") == (set(), set())
+
+
+def test_half_a_hundredth_of_a_percent_goes_up(spark, tmp_path):
+    """4,464 of 15,872 are 28.125 percent."""
+    day = datetime.datetime(1996, 1, 1)
+    spark.createDataFrame([(1, 1, 7, 4464.0, "R", day), (1, 1, 7, 11408.0, "N", day), (1, 1, 8, 3.0, "R", day)], LINES).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(7, 10.0), (8, -1.0)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert differing(spark, tmp_path, "cell_class_summary") == (set(), set())
+    found = {r["image"]: r["percent"] for r in registry.queries()["cell_class_summary"](spark, str(tmp_path)).collect()}
+    assert found == {7: "28.13", 8: "NA"}
