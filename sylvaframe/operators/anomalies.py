@@ -89,9 +89,20 @@ def incoming(edges: DataFrame) -> DataFrame:
     return edges.groupBy("box", F.col("dst").alias("cc_id")).agg(F.count("*").alias("n_in"))
 
 
+def _running_deviation(values: Column) -> Column:
+    """The sample deviation of an array's values; mean and squares move on from value to value in their order, so that equal arrays give equal noise."""
+    start = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "mean", "squares")))
+
+    def onward(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    return F.aggregate(values, start, onward, lambda s: F.when(s["n"] > 1, F.sqrt(s["squares"] / (s["n"] - 1))))
+
+
 def _sudden_change(frame: DataFrame, links: DataFrame, n_in: DataFrame) -> DataFrame:
     past, ahead = _organ().rowsBetween(-2, -1), _organ().rowsBetween(0, 2)
-    rows = _sized(frame).select("*", F.avg("radius").over(past).alias("m0"), F.stddev("radius").over(past).alias("s0"), F.avg("radius").over(ahead).alias("m1"), F.stddev("radius").over(ahead).alias("s1"))
+    rows = _sized(frame).select("*", F.avg("radius").over(past).alias("m0"), _running_deviation(F.collect_list("radius").over(past)).alias("s0"), F.avg("radius").over(ahead).alias("m1"), _running_deviation(F.collect_list("radius").over(ahead)).alias("s1"))
     rows = rows.where("size > 5 and idx >= 2 and idx < size - 1").join(n_in.where("n_in >= 2"), ["box", "cc_id"]).join(_best_out(links), ["box", "cc_id"])
     gap, limit = F.abs(F.col("m1") - F.col("m0")), (F.col("s0") + F.col("s1")) / 0.6745
     rows = rows.where(gap > limit).withColumn("v", gap / F.nullif(limit, F.lit(0.0)))

@@ -5,6 +5,7 @@ import random
 
 import duckdb
 
+from sylvaframe.operators import anomalies as A
 from sylvaframe.operators import pixels as P
 from sylvaframe.plans import registry
 
@@ -53,3 +54,17 @@ def test_half_a_hundredth_of_a_percent_goes_up(spark, tmp_path):
     assert differing(spark, tmp_path, "cell_class_summary") == (set(), set())
     found = {r["image"]: r["percent"] for r in registry.queries()["cell_class_summary"](spark, str(tmp_path)).collect()}
     assert found == {7: "28.13", 8: "NA"}
+
+
+def test_noise_of_deviations_follows_the_sql(spark):
+    """Two equal radii, then three that differ in the last bit alone: the limit is the noise of their deviation."""
+    radii = [1.0, 1.0, 1.414213562373095, 1.414213562373095, 1.4142135623730951, 2.0, 3.0]
+    frame = spark.createDataFrame([("a", i, i - 1 if i else None, 0, i, r) for i, r in enumerate(radii)], "box string, cc_id long, parent long, organ_id long, idx long, radius double")
+    links = spark.createDataFrame([("a", i, i + 1, 1.0) for i in range(6)], "box string, src long, dst long, cost double")
+    edges = spark.createDataFrame([("a", i, j) for j in range(1, 7) for i in (j - 1, j + 10)], "box string, src long, dst long")
+    got = {r["a"]: r["value"] for r in A.radius_sudden_change(frame, links, edges).where("kind = 'node'").collect()}
+    duck = duckdb.connect()
+    duck.sql(f"CREATE TABLE r AS SELECT unnest(range(7)) AS i, unnest({radii}) AS v")
+    want = duck.sql("""SELECT i, abs(m1 - m0) / ((s0 + s1) / 0.6745e0) FROM (SELECT i, avg(v) OVER p AS m0, stddev_samp(v) OVER p AS s0, avg(v) OVER n AS m1, stddev_samp(v) OVER n AS s1 FROM r
+        WINDOW p AS (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), n AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE i BETWEEN 2 AND 5 AND abs(m1 - m0) > (s0 + s1) / 0.6745e0""").fetchall()
+    assert {k: round(v, 4) for k, v in got.items()} == {k: round(v, 4) for k, v in want} and got[2] > 1e15
