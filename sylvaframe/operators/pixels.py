@@ -153,8 +153,8 @@ def tip_trajectory(nodes: DataFrame, roots: DataFrame, frames: DataFrame) -> Dat
     asked = roots.select(*key).crossJoin(F.broadcast(frames)).select(*key, F.col("hours").alias("h"), F.lit(0).alias("kind"), F.lit(0).alias("seq"), F.lit(None).cast(knots.schema["knot"].dataType).alias("knot"), "frame")
     up, down = Window.partitionBy(*key).orderBy("h", "kind", "seq"), Window.partitionBy(*key).orderBy(F.desc("h"), F.desc("kind"), F.desc("seq"))
     both = knots.unionByName(asked).withColumn("a", F.last("knot", ignorenulls=True).over(up)).withColumn("b", F.last("knot", ignorenulls=True).over(down)).where("kind = 0")
-    share = (F.col("h") - F.col("a.th")) / (F.col("b.th") - F.col("a.th"))
+    gone, span = F.col("h") - F.col("a.th"), F.col("b.th") - F.col("a.th")
     lives = F.col("a").isNotNull() & F.col("b").isNotNull()
-    at = lambda v: F.when(lives, F.col(f"b.{v}") * share + (1 - share) * F.col(f"a.{v}")).otherwise(-1.0).alias(v)
+    at = lambda v: F.when(lives, F.col(f"b.{v}") * gone / span + (1 - gone / span) * F.col(f"a.{v}")).otherwise(-1.0).alias(v)
     kinds = roots.select(*key, F.when(F.col("parent").isNull(), 1).otherwise(2).alias("kind"))
     return both.select(*key, "frame", *(at(v) for v in values)).join(kinds, key)

@@ -68,3 +68,10 @@ def test_noise_of_deviations_follows_the_sql(spark):
     want = duck.sql("""SELECT i, abs(m1 - m0) / ((s0 + s1) / 0.6745e0) FROM (SELECT i, avg(v) OVER p AS m0, stddev_samp(v) OVER p AS s0, avg(v) OVER n AS m1, stddev_samp(v) OVER n AS s1 FROM r
         WINDOW p AS (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), n AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE i BETWEEN 2 AND 5 AND abs(m1 - m0) > (s0 + s1) / 0.6745e0""").fetchall()
     assert {k: round(v, 4) for k, v in got.items()} == {k: round(v, 4) for k, v in want} and got[2] > 1e15
+
+
+def test_places_between_two_numbers_follow_the_sql(spark, tmp_path):
+    """A root at x = -3 after one day and at -6 after six is at -5.2125 after 112.5 hours."""
+    rows = [(0, datetime.datetime(2024, 1, 1, 5), 0, "view", 1.0), (7, datetime.datetime(2024, 1, 6, 5), 0, "view", 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert differing(spark, tmp_path, "tip_trajectory") == (set(), set())
