@@ -77,3 +77,12 @@ def test_flags_of_counted_ends(spark):
     frame = ends.select(F.col("case").alias("box"), F.monotonically_increasing_id().alias("cc_id"), F.col("end").alias("h_tip"), F.lit(0).alias("idx")).withColumn("organ_id", F.col("cc_id")).cache()
     want = {r["box"]: r["count"] for r in A.final_time_outlier(frame).groupBy("box").count().collect()}
     assert got == want and got
+
+
+def test_statistics_inside_a_task_join_nothing(spark, forest):
+    """Equal rows to those of joined tables, and no join that could send a table to the driver."""
+    whole = forest.withColumn("x", F.col("cc_id") % 7)
+    inside, joined = graph.forest_statistics(whole), graph.forest_statistics(whole, most=0)
+    assert rows_of(inside) == rows_of(joined) and inside.count() > 5
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
