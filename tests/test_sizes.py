@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sylvaframe.operators import pixels as P
 from sylvaframe.operators import raster as R
+from sylvaframe.operators import regions
 from sylvaframe.operators.groups import whole_groups
 from sylvaframe.operators.regions import connected_components
 from sylvaframe.plans import fixtures, registry
@@ -138,3 +139,14 @@ def test_tags_do_not_look_into_their_files_text(spark, tmp_path):
     plan = rsml._tags(texts)._jdf.queryExecution().optimizedPlan().toString()
     above = plan.partition("Generate")[0]
     assert "regexp_extract(tag" in above and "<software>" not in above
+
+
+def test_sides_are_looked_up_in_tiles(spark):
+    """Equal sides over tiles of any size, and the samples around a side are no rows: nothing but the pixels of rims is repeated."""
+    rng = random.Random(8)
+    rows = [(box, x, y, 1 + (x // 3 + y // 2) % 3, (x // 3) * 20 + y // 2) for box in "ab" for x in range(-4, 15) for y in range(14) if rng.random() < 0.95]
+    labelled = spark.createDataFrame(rows, "box string, x int, y int, day int, cc_id long")
+    comps = labelled.groupBy("box", "cc_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    found = [sorted(map(tuple, regions.best_facet(labelled, comps, 3.0, tile).collect())) for tile in (128, 5, 1)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+    assert regions.best_facet(labelled, comps, 3.0)._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 2
