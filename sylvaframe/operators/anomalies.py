@@ -16,6 +16,7 @@ from sylvaframe.operators.cut import cut
 from sylvaframe.operators.graph import along_paths, organs, subtree_totals, within
 from sylvaframe.operators.groups import whole_groups
 from sylvaframe.operators.regions import EPS, surface_growth_rate
+from sylvaframe.operators.repairs import repairs_inside
 from sylvaframe.operators.timebase import mad_double_sided
 
 FLAG = ["box", "kind", "a", "b", "reason", "value"]
@@ -398,12 +399,30 @@ def _late(ends: DataFrame) -> DataFrame:
     return rows.where(deviations(F.col("end")) > 3).groupBy("case").agg(F.sum("n").alias("n"))
 
 
-def greedy_repair(forest: DataFrame, times: DataFrame, edges: DataFrame, typical: float, most_rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+def greedy_repair(forest: DataFrame, times: DataFrame, edges: DataFrame, typical: float, most_rounds: int = 10, most: int = 1 << 15) -> tuple[DataFrame, DataFrame]:
     """The forest after up to most_rounds rounds, in each of which every box follows its proposal of the largest gain over 0 (then of most pixels downstream, then the
     least), and what was done: box, round, src, dst, other and gain.
 
-    A box that follows none has ended: its rows are set aside, so a round costs what is still open.
+    Boxes of at most `most` nodes and as many edges go through their rounds inside a task. The others' rounds are joins over tables; a box that follows none has ended there: its
+    rows are set aside, so a round costs what is still open.
     """
+    gone = forest.select("box", "cc_id")
+    odd = forest.where("parent is not null").select("box", F.col("parent").alias("cc_id")).join(gone, ["box", "cc_id"], "left_anti").select("box").unionByName(gone.join(times, ["box", "cc_id"], "left_anti").select("box"))
+    large = _union([df.groupBy("box").agg(F.count("*").alias("n")).where(F.col("n") > most).select("box") for df in (forest, edges)] + [odd]).distinct().transform(cut)
+    inside = repairs_inside(forest.join(large, "box", "left_anti"), times, edges, typical, most_rounds).transform(cut)
+    names = ["box", "round", "src", "dst", "other", "gain"]
+    last = inside.groupBy("box", F.col("dst").alias("cc_id")).agg(F.max_by(F.struct("other", "fx", "fy"), "round").alias("m"))
+    now = {"parent": "other", "fx": "fx", "fy": "fy"}
+    moved = forest.join(large, "box", "left_anti").join(last, ["box", "cc_id"], "left")
+    after = moved.select(*(F.when(F.col("m").isNotNull(), F.col(f"m.{now[c]}")).otherwise(F.col(c)).cast(forest.schema[c].dataType).alias(c) if c in now else F.col(c) for c in forest.columns))
+    if large.isEmpty():
+        return after, inside.select(*names)
+    forest, times, edges = (df.join(large, "box", "left_semi").transform(cut) for df in (forest, times, edges))
+    left, done = _repairs_over_tables(forest, times, edges, typical, most_rounds)
+    return after.unionByName(left), inside.select(*names).unionByName(done)
+
+
+def _repairs_over_tables(forest: DataFrame, times: DataFrame, edges: DataFrame, typical: float, most_rounds: int) -> tuple[DataFrame, DataFrame]:
     done, ended = None, forest.limit(0)
     for k in range(1, most_rounds + 1):
         frame, flags = flag_forest(forest, times, _links(forest, edges), edges, typical)

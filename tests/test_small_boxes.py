@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sylvaframe.operators import anomalies as A
-from sylvaframe.operators import graph
+from sylvaframe.operators import graph, repairs
 from sylvaframe.plans import anomaly_queries as N
 from sylvaframe.plans import region_queries as Q
 
@@ -86,3 +87,34 @@ def test_statistics_inside_a_task_join_nothing(spark, forest):
     assert rows_of(inside) == rows_of(joined) and inside.count() > 5
     plan = inside._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "BroadcastExchange" not in plan
+
+
+def test_repairs_inside_a_task_and_over_tables(spark, monkeypatch):
+    """Equal repairs and forests, the boxes of tables in many more writes."""
+    forest, edges, times = Q.forest(spark, SF).cache(), Q.costed(spark, SF).cache(), N.times(spark, SF).cache()
+    cuts, cut = [], A.cut
+    monkeypatch.setattr(A, "cut", lambda df: cuts.append(0) or cut(df))
+    found, n = [], []
+    for most in (1 << 15, 0):
+        before = len(cuts)
+        after, done = A.greedy_repair(forest, times, edges, N.TYPICAL, most_rounds=2, most=most)
+        found.append((rows_of(after.select(*forest.columns)), rows_of(done)))
+        n.append(len(cuts) - before)
+    assert found[0] == found[1] and found[0][1][1]
+    assert n[0] == 2 and n[1] > 20
+
+
+def test_flags_of_arrays_are_those_of_tables(spark):
+    forest, edges, times = Q.forest(spark, SF), Q.costed(spark, SF), N.times(spark, SF)
+    want = {r["box"]: r["level"] for r in A.anomaly_counts(A.flag_forest(forest, times, A._links(forest, edges), edges, N.TYPICAL)[1]).collect()}
+    got, box_forest = {}, repairs.BoxForest
+    nodes = forest.join(times, ["box", "cc_id"]).toPandas().sort_values("cc_id")
+    for box, own in nodes.groupby("box"):
+        ids, mine = own["cc_id"].to_numpy(), edges.where(F.col("box") == box).toPandas()
+        place = lambda v: np.searchsorted(ids, v)  # noqa: B023, E731
+        node = {c: own[c].to_numpy(dtype=float) for c in ("n_px", "cx", "cy", "fx", "fy", "h_start", "h_tip")} | {"cc_id": ids}
+        up = np.where(own["parent"].isna(), -1, place(own["parent"].fillna(-1)))
+        edge = {c: mine[c].to_numpy(dtype=float) for c in ("cost", "fx", "fy")} | {c: place(mine[c]) for c in ("src", "dst")}
+        with np.errstate(all="ignore"):
+            got[box] = box_forest(node, edge, N.TYPICAL).flags(up, node["fx"], node["fy"])
+    assert {b: n for b, n in got.items() if n} == want and want
